@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, quality, sharding
+from . import chat, mixing, quality, sharding
 
 QUERIES = {
+    "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_format": chat.op8_chat_format,
     "op10_quality_rules": quality.op10_quality_rules,
