@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, quality, sharding, urls
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op6_url_filter": urls.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_format": chat.op8_chat_format,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
+    "op6_url_filter": urls.oracle(),
     "op7_sharding": sharding.oracle(),
     "op8_chat_format": chat.ORACLE,
 }
