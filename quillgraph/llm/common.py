@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, which may not find it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillgraph_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    file = os.path.join(tempfile.mkdtemp(), "quillgraph.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(file)
+    sc._quillgraph_shipped = True
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, urls
+from . import chat, mixing, packing, quality, sharding, urls
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": urls.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
