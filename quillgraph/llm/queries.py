@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, sharding, urls
+from . import chat, mixing, packing, quality, sharding, topk, urls
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": urls.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk": topk.ORACLE,
     "op6_url_filter": urls.oracle(),
     "op7_sharding": sharding.oracle(),
     "op8_chat_format": chat.ORACLE,
