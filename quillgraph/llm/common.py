@@ -73,3 +73,11 @@ def uniform(*cols: Column | int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once; a lambda would compute it again for each element."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table of ``written`` that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, packing, quality, sharding, topk, urls
+from . import chat, html, mixing, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_html_extract": html.op3_html_extract,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": urls.op6_url_filter,

@@ -41,9 +41,8 @@ def _root(source: str) -> str:
 
     shape: segments with what varies replaced, divided by "/". n urls, l of them labelled, b of those "block".
     """
-    return f"""SELECT s.host, s.shape, s.n, s.l, s.b, '' AS tpl, (h.b + {K} * g.p) / (h.l + {K}) AS p FROM {source} s
-  JOIN (SELECT host, CAST(sum(l) AS DOUBLE) AS l, CAST(sum(b) AS DOUBLE) AS b FROM {source} GROUP BY host) h ON s.host = h.host
-  CROSS JOIN (SELECT (CAST(coalesce(sum(b), 0) AS DOUBLE) + 1.0) / (CAST(coalesce(sum(l), 0) AS DOUBLE) + 2.0) AS p FROM {source}) g"""
+    return f"""SELECT s.host, s.shape, s.n, s.l, s.b, '' AS tpl, (h.b + {K} * (SELECT (CAST(coalesce(sum(b), 0) AS DOUBLE) + 1.0) / (CAST(coalesce(sum(l), 0) AS DOUBLE) + 2.0) FROM {source})) / (h.l + {K}) AS p FROM {source} s
+  JOIN (SELECT host, CAST(sum(l) AS DOUBLE) AS l, CAST(sum(b) AS DOUBLE) AS b FROM {source} GROUP BY host) h ON s.host = h.host"""
 
 
 def _level(d: int, t: str) -> tuple[str, str]:
