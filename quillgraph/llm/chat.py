@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import let, read
 
 #: Fixed marks of the template. A block holds the adjacent turns of one role; inside texts and roles "\" becomes
-#: "\b" and "<" becomes "\l", so that no text can hold a mark and every text comes back exactly.
+#: "\b" and "<" becomes "\l", so that no text can hold a mark and every text comes back exactly; a line end in a
+#: role becomes "\n".
 OPEN, AFTER_ROLE, BETWEEN, CLOSE = "<|role|>", "\n", "<|next|>", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 
@@ -31,8 +32,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     trained on. Every step is linear in the turns; a conversation is one output string, so its rows meet in one
     task. No rows give no rows; other columns play no part.
     """
-    mark = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    rows = turns.select(F.col(conv).alias("_c"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"), mark(role).alias("er"), mark(text).alias("ex")).alias("_s"))
+    said = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = turns.select(F.col(conv).alias("_c"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"), F.replace(said(role), F.lit("\n"), F.lit("\\n")).alias("er"), said(text).alias("ex")).alias("_s"))
     grouped = rows.groupBy("_c").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
 
     def blocks(s: Column) -> Column:
@@ -58,7 +59,7 @@ def read_back(formatted: Column) -> Column:
 
     def turns(b: Column) -> Column:
         head = F.locate(AFTER_ROLE, b)
-        role = unescape(F.substr(b, F.lit(len(OPEN) + 1), head - len(OPEN) - 1))
+        role = unescape(F.replace(F.substr(b, F.lit(len(OPEN) + 1), head - len(OPEN) - 1), F.lit("\\n"), F.lit("\n")))
         texts = F.split(F.substr(b, head + len(AFTER_ROLE)), quoted(BETWEEN))
         return F.transform(texts, lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
