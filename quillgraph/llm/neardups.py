@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, ship, written
+from .common import read, ship, shuffle_parts, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -19,8 +19,8 @@ BANDS, ROWS = 8, 2
 SLOT_BITS = 16
 #: Weight of a word that every document has; a word of one document weighs 1.
 LEAST_WEIGHT = 0.5
-#: Rounds in which each bucket tests its members against one hub, before what is still apart is tested pair by pair.
-STAR_ROUNDS = 3
+#: Members of a bucket that are still apart are compared in blocks of so many, and so many shingles at once.
+BLOCK, COLUMNS = 768, 2048
 
 
 def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -72,8 +72,8 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return np.round((LEAST_WEIGHT + (1 - LEAST_WEIGHT) * idf) * 4096) / 4096
 
 
-def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(different shingles, their weights, where each text's begin and end, hash of each text's words, words of each text).
+def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different shingles, weight of one, how many, where each text's begin and end, hash of each text's words, its words).
 
     A shingle weighs its count times the mean weight of its words; a text of fewer words than a shingle is one.
     """
@@ -82,7 +82,7 @@ def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = W.window_sums(h)
     whole = W.window(sums, at[:-1], n)
     means = np.concatenate([[0.0], np.cumsum(weights[slots(h)])])
-    found, heavy, bounds = [], [], [0]
+    found, unit, many, bounds = [], [], [], [0]
     wide = W.window(sums, np.arange(max(0, len(h) - SHINGLE + 1)), SHINGLE) if len(h) >= SHINGLE else np.empty(0, np.uint64)
     weigh = np.round((means[SHINGLE:] - means[:-SHINGLE]) / SHINGLE * 4096) / 4096 if len(h) >= SHINGLE else np.empty(0)
     for i in range(len(texts)):
@@ -90,13 +90,15 @@ def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.nd
             lo, hi = at[i], at[i + 1] - SHINGLE + 1
             x, first, count = np.unique(wide[lo:hi], return_index=True, return_counts=True)
             found.append(x)
-            heavy.append(weigh[lo:hi][first] * count)
+            unit.append(weigh[lo:hi][first])
+            many.append(count)
         elif n[i]:
             found.append(whole[i : i + 1])
-            heavy.append(np.ones(1))
+            unit.append(np.ones(1))
+            many.append(np.ones(1, np.int64))
         bounds.append(bounds[-1] + (len(found[-1]) if n[i] else 0))
     none = np.empty(0)
-    return np.concatenate(found or [none.astype(np.uint64)]), np.concatenate(heavy or [none]), np.array(bounds), whole, n
+    return np.concatenate(found or [none.astype(np.uint64)]), np.concatenate(unit or [none]), np.concatenate(many or [none.astype(np.int64)]), np.array(bounds), whole, n
 
 
 def signatures(x: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -135,7 +137,8 @@ def _sketch(shared):
         for batch in batches:
             texts = _bytes(batch.column("t"))
             for lo, hi in W.chunks(texts, 1 << 19):
-                x, w, bounds, whole, n = shingles(texts[lo:hi], shared.value)
+                x, unit, many, bounds, whole, n = shingles(texts[lo:hi], shared.value)
+                w = unit * many
                 some = np.flatnonzero(n)
                 if not len(some):
                     continue
@@ -149,6 +152,11 @@ def _sketch(shared):
     return run
 
 
+def _one(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, unit, many, *_ = shingles([text], weights)
+    return x, unit * many
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted different shingles, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -167,21 +175,111 @@ def _verify(shared, threshold: float):
             a = batch.column("a").to_pylist()
             for i in range(batch.num_rows):
                 if a[i] != of:
-                    of, held = a[i], shingles([ta[i].as_py()], shared.value)[:2]
-                keep.append(similarity(held, shingles([tb[i].as_py()], shared.value)[:2]) >= threshold)
+                    of, held = a[i], _one(ta[i].as_py(), shared.value)
+                keep.append(similarity(held, _one(tb[i].as_py(), shared.value)) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
 
 
+def similarities(texts: list[bytes], split: int, weights: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of all texts before ``split`` with all from it on.
+
+    A shingle that occurs c times is c elements, so least weights are sums over common elements: a product of two
+    0/1 matrices, a bounded number of columns at a time. Weights are multiples of 1/4096, so the sums are exact.
+    """
+    x, unit, many, bounds, *_ = shingles(texts, weights)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    total = np.bincount(text, unit * many, len(texts))
+    at = np.repeat(np.arange(len(x)), many)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    element, first, column = np.unique(W.mix(x[at] + nth.astype(np.uint64) * _U64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
+    row, weight = text[at], unit[at][first]
+    both = (np.bincount(column[row < split], minlength=len(element)) > 0) & (np.bincount(column[row >= split], minlength=len(element)) > 0)
+    place = np.cumsum(both) - 1
+    row, column, weight = row[both[column]], place[column[both[column]]], weight[both]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    least = np.zeros((split, len(texts) - split))
+    for lo in range(0, len(weight), COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        dense = np.zeros((len(texts), min(COLUMNS, len(weight) - lo)))
+        dense[row[i:j], column[i:j] - lo] = 1
+        least += (dense[:split] * weight[lo : lo + COLUMNS]) @ dense[split:].T
+    whole = total[:split, None] + total[None, split:] - least
+    return np.divide(least, whole, out=np.zeros_like(least), where=whole > 0)
+
+
+def _joining(i: np.ndarray, j: np.ndarray, labels: list) -> list[int]:
+    """Of links i-j, the places of those that join labels not yet joined."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        a, b = find(labels[a]), find(labels[b])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(n)
+    return out
+
+
+def _compare(shared, threshold: float):
+    """Rows sorted by (band, key, i, j), members of one block pair together: links between different labels."""
+
+    def links(of: tuple, rows: list[tuple]) -> tuple[list, list]:
+        rows.sort(key=lambda r: r[:2])
+        node, label = [r[1] for r in rows], [r[2] for r in rows]
+        texts = [r[3] for r in rows]
+        if of[2] == of[3]:
+            found, split = similarities(texts + texts, len(texts), shared.value), 0
+        else:
+            split = sum(r[0] == of[2] for r in rows)
+            if split in (0, len(rows)):
+                return [], []
+            found = similarities(texts, split, shared.value)
+        i, j = np.nonzero(found >= threshold)
+        if not split:
+            i, j = i[i < j], j[i < j]
+        j = j + split
+        joins = _joining(i, j, label)
+        return [node[i[n]] for n in joins], [node[j[n]] for n in joins]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        of, rows = None, []
+
+        def out(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True))
+            cells = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "label")), _bytes(batch.column("t")), strict=True)
+            for key, row in zip(keys, cells, strict=True):
+                if key != of:
+                    if of:
+                        yield out(*links(of, rows))
+                    of, rows = key, []
+                rows.append(row)
+        if of:
+            yield out(*links(of, rows))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(id, k, class_id): for every row its key, a hash of key and text, and the smallest key of its class.
 
     Classes are the connected components of the pairs whose weighted Jaccard similarity over TF-IDF shingles reaches
-    ``threshold``. Texts of equal words are one node. Nodes meet in buckets of equal band keys. In a few rounds each
-    bucket tests members against one hub, so a group of thousands of copies costs as many tests as members; what is
-    still in different components in one bucket is then tested pair by pair (only pairs with one side outside the
-    bucket's main component, and whose total weights allow the threshold), so no link between components is lost.
+    ``threshold``. Texts of equal words are one node. Nodes meet in buckets of equal band keys. Each bucket first
+    tests its members against one hub, so a group of copies costs as many tests as it has members. Buckets that still
+    hold several components are then compared whole, in pairs of blocks of BLOCK members: pairs exist only inside a
+    matrix product, and a task gives back just the links that join components, so none between components is lost.
 
     The weight of a shingle is its count times the mean inverse document frequency of its words, held between
     LEAST_WEIGHT and 1: frequencies of whole shingles would make a large group of near copies frequent, and so less
@@ -204,41 +302,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     wanted = written(base.select("k", "t").join(there, "k", "left_semi").dropDuplicates(["k"]), "texts")
     ratio = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) * (1 - 1e-9)
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.col("a"), F.col("b")).distinct()
-        whole = pairs.join(wanted.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").join(wanted.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-        return written(whole.select("a", "b", "ta", "tb").mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
-
-    links = labels = None
-    for step in range(STAR_ROUNDS + 1):
-        if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("o"), F.col("node").alias("hub"), F.col("label").alias("main"), F.col("w").alias("hub_w")))
-            apart = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pick.alias("p")).where("lo <> hi")
-            now = written(now.join(apart.select("band", "key", F.col("p.hub").alias("hub"), F.col("p.main").alias("main")), ["band", "key"]), "apart")
-        if step < STAR_ROUNDS:
-            other = F.col("label") != (F.col("hub") if labels is None else F.col("main"))
-            hubs = nodes.select(F.col("k").alias("hub"), F.col("w").alias("hub_w"))
-            pairs = now.where(other).join(hubs, "hub").where(ratio(F.col("w"), F.col("hub_w"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        else:
-            largest = now.groupBy("band", "key", "label").count().groupBy("band", "key").agg(F.max(F.struct("count", "label")).alias("m"))
-            outside = now.join(largest.select("band", "key", F.col("m.label").alias("most")), ["band", "key"]).where("label <> most")
-            outside = outside.select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("w").alias("wa"))
-            inside = now.select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("w").alias("wb"))
-            pairs = outside.join(inside, ["band", "key"]).where((F.col("la") != F.col("lb")) & ratio(F.col("wa"), F.col("wb")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        got = tested(pairs)
-        links = got if links is None else links.unionByName(got)
-        labels = components(links)
-        if labels.isEmpty():
-            break
+    hubs = nodes.select(F.col("k").alias("hub"), F.col("w").alias("hub_w"))
+    pairs = members.where("node <> hub").join(hubs, "hub").where(ratio(F.col("w"), F.col("hub_w"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(wanted.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").join(wanted.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
+    links = written(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
+
+    now = members.drop("hub").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    now = now.join(apart.select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
+    now = now.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = ["band", "key", "i", "j"]
+    now = now.select("band", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "label")
+    now = now.join(wanted.select(F.col("k").alias("node"), "t"), "node").repartition(shuffle_parts(spark), *meet).sortWithinPartitions(*meet)
+    links = links.unionByName(written(now.mapInArrow(_compare(shared, threshold), "a long, b long"), "links"))
+    labels = components(links)
     named = nodes.select(F.col("k").alias("node"), "id", "whole", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(lowest, "label").select("whole", "n", "class_id")
     out = sketches.select("id", "k", "whole", "n").join(named, ["whole", "n"]).select("id", "k", "class_id")
-    bare = base.where(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0).select("id", "k", F.col("id").alias("class_id"))
+    bare = base.where(~F.coalesce("t", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", "k", F.col("id").alias("class_id"))
     return out.unionByName(bare)
 
 
