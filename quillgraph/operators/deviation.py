@@ -95,3 +95,13 @@ def summary(deviation: DataFrame) -> DataFrame:
     """(class, detail, n), zeros of the four classes included."""
     dim = deviation.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("as_planned", "unplanned", "unimplemented", "unmeasurable")))).alias("class"))
     return dim.join(deviation.groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
+def item_states(at_base: DataFrame, at_head: DataFrame) -> DataFrame:
+    """(item, expected, still_pending, promoted): targets expected, patterns pending at the head, and those bound since."""
+    key = ["item", "kind", "text", "source"]
+    both = at_base.select(*key, F.col("state").alias("b"), F.col("targets").alias("bt")).join(at_head.select(*key, F.col("state").alias("h"), F.col("targets").alias("ht")), key)
+    promoted = (F.col("b") == "pending") & (F.col("h") == "bound")
+    coords = F.when(promoted, F.array_union("bt", "ht")).otherwise(F.col("bt"))
+    per = both.groupBy("item").agg(F.size(F.array_distinct(F.flatten(F.collect_list(coords)))).cast("long").alias("expected"), F.max(F.col("h") == "pending").alias("still_pending"), F.count_if(promoted).alias("promoted"))
+    return per.select("item", "expected", "still_pending", "promoted")

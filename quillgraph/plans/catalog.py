@@ -6,9 +6,11 @@ import json
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import bindings as B
 from ..operators import budget, deviation, lookup, narrative, traverse
 from ..sources.tables import written
@@ -67,7 +69,8 @@ class Graph:
     fragments: DataFrame | None = None
     plans: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
     base: DataFrame | None = None
-    read_only: bool = False
+    #: Folder of the query log; None where answers aren't recorded.
+    log: str | None = None
 
     @property
     def current(self) -> bool:
@@ -164,7 +167,7 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     counts = _one(lookup.ledger(graph.files))
     nothing = {"identity": 1, "unresolved": 0, "grade": 0, "accessed": 0}
     covered = _one(lookup.coverage(accessed, graph.symbols, graph.files)) if accessed is not None else nothing
-    log = {"status": "not_recorded", "reason": "read_only_attach"} if graph.read_only else {"status": "recorded"}
+    log = {"status": "recorded"} if graph.log else {"status": "not_recorded", "reason": "read_only_attach"}
     envelope = Envelope(
         name, args, outcome, answer, graph.snapshot, {"built_for": graph.built_for or graph.snapshot, "current": graph.current}, covered,
         {"built": sorted(CATALOG), "not_built": NOT_BUILT}, None if name != "ledger.snapshot" else counts,
@@ -172,4 +175,24 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     )
     #: The time is an observation of the run, not part of the answer.
     envelope.micros = int((time.time() - began) * 1e6)
+    if graph.log:
+        _record(graph, envelope, accessed)
     return envelope
+
+
+def _record(graph: Graph, e: Envelope, accessed: DataFrame | None) -> None:
+    """Append the answer to the log, partitioned by snapshot, numbered after what is there."""
+    spark = graph.symbols.sparkSession
+    schema = "snapshot string, seq long, query string, args_digest string, elision string, micros long, accessed array<string>"
+    seen = accessed.agg(F.array_sort(F.collect_set("id")).alias("accessed")) if accessed is not None else spark.range(1).select(F.array().cast("array<string>").alias("accessed"))
+    args = ids.args_digest(*(F.lit(v) for _, v in sorted(e.args.items())))
+    new = seen.select(F.lit(e.snapshot).alias("snapshot"), F.lit(e.query).alias("query"), args.alias("args_digest"), F.lit(json.dumps(e.elision.counts, sort_keys=True)).alias("elision"), F.lit(e.micros).cast("long").alias("micros"), "accessed")
+    try:
+        old = spark.read.schema(schema).parquet(graph.log).where(F.col("snapshot") == e.snapshot)
+        old.limit(1).count()
+    except AnalysisException as x:
+        if "PATH_NOT_FOUND" not in str(x):
+            raise
+        old = spark.range(0).select(F.lit("").alias("snapshot"), F.lit(0).cast("long").alias("seq"))
+    last = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
+    new.withColumn("seq", F.lit(last + 1).cast("long")).write.mode("append").partitionBy("snapshot").parquet(graph.log)

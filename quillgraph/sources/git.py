@@ -75,3 +75,11 @@ def changed_in(spark: SparkSession, repo: str, rev: str) -> DataFrame:
     parents = _git(repo, "rev-parse", f"{commit}^@").decode().split()
     base = list_tree(spark, repo, parents[0]) if parents else head.limit(0)
     return differing_paths(base, head)
+
+
+def checked_in(content, is_text):
+    """Work-tree bytes as the repository would hold them: CRLF becomes LF in text, unless a NUL makes it binary."""
+    from pyspark.sql import functions as F
+
+    text = F.decode(content, "ISO-8859-1")
+    return F.when(is_text & ~F.contains(text, F.lit("\0")), F.encode(F.replace(text, F.lit("\r\n"), F.lit("\n")), "ISO-8859-1")).otherwise(content)

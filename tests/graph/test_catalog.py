@@ -49,6 +49,16 @@ def test_stale_projection_judges_nothing(graph):
     assert {r["code"] for r in out.answer["reports"].collect()} == {"undeterminable"} and not out.projection["current"]
 
 
+def test_answers_are_logged_in_order(graph, spark, tmp_path):
+    logged = catalog.Graph(**{**graph.__dict__, "log": f"file://{tmp_path}/log"})
+    for _ in range(2):
+        e = catalog.execute(logged, "ledger.snapshot")
+    catalog.execute(logged, "symbol.resolve", {"name": graph.symbols.first()["name"]})
+    rows = spark.read.parquet(logged.log).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == [1, 2, 3] and e.log["status"] == "recorded" and rows[0]["args_digest"] == rows[1]["args_digest"] != rows[2]["args_digest"]
+    assert not rows[0]["accessed"] and rows[2]["accessed"]
+
+
 def test_ingest_extracts_each_content_once(spark, tmp_path):
     rows = [("a.ts", "TypeScript", "b1", "function f() {}"), ("b.rs", "Rust", "b2", "fn g() {}")]
     schema = "path string, language string, blob string, text string"

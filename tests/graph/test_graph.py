@@ -256,3 +256,40 @@ def test_innermost_takes_the_narrowest(spark):
     spans = spark.createDataFrame([symbol("wide", at=0)[:7] + (0, 100, 0, 0), symbol("near", at=0)[:7] + (10, 20, 1, 0), symbol("twin", at=0)[:7] + (10, 20, 2, 0)], SYMBOLS)
     got = {r["at"]: r["inner"] for r in lookup.innermost(spark.createDataFrame([("p", 5), ("p", 12), ("p", 20), ("p", 100), ("z", 1)], "path string, at long"), spans).collect() if True}
     assert got == {5: "wide", 12: "near", 20: "wide", 100: None, 1: None}
+
+
+def test_bind_refuses_what_it_cannot_watch(spark, monkeypatch):
+    s = spark.createDataFrame([symbol("1", "a"), symbol("2", "b"), symbol("3", "b"), symbol("4", "z", grade=0)], SYMBOLS)
+    edges = spark.createDataFrame([("2", "1"), ("3", "2")], "src string, dst string")
+    empty = spark.createDataFrame([], "id string, subject string")
+    row = bindings.bind("a", "n", empty, s, edges, "closure", 2).first()
+    assert [w["symbol"] for w in row["watch"]] == ["1", "2", "3"] and row["target"] == "1"
+    for name in ("b", "nope", "z"):
+        with pytest.raises(bindings.BindRefused):
+            bindings.bind(name, "n", empty, s, edges)
+    monkeypatch.setattr("quillgraph.operators.budget.WATCH_PRODUCT", 2)
+    with pytest.raises(bindings.BindRefused):
+        bindings.bind("a", "n", empty, s, edges, "closure", 2)
+
+
+def test_approval_and_refusal(spark):
+    done = spark.createDataFrame([("d", "a", "candidates", "span", ["1", "2"])], "path string, anchor string, class string, by string, candidates array<string>")
+    no = spark.createDataFrame([], "path string, anchor string, target string, reason string")
+    assert narrative.approve(done, "d", "a", "2", no).count() == 1
+    no = narrative.refused(no, "d", "a", "2", "wrong")
+    assert narrative.refused(no, "d", "a", "2", "again").collect() == no.collect()
+    for target, refusals in (("2", no), ("9", no)):
+        with pytest.raises(ValueError):
+            narrative.approve(done, "d", "a", target, refusals)
+    with pytest.raises(ValueError):
+        narrative.refused(no, "d", "a", "1", " ")
+    kept = narrative.minted(done.select("path", "anchor", F.lit("e").alias("entity")).limit(0), done)
+    assert narrative.minted(kept, done).collect() == kept.collect() and kept.count() == 1
+
+
+def test_item_states(spark):
+    schema = "item string, kind string, text string, source string, state string, why string, targets array<string>"
+    base = spark.createDataFrame([("i", "new_symbol", "a", "s", "pending", "declared_new", []), ("i", "symbol", "b", "s", "bound", None, ["1"]), ("j", "new_symbol", "c", "s", "pending", "declared_new", [])], schema)
+    head = spark.createDataFrame([("i", "new_symbol", "a", "s", "bound", None, ["2"]), ("i", "symbol", "b", "s", "bound", None, ["9"]), ("j", "new_symbol", "c", "s", "pending", "declared_new", [])], schema)
+    got = {r["item"]: (r["expected"], r["still_pending"], r["promoted"]) for r in deviation.item_states(base, head).collect()}
+    assert got == {"i": (2, False, 1), "j": (0, True, 0)}
