@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, ship, shuffle_parts, written
+from .common import dropped, read, ship, shuffle_parts, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     now = now.join(wanted.select(F.col("k").alias("node"), "t"), "node").repartition(shuffle_parts(spark), *meet).sortWithinPartitions(*meet)
     links = links.unionByName(written(now.mapInArrow(_compare(shared, threshold), "a long, b long"), "links"))
     labels = components(links)
+    for table in (wanted, members, links):
+        dropped(table)
     named = nodes.select(F.col("k").alias("node"), "id", "whole", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(lowest, "label").select("whole", "n", "class_id")
