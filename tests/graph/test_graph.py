@@ -65,6 +65,22 @@ def test_reaches_matches_the_queue(spark):
             assert got.get(s, []) == want and told.get(s, {}) == lost
 
 
+def test_reaches_without_candidates(spark):
+    rng = random.Random(5)
+    nodes = [f"n{i:02d}" for i in range(20)]
+    edges = {a: dict.fromkeys(rng.sample(nodes, rng.randint(0, 4)), 1) for a in nodes}
+    df = spark.createDataFrame([(a, d) for a, to in edges.items() for d in to], "src string, dst string")
+    limits = Budget(depth=2, nodes=7)
+    found, cut = traverse.reaches(spark.createDataFrame([(n,) for n in nodes], "start string"), df, limits)
+    got, told = {}, {n: {} for n in nodes}
+    for r in found.orderBy("start", "rank").collect():
+        got.setdefault(r["start"], []).append(r["node"])
+    for r in cut.collect():
+        told[r["start"]][r["reason"]] = r["count"]
+    for n in nodes:
+        assert (got[n], told[n]) == model_reaches(n, edges, limits)
+
+
 def test_cascade_stops_with_residuals(spark):
     rows = [("a", True, []), ("b", False, ["a"]), ("c", False, ["b", "x"]), ("d", False, ["c"]), ("e", False, ["d"]), ("f", False, ["e"]), ("x", False, [])]
     got = {r["key"]: (r["grade"], r["via"]) for r in traverse.cascade(spark.createDataFrame(rows, "key string, stale boolean, inputs array<string>")).collect()}
