@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, read, shuffle_parts, uniform, word_count, written
+from .common import let, read, uniform, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
-N_SHARDS = 32
+#: Output shards: at least so many, and more as the words grow, so that a shard stays within one task's reach.
+LEAST_SHARDS, MOST_SHARDS, SHARD_WORDS = 32, 65_536, 2**22
 SEED = 20240
 FILLS = 4
 #: Words in a block, and the most blocks that a source is cut into (blocks grow beyond that).
 BLOCK_WORDS, MAX_BLOCKS = 65_536, 65_536
 #: Up to so many rows the table of drawn blocks (under 100 bytes a row) is broadcast; beyond, it is joined.
 MAX_BROADCAST_BLOCKS = 200_000
+#: Up to so many sources what is kept per source (under 2 kB) is broadcast; beyond, it is joined.
+MAX_BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_PASSES) -> DataFrame:
@@ -90,7 +93,7 @@ def _split(counts: Column, take: Column, lo: Column, hi: Column, seed: int) -> C
 
 
 def shard_quotas(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """From one row ``counts`` (blocks to draw of each source, by place): rows (place, ends), ends[i] = blocks in shards 0..i.
+    """From one row ``counts`` (blocks to draw of each source, by place): rows (place, shard, nth): which draw of a source goes to which shard.
 
     A tree splits the shards in halves; a node's blocks are dealt to its children by a multivariate hypergeometric
     draw, so all quotas are exact and each shard is a fair sample of the mix.
@@ -104,12 +107,13 @@ def shard_quotas(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
         child = lambda a, b, c: F.struct(a.alias("lo"), b.alias("hi"), c.alias("counts"))
         both = F.array(child(F.col("lo"), mid, F.col("left")), child(mid, F.col("hi"), F.zip_with("counts", "left", lambda a, b: a - b)))
         nodes = nodes.select(F.inline(F.when(F.col("left").isNull(), F.array(child(F.col("lo"), F.col("hi"), F.col("counts")))).otherwise(both)))
-    cells = nodes.select("lo", F.posexplode("counts").alias("place", "k"))
-    ends = F.sum("k").over(Window.partitionBy("place").orderBy("lo"))
-    return cells.select("place", "lo", ends.alias("end")).groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "end"))), lambda x: x["end"]).alias("ends"))
+    cells = nodes.select("lo", F.posexplode("counts").alias("place", "k")).where("k > 0")
+    end = F.sum("k").over(Window.partitionBy("place").orderBy("lo"))
+    cells = cells.withColumn("end", end)
+    return cells.select("place", F.col("lo").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("k"), F.col("end") - 1)).alias("nth"))
 
 
-def _cut(edge: DataFrame, rows: DataFrame) -> DataFrame:
+def _cut(edge: DataFrame, rows: DataFrame, few) -> DataFrame:
     """Which documents of the blocks at the border fill what is wanted: (_s, _b, cut), array of (after, upto, most).
 
     Documents come in hash order while they fit; what is still open is offered to later ones that fit, FILLS times.
@@ -119,17 +123,17 @@ def _cut(edge: DataFrame, rows: DataFrame) -> DataFrame:
     state = edge.select("_s", "_b", F.col("want").alias("open"), F.lit(-(2**63)).cast("long").alias("at"), none.alias("cut"))
     ordered = Window.partitionBy("_s", "_b").orderBy("_h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(FILLS):
-        fits = rows.join(F.broadcast(state.select("_s", "_b", "open", "at")), ["_s", "_b"]).where((F.col("_h") > F.col("at")) & (F.col("_size") <= F.col("open")))
+        fits = rows.join(few(state.select("_s", "_b", "open", "at")), ["_s", "_b"]).where((F.col("_h") > F.col("at")) & (F.col("_size") <= F.col("open")))
         got = fits.withColumn("to", F.sum("size").over(ordered)).where(F.col("to") <= F.col("open")).groupBy("_s", "_b").agg(F.max("_h").alias("upto"), F.max("to").alias("to"))
         more = F.concat("cut", F.array(F.struct(F.col("at").alias("after"), F.col("upto"), F.col("open").alias("most"))))
-        state = state.join(F.broadcast(got), ["_s", "_b"], "left").select(
+        state = state.join(few(got), ["_s", "_b"], "left").select(
             "_s", "_b", (F.col("open") - F.coalesce("to", F.lit(0))).alias("open"), F.coalesce("upto", "at").alias("at"), F.when(F.col("upto").isNotNull(), more).otherwise(F.col("cut")).alias("cut")
         )
         state = written(state, "mix-cut")
     return state.where(F.size("cut") > 0).select("_s", "_b", "cut")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, seed: int = SEED) -> DataFrame:
     """Every document with ``_size``, ``_source_size``, ``_target`` and ``_draws``, array of (pass, shard).
 
     Each source is cut into blocks by the key's hash. A source whose target is f times its size gives all blocks
@@ -150,8 +154,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("_s", show).withColumn("blocks", blocks).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     plan = written(plan, "mix-plan")
+    few = F.broadcast if plan.count() <= MAX_BROADCAST_SOURCES else lambda df: df
     small = plan.select("_s", "blocks", "full", "rest")
-    in_block = lambda df: df.join(F.broadcast(small), "_s").withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), "blocks"))
+    in_block = lambda df: df.join(few(small), "_s").withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), "blocks"))
 
     cells = in_block(sized).groupBy("_s", "_b", "full", "rest").agg(F.sum("_size").alias("size"))
     permuted = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed + 2), "_s", "_b"), "_b")
@@ -159,8 +164,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     inside = F.when(F.col("from") + F.col("size") <= F.col("rest"), 2).when((F.col("from") < F.col("rest")) & (F.col("size") > 0), 1).otherwise(0)
     cells = cells.withColumn("part", inside)
     edge = cells.where("part = 1").select("_s", "_b", (F.col("rest") - F.col("from")).alias("want"))
-    at_edge = in_block(sized).join(F.broadcast(edge.select("_s", "_b")), ["_s", "_b"]).groupBy("_s", "_b", "_h", "_size").agg(F.sum("_size").alias("size"))
-    cells = cells.join(F.broadcast(_cut(edge, written(at_edge, "mix-edge"))), ["_s", "_b"], "left")
+    at_edge = in_block(sized).join(few(edge.select("_s", "_b")), ["_s", "_b"]).groupBy("_s", "_b", "_h", "_size").agg(F.sum("_size").alias("size"))
+    cells = cells.join(few(_cut(edge, written(at_edge, "mix-edge"), few)), ["_s", "_b"], "left")
 
     passes = F.concat(F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("full"), F.lit(1))), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>")), F.when((F.col("part") == 2) | ((F.col("part") == 1) & F.col("cut").isNotNull()), F.array((F.col("full") + 1).cast("int"))).otherwise(F.array().cast("array<int>")))
     draws = cells.select("_s", "_b", "cut", "part", "full", F.explode(passes).alias("pass"))
@@ -168,14 +173,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     draws = written(draws.withColumn("nth", nth), "mix-draws")
     per_source = plan.join(draws.groupBy("_s").agg(F.count("*").alias("k")), "_s", "left").select("place", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     one = per_source.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "k"))), lambda x: x["k"]).alias("counts"))
+    if n_shards is None:
+        words = plan.agg(F.sum("source_size")).first()[0] or 0
+        n_shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-words // SHARD_WORDS)))
     quotas = written(shard_quotas(one, n_shards, seed + 4), "mix-quotas")
-    dealt = draws.join(F.broadcast(plan.select("_s", "place").join(quotas, "place")), "_s")
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("nth")))
+    dealt = draws.join(few(plan.select("_s", "place")), "_s").join(quotas, ["place", "nth"])
     border = F.when((F.col("pass") == F.col("full") + 1) & (F.col("part") == 1), F.col("cut"))
-    dealt = dealt.groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("pass", shard.alias("shard"), border.alias("cut")))).alias("_d"))
+    dealt = dealt.groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", border.alias("cut")))).alias("_d"))
     dealt = written(dealt, "mix-dealt")
     side = F.broadcast(dealt) if dealt.count() <= MAX_BROADCAST_BLOCKS else dealt
-    out = in_block(rows).join(side, ["_s", "_b"], "left").join(F.broadcast(plan.select("_s", "source_size", "target")), "_s")
+    out = in_block(rows).join(side, ["_s", "_b"], "left").join(few(plan.select("_s", "source_size", "target")), "_s")
     mine = F.filter(F.coalesce("_d", F.array().cast(dealt.schema["_d"].dataType)), lambda d: d["cut"].isNull() | F.exists(d["cut"], lambda c: (F.col("_h") > c["after"]) & (F.col("_h") <= c["upto"]) & (F.col("_size") <= c["most"])))
     return out.select("_row", "_h", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.transform(mine, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))).alias("_draws"))
 
@@ -183,7 +190,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 def mixed_rows(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the documents' own columns, a row for each draw, by shard and in a random order within it."""
     rows = mixed.select("_row", "_h", F.inline("_draws")).select("_row", "shard", F.xxhash64(F.lit(seed + 5), "_h", "pass").alias("_o"))
-    return rows.repartition(shuffle_parts(mixed.sparkSession), "shard").sortWithinPartitions("shard", "_o").select("_row.*")
+    return rows.repartition("shard").sortWithinPartitions("shard", "_o").select("_row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

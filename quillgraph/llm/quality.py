@@ -140,19 +140,18 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
         *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)),
     )
     est = written(_with_cholesky(start), "mcd")
+    few = est.count() <= MAX_BROADCAST_GROUPS
     for _ in range(C_STEPS):
-        far = _joined(vectors, est).withColumn("d", _distance([F.col(f"x{i}") for i in range(p)], F.col("e"))).drop("e")
+        far = _joined(vectors, est, few).withColumn("d", _distance([F.col(f"x{i}") for i in range(p)], F.col("e"))).drop("e")
         cut = far.groupBy("key").agg(F.percentile_approx("d", F.lit(SUBSET), 2000).alias("cut"))
-        near = _joined(far, cut, "cut").where(F.col("d") <= F.col("cut")["cut"])
+        near = _joined(far, cut, few, "cut").where(F.col("d") <= F.col("cut")["cut"])
         est = written(_with_cholesky(_moments(near, CONSISTENCY)), "mcd")
     return est
 
 
-def _joined(rows: DataFrame, est: DataFrame, name: str = "e") -> DataFrame:
+def _joined(rows: DataFrame, est: DataFrame, few: bool, name: str = "e") -> DataFrame:
     side = est.select("key", F.struct("*").alias(name))
-    if "n_groups" not in est.__dict__:
-        est.__dict__["n_groups"] = est.select("key").distinct().count()
-    return rows.join(F.broadcast(side) if est.__dict__["n_groups"] <= MAX_BROADCAST_GROUPS else side, "key", "left")
+    return rows.join(F.broadcast(side) if few else side, "key", "left")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -173,10 +172,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     vectors = table.where(~failed).select(F.explode("_k").alias("key"), *(F.col("_x")[i].alias(f"x{i}") for i in range(p)))
     est = mcd_estimates(vectors)
     est = written(est.join(vectors.groupBy("key").count().where(F.col("count") >= MIN_GROUP).select("key"), "key", "left_semi"), "mcd")
-    levels = range(3)
+    few, levels = est.count() <= MAX_BROADCAST_GROUPS, range(3)
     out = table
     for level in levels:
-        out = _joined(out.withColumn("key", F.col("_k")[level]), est, f"e{level}").drop("key")
+        out = _joined(out.withColumn("key", F.col("_k")[level]), est, few, f"e{level}").drop("key")
     distance = _distance([F.col("_x")[i] for i in range(p)], F.col("e"))
     out = out.withColumn("e", F.coalesce(*(F.col(f"e{i}") for i in levels))).select("_row", "_q", failed.alias("base_failed"), distance.alias("distance"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)

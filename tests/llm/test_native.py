@@ -110,10 +110,10 @@ def test_mixing_empty_and_odd(spark):
 def test_splitting_tree_is_exact(spark):
     counts = [500, 3, 0, 77]
     quotas = mixing.shard_quotas(spark.createDataFrame([(counts,)], "counts array<long>"), 7, 1).collect()
-    assert sorted((r["place"], r["ends"][-1]) for r in quotas) == list(enumerate(counts))
-    ends = {r["place"]: [0, *r["ends"]] for r in quotas}
-    shards = [sum(ends[p][i + 1] - ends[p][i] for p in ends) for i in range(7)]
-    assert sum(shards) == sum(counts) and max(shards) - min(shards) <= 3
+    dealt = Counter((r["place"], r["nth"]) for r in quotas)
+    assert dealt == Counter((p, n) for p, k in enumerate(counts) for n in range(k))
+    shards = Counter(r["shard"] for r in quotas)
+    assert len(shards) == 7 and max(shards.values()) - min(shards.values()) <= 3
 
 
 def test_hypergeometric_distribution(spark):
