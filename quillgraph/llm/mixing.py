@@ -10,7 +10,7 @@ from .common import let, read, uniform, word_count, written
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 #: Output shards: at least so many, and more as the words grow, so that a shard stays within one task's reach.
-LEAST_SHARDS, MOST_SHARDS, SHARD_WORDS = 32, 65_536, 2**22
+LEAST_SHARDS, MOST_SHARDS, SHARD_WORDS = 32, 65_536, 2**20
 SEED = 20240
 FILLS = 4
 #: Words in a block, and the most blocks that a source is cut into (blocks grow beyond that).
