@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,11 +54,11 @@ def _encoder(path: str):
         ranks = {bytes(table[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        own = Tokenizer.from_file(path)
+        own = cache(lambda: Tokenizer.from_file(path))  # few texts need it
 
         def encode(text: str) -> list[int]:
             if any(s in text for s in special):
-                return own.encode(text, add_special_tokens=False).ids
+                return own().encode(text, add_special_tokens=False).ids
             return fast(text)
 
         _ENCODERS[path] = encode
