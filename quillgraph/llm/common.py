@@ -37,9 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows handed to a Python worker at once: whole texts, so the default of 10,000 would hold tens of megabytes twice.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, which may not find it on their own path."""
-    sc = spark.sparkContext
+    """Send this package to the executors' Python workers, which may not find it on their own path, in small batches."""
+    sc, batch = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     if getattr(sc, "_quillgraph_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
