@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -272,8 +272,21 @@ def _compare(shared, threshold: float):
     return run
 
 
+def _row_hash(key: Column, text: str) -> Column:
+    """A hash of a row's key and text; that of a null key is of the text alone."""
+    return F.xxhash64(key, F.coalesce(text, F.lit("")))
+
+
+def _bare(text: str) -> Column:
+    """No text, or one without words."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, k, class_id): for every row its key, a hash of key and text, and the smallest key of its class.
+    """(id, k, class_id, class_k): for every row its key, a hash of key and text, and both of the first row of its class.
+
+    The first row is that of the smallest key, then of the smallest hash. ``class_k`` names the class: ``class_id`` alone
+    does not where a key is null or has several texts.
 
     Classes are the connected components of the pairs whose weighted Jaccard similarity over TF-IDF shingles reaches
     ``threshold``. Texts of equal words are one node. Nodes meet in buckets of equal band keys. Each bucket first
@@ -283,18 +296,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     The weight of a shingle is its count times the mean inverse document frequency of its words, held between
     LEAST_WEIGHT and 1: frequencies of whole shingles would make a large group of near copies frequent, and so less
-    similar the larger it is. Texts without words are their own class, null keys rank last (all of them have one
-    key); repeated rows are each returned. Empty table: no rows.
+    similar the larger it is. Texts without words are their own class, null keys rank last; repeated rows are each
+    returned. Empty table: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
-    base = docs.select(ident.alias("id"), F.xxhash64(ident, F.coalesce(text, F.lit(""))).alias("k"), F.col(text).alias("t"))
+    ident = F.col(key).cast("long")
+    base = docs.select(ident.alias("id"), _row_hash(ident, text).alias("k"), F.col(text).alias("t"))
+    rank = [F.col("id").isNull().alias("last"), "id", "k"]
     shared = spark.sparkContext.broadcast(word_weights(base.select("t")))
     sketch = "id long, k long, whole long, n long, w double, bands array<long>"
     sketches = written(base.mapInArrow(_sketch(shared), sketch), "sketches")
-    nodes = sketches.groupBy("whole", "n").agg(F.min(F.struct("id", "k", "w", "bands")).alias("f"))
-    nodes = written(nodes.select("whole", "n", "f.*"), "nodes")
+    nodes = sketches.groupBy("whole", "n").agg(F.min(F.struct(*rank, "w", "bands")).alias("f"))
+    nodes = written(nodes.select("whole", "n", "f.id", "f.k", "f.w", "f.bands"), "nodes")
     members = nodes.select(F.col("k").alias("node"), "w", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1")
     members = written(members.join(crowded.drop("m"), ["band", "key"]), "buckets")
@@ -318,23 +332,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     labels = components(links)
     for table in (wanted, members, links):
         dropped(table)
-    named = nodes.select(F.col("k").alias("node"), "id", "whole", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = named.join(lowest, "label").select("whole", "n", "class_id")
-    out = sketches.select("id", "k", "whole", "n").join(named, ["whole", "n"]).select("id", "k", "class_id")
-    bare = base.where(~F.coalesce("t", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", "k", F.col("id").alias("class_id"))
+    named = nodes.join(labels.withColumnRenamed("node", "k"), "k", "left").select("whole", "n", "id", "k", F.coalesce("label", "k").alias("label"))
+    lowest = named.groupBy("label").agg(F.min(F.struct(*rank)).alias("f"))
+    named = named.join(lowest, "label").select("whole", "n", F.col("f.id").alias("class_id"), F.col("f.k").alias("class_k"))
+    out = sketches.select("id", "k", "whole", "n").join(named, ["whole", "n"]).select("id", "k", "class_id", "class_k")
+    bare = base.where(_bare("t")).select("id", "k", F.col("id").alias("class_id"), F.col("k").alias("class_k"))
     return out.unionByName(bare)
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, first_id, class_id): ``class_id`` is a hash that no other class has, ``first_id`` the smallest doc_id."""
     out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "class_id")
+    return out.select(F.col("id").alias("doc_id"), F.col("class_id").alias("first_id"), F.col("class_k").alias("class_id"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest doc_id; documents without words all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = found.where("id = class_id").groupBy("id").agg(F.min("k").alias("k"))
-    ident = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    rows = docs.select(F.struct("*").alias("_row"), ident.alias("id"), F.xxhash64(ident, F.coalesce("text", F.lit(""))).alias("k"))
-    return rows.join(first, ["id", "k"], "left_semi").dropDuplicates(["id", "k"]).select("_row.*")
+    worded = docs.where(~_bare("text"))
+    found = near_duplicates(worded.select("doc_id", "text"))
+    first = found.where("id <=> class_id AND k = class_k").select(F.col("id").alias("first"), "k").distinct()
+    ident = F.col("doc_id").cast("long")
+    rows = worded.select(F.struct("*").alias("_row"), ident.alias("id"), _row_hash(ident, "text").alias("k"))
+    kept = rows.join(first, (rows["k"] == first["k"]) & F.col("id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["id", "k"]).select("_row.*")
+    return kept.unionByName(docs.where(_bare("text")))

@@ -213,6 +213,29 @@ def test_near_duplicates_find_copies_and_leave_the_rest(spark):
     assert neardups.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_classes_of_null_and_repeated_keys_stay_apart(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    lone, same, top = [text() for _ in range(5)], text(), text()
+    rows = [(None, x) for x in lone] + [(7, text()) for _ in range(4)] + [(None, same), (9, same), (None, same)]
+    rows += [(2**63 - 1, top), (None, top), (None, None), (None, ""), (None, ""), (7, " "), (7, " ")]
+    docs = docs_of(spark, rows)
+    kept = neardups.stage(spark, docs, "").select("doc_id", "text").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    want = rows[:9] + [(9, same), (2**63 - 1, top)] + rows[-5:]
+    assert sorted(map(tuple, kept), key=key) == sorted(want, key=key)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = neardups.op5_near_duplicates(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0) for r in out) == sorted((i or 0) for i, _ in rows)
+    classes = defaultdict(list)
+    for r in out:
+        classes[r["class_id"]].append((r["doc_id"], r["first_id"]))
+    # five null keys, four texts of key 7, two shared texts; without words: null and "" of a null key are one row, as are both " " of 7
+    assert sorted(map(len, classes.values())) == [1] * 9 + [2, 2, 3, 3]
+    assert [(9, 9)] == [c for v in classes.values() for c in v if c[0] == 9]
+    assert all(len({first for _, first in v}) == 1 for v in classes.values())
+
+
 def test_sampling_agrees_with_weighted_jaccard():
     rng = np.random.default_rng(4)
     x = rng.integers(1, 2**63, 300, dtype=np.uint64)
