@@ -40,7 +40,13 @@ def _asked(symbols: DataFrame) -> DataFrame:
     return known.unionByName(more)
 
 
+def _every_name(symbols: DataFrame) -> DataFrame:
+    return symbols.select(F.col("name").alias("asked")).unionByName(_asked(symbols)).distinct()
+
+
 _ASKED = "asked AS (SELECT DISTINCT name AS asked FROM symbols_head WHERE name LIKE '%7' UNION ALL SELECT unnest(['O_11', 'o-1-3', 'nothing']))"
+#: Every name there is, and the three that don't exist.
+_EVERY_NAME = "asked AS (SELECT DISTINCT name AS asked FROM symbols_head UNION SELECT unnest(['O_11', 'o-1-3', 'nothing']))"
 #: Symbols that queries start from: those with the first place in their file.
 _STARTS = "starts AS (SELECT id AS start FROM symbols_head WHERE ix = 1)"
 
@@ -81,6 +87,19 @@ def symbol_outcome(spark, sf_dir):
     return lookup.outcomes(_asked(symbols), symbols)
 
 
+@query("SELECT asked, row_number() OVER (PARTITION BY asked ORDER BY path, byte_start, id) AS place, id, path, kind, byte_start FROM asked JOIN symbols_head ON asked = name", _EVERY_NAME)
+def symbol_resolve_all(spark, sf_dir):
+    symbols = A.symbols(spark, sf_dir)
+    return lookup.resolve(_every_name(symbols), symbols).select("asked", "place", "id", "path", "kind", "byte_start")
+
+
+@query("""SELECT asked, coalesce(n, 0) AS n, CASE coalesce(n, 0) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN id END AS id
+  FROM asked LEFT JOIN (SELECT name, count(*) AS n, min(id) AS id FROM symbols_head GROUP BY name) ON asked = name""", _EVERY_NAME)
+def symbol_outcome_all(spark, sf_dir):
+    symbols = A.symbols(spark, sf_dir)
+    return lookup.outcomes(_every_name(symbols), symbols)
+
+
 @query("""SELECT r.id AS start, row_number() OVER (PARTITION BY r.id ORDER BY s.byte_start, s.id) AS place, s.id FROM symbols_head r JOIN symbols_head s ON r.path = s.path AND r.id <> s.id
   AND s.container[1:len(r.container) + 1] = list_append(r.container, r.name)""")
 def symbol_contains(spark, sf_dir):
@@ -122,6 +141,28 @@ def symbol_reaches_cut(spark, sf_dir):
     return traverse.reaches(_last(symbols), edges)[1]
 
 
+#: The search from every symbol; the files are smaller than the budget of nodes, so only the depth cuts.
+_FORWARD_ALL = """reach AS (SELECT id AS start, id AS node, 0 AS depth FROM symbols_head UNION SELECT r.start, dst, depth + 1 FROM reach r JOIN edges_head ON node = src WHERE depth < 3)"""
+
+
+def _every_start(symbols: DataFrame) -> DataFrame:
+    return symbols.select(F.col("id").alias("start"))
+
+
+@query("SELECT start, node, min(depth)::INTEGER AS depth FROM reach GROUP BY start, node", _FORWARD_ALL)
+def symbol_reaches_all(spark, sf_dir):
+    symbols, edges = _graph(spark, sf_dir)
+    return traverse.reaches(_every_start(symbols), edges)[0].select("start", "node", "depth")
+
+
+@query("""SELECT start, 'depth' AS reason, count(*) AS count FROM (
+  SELECT DISTINCT r.start, r.node, e.dst FROM (SELECT start, node FROM reach GROUP BY start, node HAVING min(depth) = 3) r JOIN edges_head e ON r.node = e.src
+  WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.start = r.start AND x.node = e.dst)) GROUP BY start""", _FORWARD_ALL)
+def symbol_reaches_cut_all(spark, sf_dir):
+    symbols, edges = _graph(spark, sf_dir)
+    return traverse.reaches(_every_start(symbols), edges)[1]
+
+
 @query("SELECT id, path, name, kind, body, byte_start FROM symbols_head")
 def graph_nodes(spark, sf_dir):
     return A.symbols(spark, sf_dir).select("id", "path", "name", "kind", "body", "byte_start")
@@ -152,6 +193,14 @@ def symbol_coverage(spark, sf_dir):
     return lookup.coverage(_starts(symbols).withColumnRenamed("start", "id"), symbols, A.files(spark, sf_dir))
 
 
+@query("""SELECT coalesce(min(CASE WHEN ordinal = 0 THEN 2 ELSE 1 END), 1)::INTEGER AS identity,
+  (SELECT coalesce(sum(unresolved), 0)::BIGINT FROM files WHERE refs_built AND path IN (SELECT path FROM symbols_head)) AS unresolved,
+  (SELECT coalesce(min(grade), 0)::INTEGER FROM files WHERE path IN (SELECT path FROM symbols_head)) AS grade, count(*) AS accessed FROM symbols_head""")
+def symbol_coverage_all(spark, sf_dir):
+    symbols = A.symbols(spark, sf_dir)
+    return lookup.coverage(symbols.select("id"), symbols, A.files(spark, sf_dir))
+
+
 _STATUS = """e AS (SELECT w.id, b.target, w.symbol, CASE WHEN s.id IS NULL THEN 'gone' WHEN s.grade = 0 THEN 'identity_grade' WHEN s.bucket = 'partial' THEN 'partial_parse' WHEN s.body <> w.digest THEN 'changed' END AS event
   FROM watch w JOIN bound b ON w.id = b.id LEFT JOIN symbols_head s ON s.id = w.symbol),
 st AS (SELECT id, target, CASE WHEN bool_or(event = 'gone' AND symbol = target) THEN 'orphaned' WHEN bool_or(event IN ('identity_grade', 'partial_parse', 'gone')) THEN 'undeterminable'

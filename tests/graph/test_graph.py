@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.glob import GlobError, glob_matches
 from quillgraph.operators import bindings, defect, deviation, doctor, lookup, narrative, traverse
 from quillgraph.operators.traverse import Budget
+from quillgraph.plans import queries
 from quillgraph.sources import documents, recognize, scanners, store
 
 
@@ -81,6 +82,31 @@ def test_reaches_without_candidates(spark):
         assert (got[n], told[n]) == model_reaches(n, edges, limits)
 
 
+def test_whole_queries_take_every_name_and_start(spark, sf):
+    found = {r["id"]: r["name"] for r in queries.QUERIES["graph_nodes"](spark, sf).collect()}
+    edges, named = {}, {}
+    for r in queries.QUERIES["graph_edges"](spark, sf).collect():
+        edges.setdefault(r["src"], {})[r["dst"]] = 1
+    for i, n in found.items():
+        named.setdefault(n, set()).add(i)
+    run = lambda name: queries.QUERIES[name](spark, sf).collect()
+    got = {}
+    for r in run("symbol_resolve_all"):
+        got.setdefault(r["asked"], set()).add(r["id"])
+    assert got == named
+    told = {r["asked"]: (r["n"], r["id"]) for r in run("symbol_outcome_all")}
+    assert told == {n: (len(x), min(x) if len(x) == 1 else None) for n, x in named.items()} | {n: (0, None) for n in ("O_11", "o-1-3", "nothing")}
+    nodes, cut = {}, {}
+    for r in run("symbol_reaches_all"):
+        nodes.setdefault(r["start"], set()).add(r["node"])
+    for r in run("symbol_reaches_cut_all"):
+        cut.setdefault(r["start"], {})[r["reason"]] = r["count"]
+    model = {i: model_reaches(i, edges, Budget()) for i in found}
+    assert nodes == {i: set(out) for i, (out, _) in model.items()}
+    assert cut == {i: {r: n for r, n in lost.items() if n} for i, (_, lost) in model.items() if any(lost.values())}
+    assert run("symbol_coverage_all")[0]["accessed"] == len(found)
+
+
 def test_cascade_stops_with_residuals(spark):
     rows = [("a", True, []), ("b", False, ["a"]), ("c", False, ["b", "x"]), ("d", False, ["c"]), ("e", False, ["d"]), ("f", False, ["e"]), ("x", False, [])]
     got = {r["key"]: (r["grade"], r["via"]) for r in traverse.cascade(spark.createDataFrame(rows, "key string, stale boolean, inputs array<string>")).collect()}
