@@ -192,7 +192,7 @@ CHAT = [
 
 def test_chat_round_trip(spark):
     turns = spark.createDataFrame([(*r, "c", 1) for r in CHAT * 1], "conv_id long, turn long, role string, text string, _c string, formatted int")
-    out = chat.format_conversations(turns).select("conv_id", "formatted", "loss_runs", chat.let(chat.F.col("formatted"), chat.read_back).alias("t")).collect()
+    out = chat.format_conversations(turns).select("conv_id", "formatted", "loss_runs", chat.let(chat.F.col("formatted"), chat.read_back).alias("t"), chat.under_mask(chat.F.col("formatted"), chat.F.col("loss_runs")).alias("masked")).collect()
     want = defaultdict(list)
     for c, n, r, x in CHAT:
         want[c].append(((n is not None, n or 0), r or "", x or ""))
@@ -201,16 +201,25 @@ def test_chat_round_trip(spark):
         told = [(r, x) for _, r, x in sorted(want[row["conv_id"]])]
         back = [(t["role"], t["text"]) for t in row["t"]]
         assert back == told
-        at, loss = 0, []
+        whole, loss = row["formatted"].encode(), []
         for run, (role, _) in zip(row["loss_runs"], told, strict=True):
-            at += run["skip"]
+            assert run["trained"] == (role == "assistant")
             if run["trained"]:
-                loss.append(row["formatted"][at : at + run["take"]].replace("\\l", "<").replace("\\b", "\\"))
-            at += run["take"]
+                loss.append(whole[run["start"] : run["start"] + run["bytes"]].decode().replace("\\l", "<").replace("\\b", "\\"))
+        assert row["masked"] == "".join(loss)
         assert loss == [x for r, x in told if r == "assistant"]
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    """Thousands of turns and one of a million characters in one conversation."""
+    said = [("assistant" if i % 3 else "user", f"<t> {i} é\\") for i in range(5000)] + [("assistant", "\U0001F600<" * 500_000)]
+    turns = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(turns).select(chat.under_mask(chat.F.col("formatted"), chat.F.col("loss_runs")).alias("m"), chat.let(chat.F.col("formatted"), chat.read_back).alias("t")).first()
+    assert out["m"] == "".join(x for r, x in said if r == "assistant")
+    assert [(t["role"], t["text"]) for t in out["t"]] == said
+
+
 def test_chat_query_digests(spark, sf):
     out = {r["conv_id"]: r for r in chat.op8_chat_format(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
