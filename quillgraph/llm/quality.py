@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, read, words_of, written
+from .common import WORD, dropped, let, read, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -22,7 +22,10 @@ CUTOFF = 30.0
 STATS = ("log_word_len", "sqrt_symbols", "dup_lines", "repeats")
 FLOORS = (0.03, 0.04, 0.12, 0.12)
 MIN_GROUP = 50
-C_STEPS = 3
+#: Concentration goes on while the logarithm of a determinant still falls by more than this.
+LEAST_FALL = 1e-4
+#: Squared distances are counted in bins of ratio exp(1 / BINS), from exp(FIRST_BIN / BINS) on, to find the nearest share.
+BINS, FIRST_BIN = 64, -1024
 #: Up to so many groups their estimates (28 numbers each) are broadcast; beyond, they are joined.
 MAX_BROADCAST_GROUPS = 20_000
 
@@ -93,13 +96,14 @@ def _keys(lang: str, source: str) -> list[Column]:
 
 
 def _with_cholesky(est: DataFrame) -> DataFrame:
-    """Adds l_ij, the lower triangular factor of the covariance c_ij."""
+    """l_ij, the lower triangular factor of the covariance c_ij, and ``det``, the logarithm of its determinant."""
     p = len(STATS)
     for i in range(p):
         for j in range(i + 1):
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))  # noqa: B023
             est = est.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return est.select("key", "n", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    det = reduce(lambda a, b: a + b, (2 * F.log(f"l{i}{i}") for i in range(p)))
+    return est.select("key", "start", "n", det.alias("det"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _distance(x: list[Column], est: Column) -> Column:
@@ -111,42 +115,72 @@ def _distance(x: list[Column], est: Column) -> Column:
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Mean and covariance of each key; a statistic's variance is floored by adding the square of its floor."""
+    """Mean and covariance of each (key, start); a statistic's variance is floored by adding the square of its floor."""
     p = len(STATS)
-    sums = rows.groupBy("key").agg(
+    sums = rows.groupBy("key", "start").agg(
         F.count("*").alias("n"),
         *(F.avg(f"x{i}").alias(f"m{i}") for i in range(p)),
         *(F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}{j}") for i in range(p) for j in range(i + 1)),
     )
     cov = [(factor * F.col(f"v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    return sums.select("key", "n", *(f"m{i}" for i in range(p)), *cov)
+    return sums.select("key", "start", "n", *(f"m{i}" for i in range(p)), *cov)
+
+
+def _nearest(vectors: DataFrame, est: DataFrame, few: bool, share: float) -> DataFrame:
+    """For each (key, start) of ``est`` the rows of ``vectors`` nearest to it: the fewest whole bins of distance with ``share`` of all.
+
+    Bins are counts, so the cut is exact, bounded by the number of bins for any key, and the same on every run.
+    """
+    d = _distance([F.col(f"x{i}") for i in range(len(STATS))], F.col("e"))
+    bin_ = F.greatest(F.lit(FIRST_BIN), F.floor(F.log(d + 1e-300) * BINS)).cast("int")
+    far = _joined(vectors, est, few).where("e IS NOT NULL").select("key", F.col("e")["start"].alias("start"), *(f"x{i}" for i in range(len(STATS))), bin_.alias("bin"))
+    order = Window.partitionBy("key", "start").orderBy("bin")
+    seen = far.groupBy("key", "start", "bin").count()
+    seen = seen.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("key", "start")))
+    cut = seen.where(F.col("upto") >= share * F.col("all")).groupBy("key", "start").agg(F.min("bin").alias("cut"))
+    side = F.broadcast(cut) if few else cut
+    return far.join(side, ["key", "start"]).where("bin <= cut")
 
 
 def mcd_estimates(vectors: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant location and factor of each ``key``; ``vectors``: key, x0..x3.
 
-    The start is the median with the spread of the half around it; each concentration step keeps the SUBSET
-    share nearest to the estimate and estimates again. A step is two aggregates with partial sums, so a key
+    Three starts: 0 the mean and covariance of all rows, 1 the medians with the spread of the half around them, 2 the
+    half of the rows nearest to start 1. A concentration step keeps the SUBSET share nearest to an estimate and
+    estimates again; each start is led on until its determinant falls no more (every step but the last lowers it, so
+    it ends), and each key takes the start that ends lowest. A step is two aggregates with partial sums, so a key
     that holds a third of the rows costs no more than any other.
     """
     p = len(STATS)
-    med = vectors.groupBy("key").agg(
-        F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(p))
-    )
-    start = med.select(
-        "key",
-        "n",
-        *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)),
-        *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)),
-    )
-    est = written(_with_cholesky(start), "mcd")
+    tri = [(i, j) for i in range(p) for j in range(i + 1)]
+    quartiles = (F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(p))
+    med = vectors.groupBy("key").agg(F.count("*").alias("n"), *quartiles)
+    spread = lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2
+    med = med.select("key", F.lit(1).alias("start"), "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *((spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in tri))
+    est = written(_with_cholesky(med.unionByName(_moments(vectors.withColumn("start", F.lit(0)), 1.0))), "mcd")
     few = est.count() <= MAX_BROADCAST_GROUPS
-    for _ in range(C_STEPS):
-        far = _joined(vectors, est, few).withColumn("d", _distance([F.col(f"x{i}") for i in range(p)], F.col("e"))).drop("e")
-        cut = far.groupBy("key").agg(F.percentile_approx("d", F.lit(SUBSET), 2000).alias("cut"))
-        near = _joined(far, cut, few, "cut").where(F.col("d") <= F.col("cut")["cut"])
-        est = written(_with_cholesky(_moments(near, CONSISTENCY)), "mcd")
-    return est
+    half = _nearest(vectors, est.where("start = 1"), few, 0.5).withColumn("start", F.lit(2))
+    est = _swapped(est, est.unionByName(_with_cholesky(_moments(half, CONSISTENCY))))
+    best, active = None, est
+    while active.limit(1).count():
+        new = written(_with_cholesky(_moments(_nearest(vectors, active, few, SUBSET), CONSISTENCY)), "mcd")
+        if best is None:
+            best, active = new, new
+            continue
+        was = best.select("key", "start", F.col("det").alias("was"))
+        better = new.join(was, ["key", "start"]).where(F.col("det") < F.col("was") - LEAST_FALL).drop("was")
+        better = written(better, "mcd")
+        kept = best.join(better.select("key", "start"), ["key", "start"], "left_anti")
+        best, active = written(kept.unionByName(better), "mcd"), better
+    columns = [c for c in est.columns if c != "key"]
+    lowest = F.min_by(F.struct(*columns), F.struct("det", "start")).alias("e")
+    return (est if best is None else best).groupBy("key").agg(lowest).select("key", "e.*")
+
+
+def _swapped(old: DataFrame, new: DataFrame) -> DataFrame:
+    new = written(new, "mcd")
+    dropped(old)
+    return new
 
 
 def _joined(rows: DataFrame, est: DataFrame, few: bool, name: str = "e") -> DataFrame:
@@ -171,7 +205,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     failed = base_failed(F.col("_q"))
     vectors = table.where(~failed).select(F.explode("_k").alias("key"), *(F.col("_x")[i].alias(f"x{i}") for i in range(p)))
     est = mcd_estimates(vectors)
-    est = written(est.join(vectors.groupBy("key").count().where(F.col("count") >= MIN_GROUP).select("key"), "key", "left_semi"), "mcd")
+    est = written(est.select("key", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))).join(vectors.groupBy("key").count().where(F.col("count") >= MIN_GROUP).select("key"), "key", "left_semi"), "mcd")
     few, levels = est.count() <= MAX_BROADCAST_GROUPS, range(3)
     out = table
     for level in levels:
@@ -183,6 +217,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; null texts have no words and fail, repeated rows are each returned."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = quality_rules(docs, carry=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -190,5 +225,5 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep."""
+    """Pipeline stage: the documents that the rules keep. Null texts go, repeated rows are judged alike, no rows give none."""
     return quality_rules(docs).where("kept").select(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quillgraph.llm import chat, mixing, quality, sharding, urls
@@ -52,6 +53,49 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert seen[(0, False)] > 10 and seen.get((0, True), 0) <= 2
 
 
+def brute_mcd(x, share, factor, floors, tries=300):
+    """Least determinant over many random starts, each concentrated until it stays; plain matrices."""
+    rng, best = np.random.default_rng(0), None
+    h = int(np.ceil(share * len(x)))
+    for t in range(tries):
+        keep = rng.choice(len(x), 6 if t else len(x), replace=False)
+        was = np.inf
+        while True:
+            m, c = x[keep].mean(0), factor * np.cov(x[keep].T, bias=True) + np.diag(np.square(floors))
+            det = np.linalg.slogdet(c)[1]
+            if len(keep) == h:
+                if best is None or det < best[0]:
+                    best = det, m, c
+                if det > was - 1e-9:
+                    break
+                was = det
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            keep = np.argsort(d)[:h]
+    return best
+
+
+def test_mcd_reaches_the_least_determinant(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(160, 4)) @ np.array([[0.3, 0.1, 0, 0], [0, 0.2, 0.1, 0], [0, 0, 0.3, 0], [0.1, 0, 0, 0.2]])
+    groups = {
+        "clean": base,
+        "fifth": np.r_[base[:128], rng.normal(2.5, 0.1, (32, 4))],
+        "cluster": np.r_[base[:124], base[124:] * 0.05 + np.array([0, 3, 0, -3])],
+        "constant": np.c_[base[:, :3], np.zeros(160)],
+    }
+    rows = [(k, *map(float, v)) for k, x in groups.items() for v in x]
+    vectors = spark.createDataFrame(rows, "key string, x0 double, x1 double, x2 double, x3 double")
+    got = {r["key"]: r for r in quality.mcd_estimates(vectors).collect()}
+    for k, x in groups.items():
+        det, m, c = brute_mcd(x, quality.SUBSET, quality.CONSISTENCY, quality.FLOORS)
+        assert got[k]["det"] < det + 0.12, k  # whole bins may take in a row or two more than the share
+        mine = np.array([got[k][f"m{i}"] for i in range(4)])
+        assert np.abs(mine - m).max() < 0.08
+        low = np.array([[got[k][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        far = lambda c, m: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) > quality.CUTOFF  # noqa: B023, E731
+        assert (far(low @ low.T, mine) == far(c, m)).mean() > 0.99
+
+
 def test_quality_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     out = quality.quality_rules(docs)
