@@ -15,29 +15,35 @@ from .common import dropped, read, ship, shuffle_parts, written
 WINDOW = 50
 #: Words of the seeds by which windows are dealt to shards.
 SEED_WORDS = 12
-#: A shard with more different segments than this has its windows dealt one by one.
-MAX_SEGMENTS = 512
+#: Words of one shard's reference; a shard with more is split by the words around its windows' seeds.
+SHARD_WORDS = 65_536
+#: Windows of one segment at most, so that a document of one repeated seed is not one piece.
+RUN = 256
 
 
 class Automaton:
-    """A suffix automaton of several word sequences: every run of words that occurs in one of them is a path."""
+    """A suffix automaton of several word sequences: every run of words that occurs in one of them is a path.
+
+    Sequences are added by ascending id; ``first`` holds of every state the smallest id whose sequence has its runs.
+    """
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.first = [-1], [0], [-1]
 
     def _clone(self, p: int, q: int, w) -> int:
         new = len(self.next)
         self.next.append(self.next[q].copy())
         self.length.append(self.length[p] + 1)
         self.link.append(self.link[q])
+        self.first.append(self.first[q])
         self.link[q] = new
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = new
             p = self.link[p]
         return new
 
-    def add(self, sequence: list) -> None:
+    def add(self, sequence: list, ident: int = 0) -> None:
         last = 0
         for w in sequence:
             q = self.next[last].get(w)
@@ -48,6 +54,7 @@ class Automaton:
             self.next.append({})
             self.length.append(self.length[last] + 1)
             self.link.append(0)
+            self.first.append(ident)
             p = last
             while p >= 0 and w not in self.next[p]:
                 self.next[p][w] = new
@@ -57,8 +64,8 @@ class Automaton:
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
             last = new
 
-    def statistics(self, sequence: list) -> list[int]:
-        """At each word, the length of the longest run ending there that occurs in the automaton."""
+    def statistics(self, sequence: list) -> list[tuple[int, int]]:
+        """At each word (length of the longest run ending there that occurs in the automaton, its state)."""
         out, v, n = [], 0, 0
         follow, link, length = self.next, self.link, self.length
         for w in sequence:
@@ -70,21 +77,34 @@ class Automaton:
                 n = 0
             else:
                 v, n = to, n + 1
-            out.append(n)
+            out.append((n, v))
         return out
 
-
-def spans(lengths: list[int], window: int) -> list[tuple[int, int]]:
-    """Maximal (start, end) of words that lie in a run of at least ``window``."""
-    out: list[tuple[int, int]] = []
-    for i, n in enumerate(lengths):
-        if n >= window:
-            lo = i + 1 - n
-            if out and lo <= out[-1][1]:
-                out[-1] = (min(lo, out[-1][0]), i + 1)
+    def holders(self, sequence: list, window: int) -> list[tuple[int, int, int]]:
+        """(first window, end, id): runs of windows that occur, each with the smallest id that holds them."""
+        out: list[tuple[int, int, int]] = []
+        link, length, first = self.link, self.length, self.first
+        for i, (n, v) in enumerate(self.statistics(sequence)):
+            if n < window:
+                continue
+            while length[link[v]] >= window:
+                v = link[v]
+            at, ident = i + 1 - window, first[v]
+            if out and out[-1][1] == at and out[-1][2] == ident:
+                out[-1] = (out[-1][0], at + 1, ident)
             else:
-                out.append((lo, i + 1))
-    return out
+                out.append((at, at + 1, ident))
+        return out
+
+
+def _runs(same: np.ndarray, most: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs in which ``same`` (is like the one before) holds, none longer than ``most``."""
+    begin = np.flatnonzero(~same)
+    size = np.diff(np.r_[begin, len(same)])
+    parts = -(-size // most)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(begin, parts) + nth * most
+    return first, np.minimum(first + most, np.repeat(begin + size, parts)) - 1
 
 
 def _segments(texts: list[bytes], window: int, seed: int):
@@ -98,13 +118,30 @@ def _segments(texts: list[bytes], window: int, seed: int):
     ok = np.flatnonzero(at[text + 1][: len(low)] - np.arange(len(low)) >= window)
     if not len(ok):
         return None
-    begins = np.r_[True, (low[ok[1:]] != low[ok[:-1]]) | (ok[1:] != ok[:-1] + 1) | (text[ok[1:]] != text[ok[:-1]])]
-    first = ok[begins]
-    last = ok[np.r_[begins[1:], True]]
-    n = last - first + window
+    a, b = _runs(np.r_[False, (low[ok[1:]] == low[ok[:-1]]) & (ok[1:] == ok[:-1] + 1) & (text[ok[1:]] == text[ok[:-1]])])
+    first, n = ok[a], ok[b] - ok[a] + window
     return text[first], low[first], W.window(sums, first, n), first - at[text[first]], n
 
 
+def _split(words: bytes, window: int, seed: int, lo: int, hi: int):
+    """Of a segment whose windows have ``lo`` to ``hi`` words before their seed: (low half or high, context hash,
+    content hash, first window, words) of the runs of windows with the same half and context.
+
+    The half that a window lies in is told by the words before its seed; all windows of a half hold the same stretch
+    around their seeds, the context. Equal windows have equal halves and contexts.
+    """
+    h = W.hashed([words])[0]
+    sums, many = W.window_sums(h), len(h) - window + 1
+    seeds = W.window(sums, np.arange(len(h) - seed + 1), seed)
+    before = np.argmin(np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1), axis=1)  # the leftmost least
+    mid = (lo + hi + 1) // 2
+    high = before >= mid
+    low_end, high_end = np.where(high, mid, lo), np.where(high, hi, mid - 1)
+    context = W.window(sums, np.arange(many) + before - low_end, low_end + window - high_end)
+    a, b = _runs(np.r_[False, (high[1:] == high[:-1]) & (context[1:] == context[:-1])])
+    return high[a], context[a], W.window(sums, a, b - a + window), a, b - a + window
+
+
 def _bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
@@ -125,61 +162,109 @@ def _find(window: int, seed: int):
     return run
 
 
-def _cut_out(window: int):
-    """The words of the segments that shards need; where a shard is split, the hashes of their windows."""
+def _cut_out(batches: Iterator) -> Iterator:
+    """The words of the segments that shards need."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out: dict[str, list] = {x: [] for x in ("h", "c", "n", "id", "words")}
+        for text, ident, wanted in zip(_bytes(batch.column("t")), batch.column("id").to_pylist(), batch.column("want").to_pylist(), strict=True):
+            words = text.split()
+            for x in wanted:
+                for name, v in (("h", x["h"]), ("c", x["c"]), ("n", x["n"]), ("id", ident), ("words", b" ".join(words[x["s"] : x["s"] + x["n"]]))):
+                    out[name].append(v)
+        kinds = {"h": pa.int64(), "c": pa.int64(), "n": pa.int32(), "id": pa.int64(), "words": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array(out[x], type=kinds[x]) for x in kinds], names=[*kinds])
+
+
+def _part(window: int, seed: int):
+    """Pieces of shards that are too large, cut by context: each with the piece it came from and where it begins there."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("h", "c", "n", "id", "at", "w", "words")}
-            for text, ident, wanted in zip(_bytes(batch.column("t")), batch.column("id").to_pylist(), batch.column("want").to_pylist(), strict=True):
-                words, sums = text.split(), None
-                for x in wanted:
-                    n, s = x["n"], x["s"]
-                    if x["split"]:
-                        if sums is None:
-                            sums = W.window_sums(W.hashed([text])[0])
-                        many = n - window + 1
-                        cells = {"at": range(many), "w": W.window(sums, np.arange(s, s + many), window).view(np.int64).tolist(), "words": [None] * many}
-                    else:
-                        many, cells = 1, {"at": [0], "w": [None], "words": [b" ".join(words[s : s + n])]}
-                    for name, v in (cells | {"h": [x["h"]] * many, "c": [x["c"]] * many, "n": [n] * many, "id": [ident] * many}).items():
-                        out[name] += v
-            kinds = {"h": pa.int64(), "c": pa.int64(), "n": pa.int32(), "id": pa.int64(), "at": pa.int32(), "w": pa.int64(), "words": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[x], type=kinds[x]) for x in kinds], names=[*kinds])
+            held = _bytes(batch.column("words"))
+            lo, hi, h = (batch.column(x).to_numpy() for x in ("lo", "hi", "h"))
+            rows: dict[str, list] = {x: [] for x in ("of", "h", "c", "n", "at", "words", "lo", "hi")}
+            for i, words in enumerate(held):
+                text, mid = words.split(), int(lo[i] + hi[i] + 1) // 2
+                high, context, content, at, n = _split(words, window, seed, int(lo[i]), int(hi[i]))
+                key = W.mix(W.mix(h[i : i + 1].view(np.uint64) + high.astype(np.uint64)) ^ context)
+                for x, v in (("h", key.view(np.int64)), ("c", content.view(np.int64)), ("n", n), ("at", at)):
+                    rows[x] += v.tolist()
+                rows["of"] += [i] * len(at)
+                rows["words"] += [b" ".join(text[s : s + m]) for s, m in zip(at, n, strict=True)]
+                rows["lo"] += np.where(high, mid, lo[i]).tolist()
+                rows["hi"] += np.where(high, hi[i], mid - 1).tolist()
+            of = pa.array(rows["of"], type=pa.int64())
+            kinds = {"h": pa.int64(), "c": pa.int64(), "n": pa.int32(), "at": pa.int32(), "words": pa.binary(), "lo": pa.int32(), "hi": pa.int32()}
+            arrays = [batch.column(x).take(of) for x in ("h", "c", "n", "id")] + [pa.array(rows[x], type=kinds[x]) for x in kinds]
+            yield pa.RecordBatch.from_arrays(arrays, names=["ph", "pc", "pn", "id", *kinds])
 
     return run
 
 
 def _match(window: int):
-    """Rows by shard and first holder: each segment's words run through the automaton of those with smaller ids."""
+    """Rows by shard and id: every piece of a shard passes through the automaton of all of them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shard = ident = None
-        automaton, waiting = Automaton(), []
+        shard, held = None, {}
+
+        def told() -> list[tuple]:
+            automaton = Automaton()
+            for i, words in held.values():
+                automaton.add(words, i)
+            return [(shard, c, n, [{"lo": a, "hi": b, "by": by} for a, b, by in automaton.holders(words, window)]) for (c, n), (_, words) in held.items()]
+
+        spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("by", pa.int64())]))
+
+        def out(rows: list[tuple]):
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), spans), strict=True)], names=["h", "c", "n", "in"])
+
         for batch in batches:
-            out: list[tuple] = []
+            rows: list[tuple] = []
             for h, c, n, i, text in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "n", "id", "words")), strict=True):
                 if h != shard:
-                    automaton, waiting, shard, ident = Automaton(), [], h, i
-                elif i != ident:
-                    for x in waiting:
-                        automaton.add(x)
-                    waiting, ident = [], i
-                sequence = text.split()
-                for lo, hi in spans(automaton.statistics(sequence), window) if len(automaton.next) > 1 else ():
-                    out.append((h, c, n, lo, hi))
-                waiting.append(sequence)
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names=["h", "c", "n", "lo", "hi"])
+                    rows += told()
+                    shard, held = h, {}
+                held.setdefault((c, n), (i, text.split()))
+            yield out(rows)
+        yield out(told())
 
     return run
 
 
+def _holders(pieces: DataFrame, of: DataFrame, window: int) -> DataFrame:
+    """(h, c, n, in): of every different piece its windows as runs (lo, hi, by), ``by`` the smallest id that holds them.
+
+    ``pieces``: h, c, n, id, words, lo, hi (how many words a window has before its seed); ``of``: the different h, c, n.
+    Shards with more than SHARD_WORDS words are split by the words around the seeds, and those again, until they are
+    small or all their windows are equal; what is found there is folded back into the pieces that were split.
+    """
+    spark = pieces.sparkSession
+    size = of.groupBy("h").agg(F.sum("n").alias("words"), F.count("*").alias("m")).where((F.col("words") > SHARD_WORDS) & (F.col("m") > 1))
+    large = written(size.select("h"), "large-shards")
+    large = large.join(pieces.where("lo < hi").select("h").distinct(), "h", "left_semi") if large.limit(1).count() else large
+    split = large.limit(1).count() > 0
+    small = pieces.join(large, "h", "left_anti") if split else pieces
+    sharded = small.select("h", "c", "n", "id", "words").repartition(shuffle_parts(spark), "h").sortWithinPartitions("h", "id", "c")
+    matched = sharded.mapInArrow(_match(window), "h long, c long, n int, in array<struct<lo:int,hi:int,by:long>>")
+    if not split:
+        return matched
+    schema = "ph long, pc long, pn int, id long, h long, c long, n int, at int, words binary, lo int, hi int"
+    parts = written(pieces.join(large, "h", "left_semi").mapInArrow(_part(window, SEED_WORDS), schema), "parts")
+    first = parts.groupBy("h", "c", "n").agg(F.min(F.struct("id", "words", "lo", "hi")).alias("f")).select("h", "c", "n", "f.*")
+    first = written(first, "shards")
+    back = parts.select("ph", "pc", "pn", "h", "c", "n", "at").join(_holders(first, first, window), ["h", "c", "n"])
+    moved = F.transform("in", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi"), x["by"].alias("by")))
+    back = back.groupBy(F.col("ph").alias("h"), F.col("pc").alias("c"), F.col("pn").alias("n")).agg(F.flatten(F.collect_set(moved)).alias("in"))
+    return matched.unionByName(back)
+
+
 def _keep(with_text: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -216,11 +301,11 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
     Removed is each word of a window of ``window`` words whose sequence starts in a document with a smaller key too.
     A window's least seed hash names its shard; equal windows share it, so a shard is complete by itself. Runs of
-    windows with one seed are a segment. Seeds found in a single document go no further; equal segments are one,
-    held first by the smallest key. In each shard the different segments pass, by key, through a suffix automaton of
-    all before them: matching statistics of at least ``window`` give the maximal spans. Copies of a segment are
-    removed whole. A shard with over MAX_SEGMENTS different segments is split further, to single windows, where
-    equality is all there is to match; nothing is dropped.
+    windows with one seed are a segment; equal segments of a shard are one piece. Seeds found in a single document go
+    no further. The pieces of a shard are the reference of a suffix automaton whose states know the smallest key that
+    has their words; each piece streams through it, and where its matching statistics reach ``window``, the state of
+    that length tells the first holder of the window. A document loses the maximal spans whose first holder is not
+    itself. Shards hold SHARD_WORDS words at most, larger ones are split (see ``_holders``); nothing is dropped.
 
     Null text: no words. Null keys rank last and rows with equal keys never remove each other; texts below
     ``window`` words are left alone; ``kept_text`` of an untouched document is its text unchanged, else the kept
@@ -232,25 +317,19 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     ident = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     k = F.xxhash64(ident, F.coalesce(text, F.lit("")))
     base = docs.select(k.alias("k"), ident.alias("id"), F.col(text).alias("t"))
-    found = written(base.where(F.length("t") >= 2 * window - 1).mapInArrow(_find(window, SEED_WORDS), "h long, c long, k long, id long, s int, n int"), "segments")
+    found = base.where(F.length("t") >= 2 * window - 1).mapInArrow(_find(window, SEED_WORDS), "h long, c long, k long, id long, s int, n int")
+    found = written(found, "segments")
     shared = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
     again = written(found.join(shared, "h"), "repeated")
     dropped(found)
     first = again.groupBy("h", "c", "n").agg(F.min(F.struct("id", "k", "s")).alias("f"))
     first = written(first.select("h", "c", "n", "f.*"), "first")
-    many = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = first.join(many, "h").groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "n", "s", (F.col("m") > MAX_SEGMENTS).alias("split"))).alias("want"))
-    pieces = base.join(wanted, ["id", "k"]).select("id", "t", "want")
-    pieces = written(pieces.mapInArrow(_cut_out(window), "h long, c long, n int, id long, at int, w long, words binary"), "shards")
-    sharded = pieces.where("words IS NOT NULL").select("h", "c", "n", "id", "words").repartition(shuffle_parts(spark), "h").sortWithinPartitions("h", "id", "c")
-    matched = sharded.mapInArrow(_match(window), "h long, c long, n int, lo int, hi int")
-    split = pieces.where("words IS NULL")
-    least = split.groupBy("h", "w").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "w", "a")
-    single = split.join(least, ["h", "w"]).where(F.col("id") > F.col("a")).select("h", "c", "n", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
-    inside = matched.unionByName(single).groupBy("h", "c", "n").agg(F.collect_set(F.struct("lo", "hi")).alias("in"))
-    told = first.select("h", "c", "n", F.col("id").alias("a")).join(inside, ["h", "c", "n"], "left")
-    own = F.transform(F.coalesce("in", F.array().cast("array<struct<lo:int,hi:int>>")), lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))
-    cut = F.when(F.col("id") > F.col("a"), F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi")))).otherwise(own)
+    wanted = first.groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "n", "s")).alias("want"))
+    pieces = base.join(wanted, ["id", "k"]).select("id", "t", "want").mapInArrow(_cut_out, "h long, c long, n int, id long, words binary")
+    pieces = written(pieces.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(window - SEED_WORDS)), "shards")
+    told = _holders(pieces, first, window)
+    own = F.filter("in", lambda x: x["by"] < F.col("id"))
+    cut = F.transform(own, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s") + window - 1).alias("hi")))
     cuts = again.join(told, ["h", "c", "n"]).select("id", "k", cut.alias("x")).where(F.size("x") > 0)
     cuts = cuts.groupBy("id", "k").agg(F.flatten(F.collect_set("x")).alias("cut"))
     rows = docs.select(F.struct(*carry).alias("_row"), k.alias("k"), ident.alias("id"), F.col(text).alias("t")).join(cuts, ["id", "k"], "left")
@@ -259,13 +338,17 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Per document its words, those removed and the digest of the rest; odd inputs as in ``substring_dedup``."""
     out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("_row.doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the passages that an earlier one holds; n_chars follows the text."""
+    """Pipeline stage: documents without the passages that an earlier one holds; n_chars follows the text.
+
+    No row goes: null texts stay empty ones, repeated rows and rows of one doc_id leave each other alone.
+    """
     out = substring_dedup(docs)
     cells = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(cells[c].alias(c) if c in cells else F.col(f"_row.{c}") for c in docs.columns))

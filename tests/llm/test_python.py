@@ -102,8 +102,8 @@ def passages(rng):
 
 def test_substring_dedup_matches_brute_force(spark, monkeypatch):
     rows = passages(random.Random(8))
-    for most in (512, 1):
-        monkeypatch.setattr(substrings, "MAX_SEGMENTS", most)
+    for most in (65_536, 2000, 1):
+        monkeypatch.setattr(substrings, "SHARD_WORDS", most)
         out = substrings.substring_dedup(docs_of(spark, rows)).collect()
         got = Counter((r["_row"]["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["spans"]), r["kept_sha256"]) for r in out)
         assert got == brute_removed(rows, 50)
@@ -112,6 +112,22 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch):
                 assert r["kept_text"] in {x for i, x in rows if i == r["_row"]["doc_id"]}
 
 
+def test_substring_dedup_hot_passage_and_long_segments(spark, monkeypatch):
+    """A passage in 1,200 documents with different surroundings, a recurring phrase as long as a document, long texts."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(4))
+    hot, phrase = [word() for _ in range(62)], [word() for _ in range(12)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + hot + [word() for _ in range(rng.randint(0, 30))])) for i in range(1200)]
+    rows += [(2000, " ".join(phrase * 400)), (2001, " ".join(phrase * 300)), (2002, " ".join(phrase * 4 + [word()] + phrase * 5)), (2003, "z " * 3000), (2004, "z " * 700)]
+    long = [word() for _ in range(30_000)]
+    rows += [(3000, " ".join(long)), (3001, " ".join(long[500:20_000])), (3002, " ".join(long[::-1]))]
+    want = brute_removed(rows, 50)
+    for most in (65_536, 3000):
+        monkeypatch.setattr(substrings, "SHARD_WORDS", most)
+        out = substrings.substring_dedup(docs_of(spark, rows), with_text=False).collect()
+        assert Counter((r["_row"]["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["spans"]), r["kept_sha256"]) for r in out) == want
+
+
 def test_substring_dedup_empty(spark):
     assert substrings.substring_dedup(docs_of(spark, []).limit(0)).count() == 0
     assert substrings.substring_dedup(docs_of(spark, [(None, "a " * 60), (None, "a " * 60)])).selectExpr("max(size(spans))").first()[0] == 0
@@ -124,10 +140,17 @@ def test_automaton_statistics():
         a = substrings.Automaton()
         for x in known:
             a.add(x)
+        b = substrings.Automaton()
+        for i, x in enumerate(known):
+            b.add(x, i)
         runs = {tuple(x[i:j]) for x in known for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
         text = [rng.choice("abc") for _ in range(15)]
         want = [max((n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in runs), default=0) for i in range(len(text))]
-        assert a.statistics(text) == want
+        assert [n for n, _ in a.statistics(text)] == want
+        holds = lambda i, g: any(tuple(known[i][j : j + 3]) == g for j in range(len(known[i])))  # noqa: B023, E731
+        first = [(s, next((i for i in range(3) if holds(i, tuple(text[s : s + 3]))), None)) for s in range(13)]
+        got = {s: by for lo, hi, by in b.holders(text, 3) for s in range(lo, hi)}
+        assert got == {s: i for s, i in first if i is not None}
 
 
 def test_word_hashes_split_like_the_contract():
