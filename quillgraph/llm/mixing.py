@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, read, uniform, word_count, written
+from .common import dropped, let, read, uniform, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 #: Output shards: at least so many, and more as the words grow, so that a shard stays within one task's reach.
-LEAST_SHARDS, MOST_SHARDS, SHARD_WORDS = 32, 65_536, 2**20
+LEAST_SHARDS, SHARD_WORDS = 32, 2**20
 SEED = 20240
-FILLS = 4
-#: Words in a block, and the most blocks that a source is cut into (blocks grow beyond that).
-BLOCK_WORDS, MAX_BLOCKS = 65_536, 65_536
-#: Up to so many rows the table of drawn blocks (under 100 bytes a row) is broadcast; beyond, it is joined.
+#: Words in a block; a source has LEAST_BLOCKS blocks at least, so that quotas of small sources are fine enough.
+BLOCK_WORDS, LEAST_BLOCKS = 65_536, 64
+#: A source is filled on, block by block, while more than this share of its target is open and a document fits.
+OPEN_SHARE = 0.001
+#: Up to so many rows (each under 100 bytes beside the hashes of documents drawn one by one, which count as rows)
+#: the table of drawn blocks is broadcast; beyond, it is joined.
 MAX_BROADCAST_BLOCKS = 200_000
 #: Up to so many sources what is kept per source (under 2 kB) is broadcast; beyond, it is joined.
 MAX_BROADCAST_SOURCES = 10_000
@@ -92,14 +94,21 @@ def _split(counts: Column, take: Column, lo: Column, hi: Column, seed: int) -> C
     return F.aggregate(counts, start, step)["out"]
 
 
+#: Nodes of the tree that one task splits.
+NODES_A_TASK = 64
+
+
 def shard_quotas(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """From one row ``counts`` (blocks to draw of each source, by place): rows (place, shard, nth): which draw of a source goes to which shard.
+    """From one row ``counts`` (blocks to draw of each source, by place): rows (place, shard, k, start) with the
+    number of draws of a source that go to a shard and how many go to the shards before it.
 
     A tree splits the shards in halves; a node's blocks are dealt to its children by a multivariate hypergeometric
-    draw, so all quotas are exact and each shard is a fair sample of the mix.
+    draw, so all quotas are exact and each shard is a fair sample of the mix. A level's nodes are split in parallel.
     """
     nodes = counts.select(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), "counts")
-    for _ in range((n_shards - 1).bit_length()):
+    for level in range((n_shards - 1).bit_length()):
+        if 2**level > NODES_A_TASK:
+            nodes = written(nodes.repartition(2**level // NODES_A_TASK, "lo"), "mix-nodes")
         mid = F.expr("lo + (hi - lo) div 2").cast("int")
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
         take = F.floor(total * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
@@ -108,83 +117,116 @@ def shard_quotas(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
         both = F.array(child(F.col("lo"), mid, F.col("left")), child(mid, F.col("hi"), F.zip_with("counts", "left", lambda a, b: a - b)))
         nodes = nodes.select(F.inline(F.when(F.col("left").isNull(), F.array(child(F.col("lo"), F.col("hi"), F.col("counts")))).otherwise(both)))
     cells = nodes.select("lo", F.posexplode("counts").alias("place", "k")).where("k > 0")
-    end = F.sum("k").over(Window.partitionBy("place").orderBy("lo"))
-    cells = cells.withColumn("end", end)
-    return cells.select("place", F.col("lo").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("k"), F.col("end") - 1)).alias("nth"))
+    before = F.sum("k").over(Window.partitionBy("place").orderBy("lo")) - F.col("k")
+    return cells.select("place", F.col("lo").alias("shard"), "k", before.alias("start"))
+
+
+def _greedy(docs: Column, want: Column) -> Column:
+    """(open, hashes): documents (h, size) taken in their order while they fit into ``want`` words."""
+    start = F.struct(want.cast("double").alias("open"), F.array().cast("array<bigint>").alias("taken"))
 
+    def step(s: Column, d: Column) -> Column:
+        fits = d["size"] <= s["open"]
+        return F.when(fits, F.struct((s["open"] - d["size"]).alias("open"), F.concat(s["taken"], F.array(d["h"])).alias("taken"))).otherwise(s)
 
-def _cut(edge: DataFrame, rows: DataFrame, few) -> DataFrame:
-    """Which documents of the blocks at the border fill what is wanted: (_s, _b, cut), array of (after, upto, most).
+    return F.aggregate(docs, start, step)
 
-    Documents come in hash order while they fit; what is still open is offered to later ones that fit, FILLS times.
-    A document is taken if its hash lies in a range and its size is at most that range's ``most``.
+
+def _filled(cells: DataFrame, sized: DataFrame, few) -> DataFrame:
+    """(_s, _b, cut): of blocks drawn in part, the hashes of the documents that fill what is open of their sources.
+
+    ``cells``: the blocks of each source in permuted order (nth, size, least: its smallest document) with ``from``
+    and ``rest``. The first block that does not fit whole is offered the rest, document by document in hash order;
+    what is still open is offered to the next blocks that hold a document small enough, until at most OPEN_SHARE of
+    the target is open or nothing fits. A round is one block of each source, read from ``sized`` alone.
     """
-    none = F.array().cast("array<struct<after:bigint,upto:bigint,most:double>>")
-    state = edge.select("_s", "_b", F.col("want").alias("open"), F.lit(-(2**63)).cast("long").alias("at"), none.alias("cut"))
-    ordered = Window.partitionBy("_s", "_b").orderBy("_h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(FILLS):
-        fits = rows.join(few(state.select("_s", "_b", "open", "at")), ["_s", "_b"]).where((F.col("_h") > F.col("at")) & (F.col("_size") <= F.col("open")))
-        got = fits.withColumn("to", F.sum("size").over(ordered)).where(F.col("to") <= F.col("open")).groupBy("_s", "_b").agg(F.max("_h").alias("upto"), F.max("to").alias("to"))
-        more = F.concat("cut", F.array(F.struct(F.col("at").alias("after"), F.col("upto"), F.col("open").alias("most"))))
-        state = state.join(few(got), ["_s", "_b"], "left").select(
-            "_s", "_b", (F.col("open") - F.coalesce("to", F.lit(0))).alias("open"), F.coalesce("upto", "at").alias("at"), F.when(F.col("upto").isNotNull(), more).otherwise(F.col("cut")).alias("cut")
-        )
-        state = written(state, "mix-cut")
-    return state.where(F.size("cut") > 0).select("_s", "_b", "cut")
-
-
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, seed: int = SEED) -> DataFrame:
+    outside = cells.where((F.col("from") + F.col("size") > F.col("rest")) & (F.col("size") > 0)).select("_s", "_b", "nth", "least", "bar")
+    whole = F.coalesce(F.max(F.when(F.col("from") + F.col("size") <= F.col("rest"), F.col("from") + F.col("size"))), F.lit(0))
+    state = cells.groupBy("_s", "rest").agg(whole.alias("got")).select("_s", (F.col("rest") - F.col("got")).alias("open"), F.lit(-1).cast("long").alias("nth"))
+    state, cuts = written(state, "mix-open"), None
+    outside = written(outside, "mix-outside")
+    while True:
+        was = state.select("_s", "open", F.col("nth").alias("at"))
+        fit = outside.join(few(was), "_s").where("nth > at AND least <= open AND open > bar")
+        turn = fit.groupBy("_s").agg(F.min(F.struct("nth", "_b", "open")).alias("f")).select("_s", "f.*")
+        turn = written(turn, "mix-turn")
+        if not turn.limit(1).count():
+            return cuts
+        docs = sized.join(few(turn), ["_s", "_b"]).where("size > 0").groupBy("_s", "_b", "nth", "open").agg(F.array_sort(F.collect_list(F.struct("h", "size"))).alias("docs"))
+        done = docs.select("_s", "_b", "nth", _greedy(F.col("docs"), F.col("open")).alias("g"))
+        done = written(done.select("_s", "_b", "nth", F.col("g.open").alias("open"), F.col("g.taken").alias("cut")), "mix-cut")
+        state = written(state.join(done.select("_s"), "_s", "left_anti").unionByName(done.select("_s", "open", "nth")), "mix-open")
+        cuts = done.select("_s", "_b", "cut") if cuts is None else cuts.unionByName(done.select("_s", "_b", "cut"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, seed: int = SEED, size: str | None = None) -> DataFrame:
     """Every document with ``_size``, ``_source_size``, ``_target`` and ``_draws``, array of (pass, shard).
 
     Each source is cut into blocks by the key's hash. A source whose target is f times its size gives all blocks
-    floor(f) times, then blocks in a permuted order up to the rest, the last one in part (documents in hash order,
-    while they fit). Draws of a source are permuted and dealt to the output shards by
-    the quotas of the splitting tree. Nothing depends on partitioning: reruns agree.
-
-    Null source is a source of its own, weighed last. Null or empty text has size 0 and comes along with its block.
-    Rows with one key move together. Other columns are kept in the struct ``_row``. Empty table: empty result.
+    floor(f) times, then blocks in a permuted order up to the rest, and documents of the next blocks one by one while
+    they fit (see ``_filled``). The draws of all sources are the quotas at the root of the splitting tree; it deals
+    them to the output shards by hypergeometric draws, and each shard takes its quota of a source from the source's
+    permuted draws, so no draw is in two shards. Nothing depends on partitioning: reruns agree.
+
+    ``size`` names a column with the number of words, where that is known; else they are counted. Null source is a
+    source of its own, weighed last. Null or empty text has size 0 and comes along with its block. Rows with one key
+    move together, which bounds how near a target can be met: all rows of a null key are one unit. Other columns are
+    kept in the struct ``_row``. Empty table: empty result.
     """
-    show = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
-    rows = docs.select(F.struct("*").alias("_row"), show.alias("_s"), F.col(source).cast("string").alias("_src"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_h"), word_count(F.col(text)).alias("_size"))
-    sized = rows.select("_s", "_src", "_h", "_size")
+    show = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    words = word_count(F.col(text)) if size is None else F.coalesce(F.col(size).cast("long"), F.lit(0))
+    name = F.col(source).cast("string")
+    rows = docs.select(F.struct("*").alias("_row"), show(name).alias("_s"), name.alias("_src"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_h"), words.alias("_size"))
+    sized = written(rows.select("_s", "_src", "_h", "_size"), "mix-sizes")
     sizes = sized.groupBy("_s").agg(F.first("_src").alias("source"), F.sum("_size").alias("source_size"))
     plan = source_targets(sizes.select("source", "source_size"), weights)
-    show = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")
+    blocks = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("_s", show).withColumn("blocks", blocks).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    plan = written(plan, "mix-plan")
+    plan = plan.withColumn("_s", show(F.col("source"))).withColumn("blocks", blocks).withColumn("full", full)
+    plan = written(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-plan")
     few = F.broadcast if plan.count() <= MAX_BROADCAST_SOURCES else lambda df: df
-    small = plan.select("_s", "blocks", "full", "rest")
+    small = plan.select("_s", "blocks", "full", "rest", (OPEN_SHARE * F.col("target")).alias("bar"))
     in_block = lambda df: df.join(few(small), "_s").withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), "blocks"))
 
-    cells = in_block(sized).groupBy("_s", "_b", "full", "rest").agg(F.sum("_size").alias("size"))
+    # Rows of one key are one unit, taken whole or not at all.
+    units = in_block(sized).groupBy("_s", "_b", F.col("_h").alias("h"), "full", "rest", "bar").agg(F.sum("_size").alias("size"))
+    units = written(units, "mix-units")
+    least = F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
+    cells = units.groupBy("_s", "_b", "full", "rest", "bar").agg(F.sum("size").alias("size"), least)
     permuted = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed + 2), "_s", "_b"), "_b")
-    cells = written(cells.withColumn("from", F.sum("size").over(permuted) - F.col("size")), "mix-blocks")
-    inside = F.when(F.col("from") + F.col("size") <= F.col("rest"), 2).when((F.col("from") < F.col("rest")) & (F.col("size") > 0), 1).otherwise(0)
-    cells = cells.withColumn("part", inside)
-    edge = cells.where("part = 1").select("_s", "_b", (F.col("rest") - F.col("from")).alias("want"))
-    at_edge = in_block(sized).join(few(edge.select("_s", "_b")), ["_s", "_b"]).groupBy("_s", "_b", "_h", "_size").agg(F.sum("_size").alias("size"))
-    cells = cells.join(few(_cut(edge, written(at_edge, "mix-edge"), few)), ["_s", "_b"], "left")
-
-    passes = F.concat(F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("full"), F.lit(1))), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>")), F.when((F.col("part") == 2) | ((F.col("part") == 1) & F.col("cut").isNotNull()), F.array((F.col("full") + 1).cast("int"))).otherwise(F.array().cast("array<int>")))
-    draws = cells.select("_s", "_b", "cut", "part", "full", F.explode(passes).alias("pass"))
+    cells = cells.withColumn("from", F.sum("size").over(permuted) - F.col("size")).withColumn("nth", F.row_number().over(permuted).cast("long"))
+    cells = written(cells, "mix-blocks")
+    cuts = _filled(cells, units.select("_s", "_b", "h", "size"), few)
+    dropped(units)
+    cells = cells.withColumn("cut", F.lit(None).cast("array<bigint>")) if cuts is None else cells.join(few(cuts), ["_s", "_b"], "left")
+
+    none = F.array().cast("array<int>")
+    once = F.transform(F.sequence(F.lit(1), F.greatest(F.col("full"), F.lit(1))), lambda x: x.cast("int"))
+    last = (F.col("from") + F.col("size") <= F.col("rest")) | F.col("cut").isNotNull()
+    passes = F.concat(F.when(F.col("full") > 0, once).otherwise(none), F.when(last, F.array((F.col("full") + 1).cast("int"))).otherwise(none))
+    draws = cells.select("_s", "_b", "cut", "full", F.explode(passes).alias("pass"))
     nth = F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed + 3), "_s", "_b", "pass"), "_b", "pass")) - 1
-    draws = written(draws.withColumn("nth", nth), "mix-draws")
+    draws = written(draws.withColumn("nth", nth.cast("long")), "mix-draws")
+    dropped(cells)
     per_source = plan.join(draws.groupBy("_s").agg(F.count("*").alias("k")), "_s", "left").select("place", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     one = per_source.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "k"))), lambda x: x["k"]).alias("counts"))
     if n_shards is None:
-        words = plan.agg(F.sum("source_size")).first()[0] or 0
-        n_shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-words // SHARD_WORDS)))
+        n_shards = max(LEAST_SHARDS, -(-(plan.agg(F.sum("source_size")).first()[0] or 0) // SHARD_WORDS))
     quotas = written(shard_quotas(one, n_shards, seed + 4), "mix-quotas")
-    dealt = draws.join(few(plan.select("_s", "place")), "_s").join(quotas, ["place", "nth"])
-    border = F.when((F.col("pass") == F.col("full") + 1) & (F.col("part") == 1), F.col("cut"))
-    dealt = dealt.groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", border.alias("cut")))).alias("_d"))
+    # A shard's quota of a source is a run of the source's permuted draws: each draw finds the last run that starts at or before it.
+    runs = quotas.select("place", F.col("start").alias("nth"), "shard").unionByName(draws.join(few(plan.select("_s", "place")), "_s").select("place", "nth", F.lit(None).cast("int").alias("shard"), "_s", "_b", "pass", "cut", "full"), allowMissingColumns=True)
+    upto = Window.partitionBy("place").orderBy("nth", F.col("shard").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = runs.withColumn("to", F.last("shard", ignorenulls=True).over(upto)).where("pass IS NOT NULL")
+    border = F.when(F.col("pass") == F.col("full") + 1, F.col("cut"))
+    dealt = dealt.groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("pass", F.col("to").alias("shard"), border.alias("cut")))).alias("_d"))
     dealt = written(dealt, "mix-dealt")
-    side = F.broadcast(dealt) if dealt.count() <= MAX_BROADCAST_BLOCKS else dealt
-    out = in_block(rows).join(side, ["_s", "_b"], "left").join(few(plan.select("_s", "source_size", "target")), "_s")
-    mine = F.filter(F.coalesce("_d", F.array().cast(dealt.schema["_d"].dataType)), lambda d: d["cut"].isNull() | F.exists(d["cut"], lambda c: (F.col("_h") > c["after"]) & (F.col("_h") <= c["upto"]) & (F.col("_size") <= c["most"])))
-    return out.select("_row", "_h", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.transform(mine, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))).alias("_draws"))
+    dropped(draws)
+    dropped(quotas)
+    heavy = dealt.agg(F.count("*") + F.coalesce(F.sum(F.aggregate("_d", F.lit(0), lambda a, d: a + F.greatest(F.size(d["cut"]), F.lit(0)))), F.lit(0))).first()[0]
+    out = in_block(rows).join(F.broadcast(dealt) if heavy <= MAX_BROADCAST_BLOCKS else dealt, ["_s", "_b"], "left").join(few(plan.select("_s", "source_size", "target")), "_s")
+    mine = F.filter(F.coalesce("_d", F.array().cast(dealt.schema["_d"].dataType)), lambda d: d["cut"].isNull() | F.array_contains(d["cut"], F.col("_h")))
+    drawn = F.transform(mine, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
+    return out.select("_row", "_h", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), drawn.alias("_draws"))
 
 
 def mixed_rows(mixed: DataFrame, seed: int = SEED) -> DataFrame:
@@ -194,10 +236,14 @@ def mixed_rows(mixed: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_draws")).alias("taken"))
+    """Per document what the mix takes of it and ``shards``, the output shard of each time; odd inputs as in ``mix``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix(written(docs, "mix-input"), size="size")
+    taken = (F.col("_size") * F.size("_draws")).alias("taken")
+    shards = F.transform("_draws", lambda d: d["shard"]).alias("shards")
+    return mixed.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, shards)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixed documents, repeats as rows of their own."""
+    """Pipeline stage: the mixed documents, repeats as rows of their own; odd inputs as in ``mix``."""
     return mixed_rows(mix(docs))

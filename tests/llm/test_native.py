@@ -151,13 +151,52 @@ def test_mixing_empty_and_odd(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_splitting_tree_is_exact(spark):
+def test_mixing_fills_past_a_large_document_at_the_border(spark, monkeypatch):
+    """Each source is short of its target by no more than its open share or its smallest document, whatever the border holds."""
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 3)
+    rng = random.Random(21)
+    rows = [(i, "w " * (2000 if i % 97 == 0 else rng.randint(20, 60)), "abc"[i % 3]) for i in range(1, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).selectExpr("_row.source", "_size", "_target", "size(_draws) n").collect()
+    for s in "abc":
+        mine = [r for r in out if r["source"] == s]
+        missing = mine[0]["_target"] - sum(r["_size"] * r["n"] for r in mine)
+        most = max(r["n"] for r in mine)
+        free = [r["_size"] for r in mine if r["n"] < most] or [0]
+        assert 0 <= missing <= max(0.001 * mine[0]["_target"], min(free))
+
+
+def test_mixing_shards_follow_the_tree(spark, sf):
+    out = mixing.op4_mixing(spark, sf).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(out) == len(docs)
+    share = defaultdict(Counter)
+    for r in out:
+        assert r["taken"] == r["size"] * len(r["shards"]) and all(0 <= x < mixing.LEAST_SHARDS for x in r["shards"])
+        for x in r["shards"]:
+            share[x][docs[r["doc_id"]]["source"]] += r["size"]
+    assert len(share) == mixing.LEAST_SHARDS
+    other = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), n_shards=5).selectExpr("explode(_draws.shard) s").distinct().collect()
+    assert {r["s"] for r in other} == set(range(5))
+
+
+def test_splitting_tree_is_exact(spark, monkeypatch):
     counts = [500, 3, 0, 77]
-    quotas = mixing.shard_quotas(spark.createDataFrame([(counts,)], "counts array<long>"), 7, 1).collect()
-    dealt = Counter((r["place"], r["nth"]) for r in quotas)
-    assert dealt == Counter((p, n) for p, k in enumerate(counts) for n in range(k))
-    shards = Counter(r["shard"] for r in quotas)
-    assert len(shards) == 7 and max(shards.values()) - min(shards.values()) <= 3
+    for most in (64, 1):
+        monkeypatch.setattr(mixing, "NODES_A_TASK", most)
+        quotas = mixing.shard_quotas(spark.createDataFrame([(counts,)], "counts array<long>"), 7, 1).collect()
+        runs = defaultdict(list)
+        shards = Counter()
+        for r in quotas:
+            runs[r["place"]].append((r["start"], r["k"]))
+            shards[r["shard"]] += r["k"]
+        for place, k in enumerate(counts):
+            at = 0
+            for start, n in sorted(runs[place]):
+                assert start == at
+                at += n
+            assert at == k
+        assert len(shards) == 7 and max(shards.values()) - min(shards.values()) <= 3
 
 
 def test_hypergeometric_distribution(spark):
