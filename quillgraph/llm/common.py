@@ -84,6 +84,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: A key is hot if it holds one part in so many of all rows; so there are no more hot keys than that.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``side``, one row for each key, whose column ``count`` says how many rows have it (``total`` in all).
+
+    Rows of hot keys meet a broadcast of at most HOT_SHARE rows; the others are shuffled, and none of them is hot.
+    """
+    hot = side.where(F.col(count) * HOT_SHARE >= total).drop(count)
+    cold = side.where(F.col(count) * HOT_SHARE < total).drop(count)
+    apart = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(apart.join(cold, on))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table of ``written`` that nothing will read again."""
     sc = df.sparkSession.sparkContext

@@ -240,14 +240,83 @@ def test_url_rules(spark):
     assert urls.url_filter(pages.limit(0)).count() == 0
 
 
-def test_url_templates_learn_from_labels(spark):
-    rows = [(f"http://s.org/{'bad' if i % 2 else 'good'}/{i}",) for i in range(400)] + [("http://s.org/bad/x9?u",)] * 3 + [("http://s.org/good/y",)] * 3
+def brute_templates(rows):
+    """{(host, shape): (template, purity)} from (host, shape, labels: None, 0 or 1), by plain recursion over lists."""
+    labels = [y for *_, y in rows if y is not None]
+    prior, out = (sum(labels) + 1) / (len(labels) + 2), {}
+    purity = lambda ys, p: (sum(ys) + urls.K * p) / (len(ys) + urls.K)
+
+    def grow(items, d, tpl, p):  # items: (host, shape, segments, label)
+        ended = [x for x in items if len(x[2]) < d]
+        items = [x for x in items if len(x[2]) >= d]
+        ys = [x[3] for x in items if x[3] is not None]
+        if not 0 < sum(ys) < len(ys):
+            ended, items = ended + items, []
+        for h, s, *_ in ended:
+            out[h, s] = tpl, p
+        kids = defaultdict(list)
+        for x in items:
+            kids["/" + x[2][d] if len(x[2]) > d else ""].append(x)
+        ys = {k: [x[3] for x in v if x[3] is not None] for k, v in kids.items()}
+        rate = {k: sum(y) / len(y) for k, y in ys.items() if y}
+        best = (0.0, None)
+        for r in sorted(set(rate.values()))[:-1]:
+            low = [y for k in rate if rate[k] <= r for y in ys[k]]
+            high = [y for k in rate if rate[k] > r for y in ys[k]]
+            share = (sum(low) + sum(high)) / (len(low) + len(high))
+            z2 = (sum(low) / len(low) - sum(high) / len(high)) ** 2 / (share * (1 - share) * (1 / len(low) + 1 / len(high)))
+            if z2 > best[0] + 1e-12:
+                best = z2, r
+        groups = defaultdict(list)
+        for k in kids:
+            cut = best[1] if best[0] >= urls.Z**2 else None
+            groups["/?0" if k not in rate else "/?" if cut is None else "/?-" if rate[k] <= cut else "/?+"].append(k)
+        for code, names in groups.items():
+            below = [x for k in names for x in kids[k]]
+            grow(below, d + 1, tpl + (names[0] if len(names) == 1 else code), purity([x[3] for x in below if x[3] is not None], p))
+
+    for host in {h for h, *_ in rows}:
+        mine = [(h, s, s.split("/") if s else [], y) for h, s, y in rows if h == host]
+        grow(mine, 0, "", purity([y for *_, y in mine if y is not None], prior))
+    return out
+
+
+def test_url_templates_match_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(3000):
+        host = rng.choice(["a.org", "a.org", "a.org", "b.net", "c.com"])
+        path = [rng.choice(["x", "y", "z", "", "*"]) for _ in range(rng.randint(0, 9))]
+        bad = 0.9 if path[:2] == ["x", "y"] else 0.7 if path[3:5] == ["z", "x"] else 0.1
+        rows.append((host, "/".join(path), None if host == "c.com" or rng.random() < 0.3 else int(rng.random() < bad)))
+    counts = spark.createDataFrame(rows, "host string, shape string, y int").groupBy("host", "shape").agg(*(chat.F.expr(x) for x in ("count(*) AS n", "count(y) AS l", "count_if(y = 1) AS b")))
+    got = {(r["host"], r["shape"]): (r["tpl"], r["p"]) for r in urls.template_tree(counts).collect()}
+    want = brute_templates(rows)
+    assert set(got) == set(want) and len({t.count("/") for t, _ in want.values()}) > 5
+    for k, (tpl, p) in want.items():
+        assert got[k][0] == tpl and got[k][1] == pytest.approx(p), k
+
+
+def test_url_templates_learn_from_labels(spark, monkeypatch):
+    rows = [(f"http://s.org/{'bad' if i % 2 else 'good'}/{i}",) for i in range(400)] + [("http://s.org/bad/x9?u",)] * 3 + [("http://s.org/good/y/",)] * 3
     pages = spark.createDataFrame(rows, "url string")
     rules = (("s.org", "/bad/1", "block"), ("s.org", "/bad/3", "block"), ("s.org", "/good/2", "allow"))
-    out = {r["url"]: r for r in urls.url_filter(pages, rules=rules).collect()}
-    assert out["http://s.org/bad/x9?u"]["verdict"] == "block" and out["http://s.org/bad/5"]["verdict"] == "block"
-    assert out["http://s.org/good/4"]["verdict"] == "allow"
-    assert out["http://s.org/bad/5"]["template"] == "s.org/bad/*/" or out["http://s.org/bad/5"]["template"].startswith("s.org/bad/")
+    key = lambda r: tuple(r.asDict().items())
+    seen = []
+    for most in (50_000, 0):  # all templates broadcast, or only those of hot shapes
+        monkeypatch.setattr(urls, "MAX_BROADCAST_TEMPLATES", most)
+        seen.append(sorted(map(key, urls.url_filter(pages, rules=rules).collect()), key=str))
+        out = {r["url"]: r for r in map(dict, seen[-1])}
+        assert out["http://s.org/bad/x9?u"]["verdict"] == "block" and out["http://s.org/bad/5"]["verdict"] == "block"
+        assert out["http://s.org/good/4"]["verdict"] == "allow" and out["http://s.org/good/y/"]["verdict"] == "allow"
+        assert out["http://s.org/bad/5"]["template"] == "s.org/bad" and out["http://s.org/good/4"]["template"] == "s.org/good"
+    assert seen[0] == seen[1]
+
+
+def test_url_of_a_million_characters(spark):
+    url = "http://q.org/" + "ab/" * 300_000 + "x" * 100_000
+    out = urls.url_filter(spark.createDataFrame([(url,), (url,), ("http://q.org/",)], "url string"), rules=()).collect()
+    assert {(r["host"], len(r["path"]), r["verdict"]) for r in out} == {("q.org", 1_000_001, "allow"), ("q.org", 1, "allow")}
 
 
 def test_sharding_table_and_assignment(spark):
