@@ -19,9 +19,9 @@ MAX_TOKENS = 1024
 END_ID = 2
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Pieces of up to so many tokens are small (each bound is tried, the plan with fewest sequences taken); the others
-#: are rounded up within GROUPS groups of equal cardinality. Measured: 1,023 groups lose under 0.1 % of sequences
-#: against the sum of lengths, 48 groups 2 %; the plan takes well under a second either way.
-SMALL, GROUPS = (128, 256, 340, 400), 1023
+#: are rounded up within GROUPS groups of equal cardinality. Measured on 10,000 documents, sequences above the sum of
+#: lengths: 48 groups 0.2 %, 128 groups 0.06 %, no rounding 0.01 %.
+SMALL, GROUPS = (128, 256, 340, 400), 128
 #: Documents are ranked within length and bucket; so many documents make a bucket.
 BUCKET_DOCS = 20_000
 
@@ -47,6 +47,9 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         data = json.load(open(path, encoding="utf-8"))
+        known = data["pre_tokenizer"]
+        if data["normalizer"] or data["model"]["type"] != "BPE" or known["type"] != "ByteLevel" or known["add_prefix_space"] or not known["use_regex"]:
+            raise ValueError(f"{path}: only byte-level merges after the regular split are known here")
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         table = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -290,9 +293,13 @@ def _digest(packed: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place; null texts are the end id alone, odd inputs as in ``pack``."""
     return _digest(pack(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents that are left and their places in training sequences."""
+    """Pipeline stage: the pieces of all documents that are left and their places in training sequences.
+
+    Null texts are the end id alone, repeated rows and null doc_ids pieces of their own, no rows give none.
+    """
     return _digest(pack(docs.select("doc_id", "text")))

@@ -16,7 +16,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 #: Two groups of siblings are branches of their own if their labels differ by so many standard errors; K: weight of
-#: the parent's purity in the child's; REJECT: purity of "block" from which a template is rejected.
+#: the parent's purity in the child's; REJECT: purity of "block" above which a template is rejected.
 Z, K, REJECT = 3.0, 5.0, 0.5
 #: Up to so many templates (under 1 kB each) are broadcast; beyond, only those of hot shapes are.
 MAX_BROADCAST_TEMPLATES = 50_000
@@ -99,7 +99,7 @@ def url_filter(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str,
 
     Urls that a rule decides are the labels. What varies lexically in a segment becomes "*"; per host, segments then
     form a tree whose similar siblings are merged (see ``template_tree``). A template is rejected when its smoothed
-    share of "block" reaches REJECT. The tree is built over distinct (host, shape) with counts, so a host with a
+    share of "block" passes REJECT; without any label that is never. The tree is built over distinct (host, shape) with counts, so a host with a
     third of the pages is aggregated before anything else happens to it.
 
     Null urls and those without "://" have empty host and path and one template. Repeated rows are all returned;
@@ -118,7 +118,7 @@ def url_filter(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str,
     labels = F.count("*").alias("n"), F.count("_v").alias("l"), F.count_if(F.col("_v") == "block").alias("b")
     counts = written(rows.groupBy(F.col("_h").alias("host"), F.col("_shape").alias("shape")).agg(*labels), "url-shapes")
     tree = template_tree(counts)
-    judged = F.when(F.col("p") >= REJECT, "block").otherwise("allow").alias("judged")
+    judged = F.when(F.col("p") > REJECT, "block").otherwise("allow").alias("judged")
     side = tree.select(F.col("host").alias("_h"), F.col("shape").alias("_shape"), "n", "tpl", judged)
     many, total = side.agg(F.count("*"), F.sum("n")).first()
     out = rows.join(F.broadcast(side.drop("n")), ["_h", "_shape"]) if many <= MAX_BROADCAST_TEMPLATES else join_hot(rows, side, ["_h", "_shape"], "n", total)
@@ -180,5 +180,5 @@ t0 AS MATERIALIZED (
   SELECT s.host, s.shape, CASE WHEN s.shape = '' THEN [] ELSE string_split(s.shape, '/') END AS segs, s.l, s.b, '' AS tpl,
     (sum(s.b) OVER (PARTITION BY s.host) + {K} * prior.p::DOUBLE) / (sum(s.l) OVER (PARTITION BY s.host) + {K}) AS p FROM shapes s, prior),
 {levels.lstrip()}
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.v, CASE WHEN t.p >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, r.host || t.tpl AS template
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.v, CASE WHEN t.p > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, r.host || t.tpl AS template
 FROM r JOIN t{SQL_LEVELS} t ON r.host = t.host AND r.shape = t.shape"""

@@ -297,6 +297,28 @@ def test_plan_holds_every_piece():
     assert packing.plan_sequences({}) == []
 
 
+def test_lengths_are_rounded_and_few_sequences_are_lost():
+    rng = random.Random(19)
+    counts = Counter(min(1024, 1 + int(rng.lognormvariate(5.6, 0.8))) for _ in range(20_000))
+    grouped = packing.group_sizes({s: n for s, n in counts.items() if 400 < s < 1024}, packing.GROUPS)
+    assert len(grouped) <= packing.GROUPS and sum(len(of) > 1 for _, of in grouped) > len(grouped) / 2
+    assert all(rounded == max(of) for rounded, of in grouped)
+    plan = min((packing.plan_sequences(dict(counts), small=s) for s in packing.SMALL), key=lambda p: sum(n for _, n in p))
+    assert sum(n for _, n in plan) <= 1.003 * sum(s * n for s, n in counts.items()) / 1024 + 1
+
+
+def test_fast_merges_give_the_tokenizers_ids():
+    """Every code point but surrogates, alone between letters and behind a space, through both libraries."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    own, fast = Tokenizer.from_file(path), packing._encoder(path)
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for make in (lambda c: f"a{c}b", lambda c: f"1 {c} {c}{c}\n"):
+        texts = ["".join(map(make, points[i : i + 64])) for i in range(0, len(points), 64)]
+        assert [x.ids for x in own.encode_batch(texts, add_special_tokens=False)] == [fast(t) for t in texts]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
