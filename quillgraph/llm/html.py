@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import math
 import random
 import re
 from collections import Counter
@@ -26,7 +27,8 @@ BLOCK = frozenset(
     "select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas video audio map".split())
+#: Elements whose text is none of the page's: code, what only shows without scripts, and text of form controls.
+RAW = frozenset("script style template noscript noframes noembed iframe textarea".split())
 #: Opening one of these ends an open element of its group, up to the nearest of the containers named.
 ENDS = {
     **dict.fromkeys(("li",), (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"}))),
@@ -50,32 +52,64 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
 
 
-def parse(page: str) -> tuple[list[int], list[tuple], list[int], list[int], list[tuple[int, str]], list[str]]:
+class _Open:
+    """The open elements, each with its tag and node; where an element of a tag was opened last is known at once."""
+
+    def __init__(self) -> None:
+        self.tags, self.nodes, self.last, self.blocks = ["html"], [0], {"html": [0]}, [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.last.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def cut(self, i: int) -> None:
+        for tag in self.tags[i:]:
+            self.last[tag].pop()
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
+        del self.tags[i:], self.nodes[i:]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of one of ``tags``; 0: none."""
+        return max((at[-1] for t in tags if (at := self.last.get(t))), default=0)
+
+
+def parse(page: str) -> tuple[list[int], list[tuple], list[int], list[int], list[list[tuple[int, str]]], list[str]]:
     """parents, (tag, name parts), own text length, length within links, runs of text (node, text), labels of nodes.
 
-    A node is a block element; inline elements belong to the block around them. A run ends where a block begins or ends.
+    A node is a block element or an inline element with a name of its own (class, id, role); other inline elements
+    belong to the node around them. A run ends where a block begins or ends; it is made of its nodes' texts. Every
+    step costs the same however deep the page or how many end tags match nothing.
     """
     parent, kind, chars, linked, runs, labels = [-1], [("html", ())], [0], [0], [], [""]
-    stack, names, held, link, at = [0], ["html"], [], False, 0
+    open_, held, link, at = _Open(), [], False, 0
 
     def flush() -> None:
         if held:
-            text = " ".join("".join(held).split())
-            if text:
-                runs.append((stack[-1], text))
-                chars[stack[-1]] += len(text)
+            if any(text.strip() for _, text in held):
+                runs.append(held.copy())
+                for node, text in held:
+                    chars[node] += len(text.strip())
             held.clear()
 
-    def close(i: int) -> None:
-        flush()
-        del stack[i:], names[i:]
-
     def say(raw: str) -> None:
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
-            held.append(text)
+            node = open_.nodes[-1]
+            held.append((node, text))
             if link:
-                linked[stack[-1]] += len(text.strip())
+                linked[node] += len(text.strip())
+
+    def add(tag: str, parts: tuple, label: str) -> int:
+        parent.append(open_.nodes[-1])
+        kind.append((tag, parts))
+        chars.append(0)
+        linked.append(0)
+        labels.append(label)
+        return len(parent) - 1
 
     search = _TOKEN.search
     while m := search(page, at):
@@ -84,48 +118,46 @@ def parse(page: str) -> tuple[list[int], list[tuple], list[int], list[int], list
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        ending = bool(m[1] or m[4])
+        ending, attributes = bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        block = tag in BLOCK
         if tag == "a":
             link = not ending
         elif tag == "br":
-            held.append(" ")
+            held.append((open_.nodes[-1], " "))
+            continue
         elif tag in RAW and not ending:
             end = _raw_end(tag).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in BLOCK or tag == "html" and ending:
             continue
-        elif ending:
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == tag:
-                    close(i)
-                    break
-            else:
+        if tag == "html":
+            continue
+        if ending:
+            if block:
                 flush()
-        else:
-            flush()
-            if names[-1] == "p":
-                close(len(names) - 1)
-            if tag in ENDS:
-                group, walls = ENDS[tag]
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in walls:
-                        break
-                    if names[i] in group:
-                        close(i)
-                        if tag in ("li", "dt", "dd", "option"):
-                            break
-            named = _NAMED.findall(m[3] if m[2] else m[6]) if (m[3] or m[6]) else ()
-            parts = tuple(sorted({p.lower() for k, v in named if k.lower() != "data-y" for p in _PART.findall(v)})) if named else ()
-            if tag == "html":
-                continue
-            parent.append(stack[-1])
-            kind.append((tag, parts))
-            chars.append(0)
-            linked.append(0)
-            labels.append(next((v.strip("\"'") for k, v in named if k.lower() == "data-y"), ""))
-            if tag not in VOID:
-                stack.append(len(parent) - 1)
-                names.append(tag)
+            i = open_.nearest((tag,))
+            if i and (block or i > open_.blocks[-1]):  # an inline end tag ends nothing outside its block
+                open_.cut(i)
+            continue
+        named = _NAMED.findall(attributes) if attributes else ()
+        parts = tuple(sorted({p.lower() for k, v in named if k.lower() != "data-y" for p in _PART.findall(v)})) if named else ()
+        label = next((v.strip("\"'") for k, v in named if k.lower() == "data-y"), "")
+        if not block:
+            if tag not in VOID and not attributes.rstrip().endswith("/"):
+                open_.push(tag, add(tag, parts, label) if parts else open_.nodes[-1])
+            continue
+        flush()
+        if open_.tags[open_.blocks[-1]] == "p":
+            open_.cut(open_.blocks[-1])
+        if tag in ENDS:
+            group, walls = ENDS[tag]
+            wall = open_.nearest(walls)
+            while (i := open_.nearest(group)) > wall:
+                open_.cut(i)
+                if tag in ("li", "dt", "dd", "option"):
+                    break
+        node = add(tag, parts, label)
+        if tag not in VOID:
+            open_.push(tag, node)
     say(page[at:])
     flush()
     return parent, kind, chars, linked, runs, labels
@@ -176,6 +208,10 @@ def labelled_page(rng: random.Random) -> str:
         text = said(1, 12) if rng.random() < 0.25 else said(8, 120)
         if rng.random() < 0.15:
             text += f' <a href="/{word()}">{said(1, 4)}</a> {said(3, 20)}'
+        if rng.random() < 0.12:
+            text += f' <{(t := pick(("span", "em", "b", "code", "abbr")))} class="{pick(("term", "highlight", "name", "caps", "keyword", "math"))}" data-y="content">{said(1, 5)}</{t}> {said(1, 9)}'
+        if rng.random() < 0.05:
+            text += f' <span class="{pick(("ad", "ad-inline", "sponsored", "promo", "share", "social"))}" data-y="boiler">{said(1, 9)}</span> {said(0, 6)}'
         r = rng.random()
         if r < 0.78:
             return el("p", "content", text)
@@ -266,6 +302,8 @@ def marginals(parent: np.ndarray, unary: np.ndarray, edge: np.ndarray) -> np.nda
     for i, p in enumerate(parent.tolist()):
         if p >= 0:
             depth[i] = depth[p] + 1
+    if n and depth.max() > DEEP:
+        return _one_by_one(parent.tolist(), unary, edge)
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if n else []
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
@@ -275,11 +313,45 @@ def marginals(parent: np.ndarray, unary: np.ndarray, edge: np.ndarray) -> np.nda
         np.add.at(belief, parent[level], up[level])
     for level in levels[1:]:
         above = belief[parent[level]] - up[level]  # the parent's belief without this child
-        belief[level] += lse(above[:, :, None] + edge[None], 1) - np.log(k)
+        belief[level] += lse(above[:, :, None] + edge[None], 1)
     belief -= lse(belief, 1)[:, None]
     return np.exp(belief)
 
 
+#: Trees of more levels than this are passed node by node: levels of a node or two are too small for arrays.
+DEEP = 300
+
+
+def _one_by_one(parent: list[int], unary: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The same messages in plain numbers; parents come before children, so one pass each way in node order is enough."""
+    k, exp, log = unary.shape[1], math.exp, math.log
+    states, weight = range(k), np.exp(edge).tolist()
+    across = list(zip(*weight, strict=True))
+    belief, up = unary.tolist(), [None] * len(parent)
+    for i in range(len(parent) - 1, -1, -1):
+        if (p := parent[i]) >= 0:
+            b = belief[i]
+            top = max(b)
+            e = [exp(x - top) for x in b]
+            message = up[i] = [log(sum(w * x for w, x in zip(weight[s], e))) for s in states]
+            of = belief[p]
+            for s in states:
+                of[s] += message[s]
+    for i, p in enumerate(parent):
+        b = belief[i]
+        if p >= 0:
+            above = [x - y for x, y in zip(belief[p], up[i])]
+            top = max(above)
+            e = [exp(x - top) for x in above]
+            for s in states:
+                b[s] += log(sum(w * x for w, x in zip(across[s], e)))
+        top = max(b)
+        whole = top + log(sum(exp(x - top) for x in b))
+        for s in states:
+            b[s] -= whole
+    return np.exp(np.array(belief))
+
+
 def trained(pages: int = TRAIN_PAGES, seed: int = 7) -> Model:
     rng = random.Random(seed)
     return Model(labelled_page(rng) for _ in range(pages))
@@ -298,19 +370,20 @@ def texts(model: Model, pages: list[str]) -> list[str]:
             rows.append(cached[x])
         sizes += map(_size, chars)
         shares += map(_share, linked, chars)
-        runs.append([(i + base, t) for i, t in own])
+        runs.append((base, own))
         base += len(parent)
     if not base:
         return []
     unary = np.array(rows) + model.size[:, sizes].T + model.share[:, shares].T
     content = marginals(np.array(parents), unary, model.edge)[:, STATES.index("content")] > 0.5
-    return ["\n\n".join(t for i, t in own if content[i]) for own in runs]
+    said = lambda base, run: " ".join("".join(t if content[i + base] else " " for i, t in run).split())
+    return ["\n\n".join(t for run in own if (t := said(base, run))) for base, own in runs]
 
 
 def extract(pages: DataFrame, html: str = "html", model: Model | None = None, out: str = "text") -> DataFrame:
     """``pages`` without ``html`` and with ``out``, the main text: blocks in page order joined by an empty line.
 
-    A DOM node is a block element. Each has a factor from its tag, name parts, text length and link share; potentials
+    A DOM node is a block element, or an inline one with a name of its own. Each has a factor from its tag, name parts, text length and link share; potentials
     join it to its parent; sum-product messages upward and downward give the marginal by which its text is kept.
     The model is fitted on TRAIN_PAGES labelled pages made by ``labelled_page`` (a documented bound; pass another
     model to use labelled pages of your own) and every page is read whole. Null or empty html, or a page without
@@ -335,5 +408,6 @@ def extract(pages: DataFrame, html: str = "html", model: Model | None = None, ou
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html gives an empty text, odd inputs as in ``extract``."""
     out = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
