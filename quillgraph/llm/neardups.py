@@ -15,12 +15,12 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: 1 - (1 - s^2)^8 of pairs with similarity s meet in a band: 0.9997 at 0.8, all but 1 in 10^5 at 0.87.
 BANDS, ROWS = 8, 2
-#: Document frequencies are counted in so many hashed slots, so the table has a fixed size (512 kB).
-SLOT_BITS = 16
-#: Weight of a word that every document has; a word of one document weighs 1.
-LEAST_WEIGHT = 0.5
+#: A word in fewer than one document in RARE weighs 1, a word in every document LEAST_WEIGHT, between them by logarithm.
+#: So only words in more documents need to be known: at most RARE times the different words of a mean document.
+RARE, LEAST_WEIGHT = 1000, 0.5
 #: Members of a bucket that are still apart are compared in blocks of so many, and so many shingles at once.
-BLOCK, COLUMNS = 768, 2048
+#: A block holds BLOCK_WORDS words at most on average, too.
+BLOCK, BLOCK_WORDS, COLUMNS = 768, 400_000, 2048
 
 
 def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -43,36 +43,67 @@ def _bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
+#: Different words that a task holds before it hands their counts on.
+HELD_WORDS = 1 << 18
 
 
-def _count_slots(batches: Iterator) -> Iterator:
+def _count_words(batches: Iterator) -> Iterator:
+    """(word hash, documents that hold it), partial counts; a null word counts the documents with words."""
     import pyarrow as pa
 
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    held, some = [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def rows(words: np.ndarray, counts: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
     for batch in batches:
         texts = _bytes(batch.column("t"))
         for lo, hi in W.chunks(texts):
             h, at = W.hashed(texts[lo:hi])
+            some += int((np.diff(at) > 0).sum())
             doc = np.repeat(np.arange(hi - lo), np.diff(at))
-            counts += np.bincount(np.unique((doc << SLOT_BITS) | slots(h)) & ((1 << SLOT_BITS) - 1), minlength=len(counts))
-    there = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["slot", "n"])
-
-
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every slot, scaled to LEAST_WEIGHT..1; counted over all documents."""
-    counts = docs.mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    df = np.zeros(1 << SLOT_BITS)
-    for slot, n in counts.toLocalIterator():  # at most 2^SLOT_BITS rows
-        df[slot] = n
-    total = max(float(df.max()), 1.0)
-    idf = np.log((total + 1) / (df + 1)) / np.log(total + 1)
-    return np.round((LEAST_WEIGHT + (1 - LEAST_WEIGHT) * idf) * 4096) / 4096
-
-
-def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            words, counts = np.unique(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]], return_counts=True)
+            held.append((words, counts))
+            if sum(len(w) for w, _ in held) > HELD_WORDS:
+                held = [summed()]
+                if len(held[0][0]) > HELD_WORDS // 2:
+                    yield rows(*held.pop())
+    if held:
+        yield rows(*summed())
+    yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.int64()), pa.array([some])], names=["word", "n"])
+
+
+def word_weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes in order, their weights) of the words that weigh less than 1; frequencies are exact, over all documents.
+
+    A weight depends on the share of documents alone, so it is the same at every size of the same mixture.
+    """
+    counts = written(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = (counts.where("word IS NULL").first() or [None, 0])[1]
+    often = counts.where(F.col("word").isNotNull() & (F.col("n") * RARE > total)).toPandas()  # bounded, see RARE
+    dropped(counts)
+    words = often["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    share = often["n"].to_numpy(float)[order] / max(total, 1)
+    weight = LEAST_WEIGHT + (1 - LEAST_WEIGHT) * -np.log(share) / np.log(RARE)
+    return words[order], np.round(weight * 4096) / 4096
+
+
+def weights_of(h: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    words, weight = weights
+    if not len(words):
+        return np.ones(len(h))
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, weight[at], 1.0)
+
+
+def shingles(texts: list[bytes], weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(different shingles, weight of one, how many, where each text's begin and end, hash of each text's words, its words).
 
     A shingle weighs its count times the mean weight of its words; a text of fewer words than a shingle is one.
@@ -81,7 +112,7 @@ def shingles(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.nd
     n = np.diff(at)
     sums = W.window_sums(h)
     whole = W.window(sums, at[:-1], n)
-    means = np.concatenate([[0.0], np.cumsum(weights[slots(h)])])
+    means = np.concatenate([[0.0], np.cumsum(weights_of(h, weights))])
     found, unit, many, bounds = [], [], [], [0]
     wide = W.window(sums, np.arange(max(0, len(h) - SHINGLE + 1)), SHINGLE) if len(h) >= SHINGLE else np.empty(0, np.uint64)
     weigh = np.round((means[SHINGLE:] - means[:-SHINGLE]) / SHINGLE * 4096) / 4096 if len(h) >= SHINGLE else np.empty(0)
@@ -152,7 +183,7 @@ def _sketch(shared):
     return run
 
 
-def _one(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _one(text: bytes, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x, unit, many, *_ = shingles([text], weights)
     return x, unit * many
 
@@ -182,7 +213,7 @@ def _verify(shared, threshold: float):
     return run
 
 
-def similarities(texts: list[bytes], split: int, weights: np.ndarray) -> np.ndarray:
+def similarities(texts: list[bytes], split: int, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Weighted Jaccard similarity of all texts before ``split`` with all from it on.
 
     A shingle that occurs c times is c elements, so least weights are sums over common elements: a product of two
@@ -294,8 +325,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     hold several components are then compared whole, in pairs of blocks of BLOCK members: pairs exist only inside a
     matrix product, and a task gives back just the links that join components, so none between components is lost.
 
-    The weight of a shingle is its count times the mean inverse document frequency of its words, held between
-    LEAST_WEIGHT and 1: frequencies of whole shingles would make a large group of near copies frequent, and so less
+    The weight of a shingle is its count times the mean inverse document frequency of its words (see ``word_weights``),
+    held between LEAST_WEIGHT and 1: frequencies of whole shingles would make a large group of near copies frequent, and so less
     similar the larger it is. Texts without words are their own class, null keys rank last; repeated rows are each
     returned. Empty table: no rows.
     """
@@ -322,8 +353,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     links = written(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
 
     now = members.drop("hub").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    now = now.join(apart.select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
+    apart = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum("w").alias("words")).where("lo <> hi")
+    now = now.join(apart.select("band", "key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")), ["band", "key"])
     now = now.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = ["band", "key", "i", "j"]
     now = now.select("band", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "label")

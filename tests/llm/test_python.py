@@ -260,6 +260,76 @@ def test_near_duplicates_find_copies_and_leave_the_rest(spark):
     assert neardups.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def brute_classes(rows, threshold=0.8):
+    """Class (a set of row numbers) of every row with words, by comparing all pairs; weights from plain counts."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for _, x in rows]
+    docs = [w for w in words if w]
+    df = Counter(x for w in docs for x in set(w))
+    half = neardups.LEAST_WEIGHT
+    weigh = {x: 1.0 if n * neardups.RARE <= len(docs) else half - (1 - half) * math.log(n / len(docs)) / math.log(neardups.RARE) for x, n in df.items()}
+    bags = []
+    for w in words:
+        grams = Counter(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else Counter([tuple(w)] * bool(w))
+        bags.append({g: n * (sum(weigh[x] for x in g) / 5 if len(w) >= 5 else 1.0) for g, n in grams.items()})
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    near = 1.0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = bags[i], bags[j]
+        if a and b:
+            least = sum(min(n, b[g]) for g, n in a.items() if g in b)
+            s = least / (sum(a.values()) + sum(b.values()) - least)
+            near = min(near, abs(s - threshold))
+            if s >= threshold:
+                up[find(j)] = find(i)
+    return [find(i) if words[i] else None for i in range(len(rows))], near
+
+
+def test_classes_match_all_pairs(spark):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(1500)]
+    word = lambda: vocabulary[int(1500 * rng.random() ** 3)]
+    rows = []
+    for _ in range(45):
+        text = [word() for _ in range(rng.choice((6, 40, 150, 400)))]
+        for _ in range(rng.randint(1, 6)):
+            near = list(text)
+            for _ in range(rng.randint(0, max(1, len(text) // 30))):
+                near[rng.randrange(len(near))] = word()
+            rows.append((rng.choice((None, len(rows), 3)), " ".join(near)))
+    rows += [(None, " ".join(["same"] * 30)), (None, " ".join(["same"] * 31)), (1, "a b c d e"), (2, "a b c d"), (4, None), (4, " ")]
+    want, near = brute_classes(rows)
+    assert near > 1e-4  # no pair so close to the threshold that rounded weights could decide
+    out = neardups.near_duplicates(docs_of(spark, rows)).collect()
+    got = defaultdict(set)
+    at = {(r["id"], r["k"]): (r["class_id"], r["class_k"]) for r in out}
+    keys = docs_of(spark, rows).select("doc_id", "text", neardups._row_hash(neardups.F.col("doc_id"), "text").alias("k")).collect()
+    place = {(r["doc_id"], r["text"]): (r["doc_id"], r["k"]) for r in keys}
+    classes = defaultdict(set)
+    for i, row in enumerate(rows):
+        if want[i] is not None:
+            got[at[place[row]]].add(i)
+            classes[want[i]].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    assert any(len(c) > 2 for c in classes.values()) and len(classes) > 45
+
+
+def test_word_weights_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "RARE", 20)
+    docs = spark.createDataFrame([(f"all w{i % 4} x{i % 30} only{i} all",) for i in range(200)] + [(None,), (" ",)], "t string").repartition(5)
+    words, weights = neardups.word_weights(docs)
+    share = {"all": 1.0} | {f"w{i}": 0.25 for i in range(4)}
+    h = {w: int(neardups.W.hashed([w.encode()])[0][0]) for w in share}
+    assert dict(zip(words.tolist(), weights.tolist())) == {h[w]: round((0.5 - 0.5 * math.log(s) / math.log(20)) * 4096) / 4096 for w, s in share.items()}
+    assert neardups.weights_of(np.array([h["all"], 5], np.uint64), (words, weights)).tolist() == [0.5, 1.0]
+    assert neardups.weights_of(np.array([5], np.uint64), neardups.word_weights(docs.limit(0))).tolist() == [1.0]
+
+
 def test_classes_of_null_and_repeated_keys_stay_apart(spark, tmp_path):
     rng = random.Random(12)
     text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
