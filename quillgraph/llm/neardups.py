@@ -18,8 +18,10 @@ BANDS, ROWS = 8, 2
 #: A word in fewer than one document in RARE weighs 1, a word in every document LEAST_WEIGHT, between them by logarithm.
 #: So only words in more documents need to be known: at most RARE times the different words of a mean document.
 RARE, LEAST_WEIGHT = 1000, 0.5
-#: Members of a bucket that are still apart are compared in blocks of so many, and so many shingles at once.
-#: A block holds BLOCK_WORDS words at most on average, too.
+#: Members that are tested against one copy of their hub's text.
+HUB_MEMBERS = 256
+#: Members of a bucket that are still apart are compared in blocks of so many, with BLOCK_WORDS words at most on
+#: average, and so many shingles at once.
 BLOCK, BLOCK_WORDS, COLUMNS = 768, 400_000, 2048
 
 
@@ -196,18 +198,21 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verify(shared, threshold: float):
+    """Rows sorted by hub, part and whether they are members: the hub's text comes first, its members follow."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, of = None, None
+        held = None
         for batch in batches:
             keep = []
-            ta, tb = batch.column("ta").cast("binary"), batch.column("tb").cast("binary")
-            a = batch.column("a").to_pylist()
-            for i in range(batch.num_rows):
-                if a[i] != of:
-                    of, held = a[i], _one(ta[i].as_py(), shared.value)
-                keep.append(similarity(held, _one(tb[i].as_py(), shared.value)) >= threshold)
+            for member, text in zip(batch.column("o").to_pylist(), _bytes(batch.column("t")), strict=True):
+                own = _one(text, shared.value)
+                if member:
+                    keep.append(similarity(held, own) >= threshold)
+                else:
+                    held = own
+                    keep.append(False)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
@@ -341,18 +346,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     nodes = sketches.groupBy("whole", "n").agg(F.min(F.struct(*rank, "w", "bands")).alias("f"))
     nodes = written(nodes.select("whole", "n", "f.id", "f.k", "f.w", "f.bands"), "nodes")
     members = nodes.select(F.col("k").alias("node"), "w", F.posexplode("bands").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1")
-    members = written(members.join(crowded.drop("m"), ["band", "key"]), "buckets")
+    crowded = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(F.struct("node", "w")).alias("h")).where("m > 1")
+    members = written(members.join(crowded.select("band", "key", F.col("h.node").alias("hub"), F.col("h.w").alias("hub_w")), ["band", "key"]), "buckets")
     there = members.select(F.col("node").alias("k")).distinct()
     wanted = written(base.select("k", "t").join(there, "k", "left_semi").dropDuplicates(["k"]), "texts")
     ratio = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) * (1 - 1e-9)
 
-    hubs = nodes.select(F.col("k").alias("hub"), F.col("w").alias("hub_w"))
-    pairs = members.where("node <> hub").join(hubs, "hub").where(ratio(F.col("w"), F.col("hub_w"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(wanted.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").join(wanted.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-    links = written(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
-
-    now = members.drop("hub").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = members.where("node <> hub").where(ratio(F.col("w"), F.col("hub_w"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    # A hub's text goes once to every HUB_MEMBERS of its members.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).alias("parts"))
+    texts = wanted.select(F.col("k").alias("b"), "t")
+    rest = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(True).alias("o"), "b").join(texts, "b")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("o"), F.col("a").alias("b")).join(texts, "b")
+    tests = rest.unionByName(heads).repartition(shuffle_parts(spark), "a", "part").sortWithinPartitions("a", "part", "o").select("a", "b", "o", "t")
+    links = written(tests.mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
+    dropped(pairs)
+
+    now = members.drop("hub", "hub_w").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum("w").alias("words")).where("lo <> hi")
     now = now.join(apart.select("band", "key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")), ["band", "key"])
     now = now.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
