@@ -29,7 +29,7 @@ def resolve_patterns(patterns: DataFrame, symbols: DataFrame, files: DataFrame,
 
     kind symbol: one match is bound, none or many unresolved; new_symbol: none is pending; paths: more than ``cap``
     files is too broad, none pending, files without symbols unresolved, else all their symbols. Patterns are a plan's,
-    few; they are matched by name in one join and by path in one pass over the files.
+    few; names and plain paths are matched in one join each, wildcards in one pass over the files.
     """
     key = ["item", "kind", "text", "source"]
     none = F.array().cast("array<string>")
@@ -42,11 +42,14 @@ def resolve_patterns(patterns: DataFrame, symbols: DataFrame, files: DataFrame,
     state = F.when(n == 1, "bound").when((n == 0) & (F.col("kind") == "new_symbol"), "pending").otherwise("unresolved")
     why = F.when(n == 1, None).when(n > 1, "many").when(F.col("kind") == "new_symbol", "declared_new").otherwise("not_at_baseline")
     out = named.join(ids, key, "left").select(*key, state.alias("state"), why.alias("why"), F.when(n == 1, F.col("ids")).otherwise(none).alias("targets"))
-    globs = [r["text"] for r in p.where("kind = 'paths'").select("text").distinct().collect()]  # a plan's patterns
-    if not globs:
-        return out
-    test = F.array_compact(F.array(*(F.when(F.concat("path", F.lit("/")).rlike(glob_regex(g)), F.lit(g)) for g in globs)))
-    at = files.select("path", F.explode(test).alias("text"))
+    paths = p.where("kind = 'paths'").select("text").distinct()
+    #: A text with a slash inside and no wildcard is one path, found by a join.
+    plain = ~F.col("text").rlike(r"[*?\[]") & F.regexp_replace("text", "^/|/$", "").contains("/") & ~F.col("text").endswith("/")
+    globs = [r["text"] for r in paths.where(~plain).collect()]  # a plan's patterns with wildcards: few
+    at = files.select("path", F.col("path").alias("own")).join(paths.where(plain).select("text", F.regexp_replace("text", "^/", "").alias("own")), "own").select("path", "text")
+    if globs:
+        test = F.array_compact(F.array(*(F.when(F.concat("path", F.lit("/")).rlike(glob_regex(g)), F.lit(g)) for g in globs)))
+        at = at.unionByName(files.select("path", F.explode(test).alias("text")))
     wide = at.groupBy("text").agg(F.count("*").alias("files"))
     inside = at.join(wide.where(F.col("files") <= cap), "text").join(symbols.select("path", "id"), "path").groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     paths = p.where("kind = 'paths'").join(wide, "text", "left").join(inside, "text", "left")

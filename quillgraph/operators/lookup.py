@@ -38,16 +38,35 @@ def callers(starts: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFram
     return hit.select("start", place.alias("place"), "id")
 
 
+def _lengths(texts: DataFrame, column: str) -> list[int]:
+    """The different lengths of texts: no more numbers than the longest has characters."""
+    return sorted(r["n"] for r in texts.select(F.length(column).alias("n")).distinct().collect() if r["n"])
+
+
+def _parts(texts: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """(column, part): what each text holds, in lower case, of the given lengths."""
+    low = F.lower(F.col(column))
+    sizes = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(low))
+    of = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)))
+    return texts.select(column, F.explode(F.array_distinct(F.flatten(of))).alias("part"))
+
+
 def near_names(asked: DataFrame, symbols: DataFrame, cap: int = budget.NEAR_CAP) -> DataFrame:
     """(asked, kind, name, place, beyond): spelling before substring, then by name; ``beyond`` counts what the cap cut.
 
-    ``asked`` is a stated set of names, broadcast in blocks by the caller; names are distinct before they meet it.
+    Spelling is a join on folded names. For substrings, the parts of every text that have the length of some text of
+    the other side are joined with it, so pairs come from equal keys alone; a text of n characters has under n * n / 2
+    parts. An empty name is near to nothing.
     """
-    every = symbols.select("name").distinct()
-    near = every.join(F.broadcast(asked.select("asked").distinct()), names.near_kind(F.col("asked"), F.col("name")).isNotNull())
-    near = near.withColumn("kind", names.near_kind(F.col("asked"), F.col("name")))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("kind", "name")))
+    asked, every = asked.select("asked").distinct(), symbols.select("name").distinct()
+    fold = lambda c: names.folded(F.col(c)).alias("fold")
+    spelling = asked.select("asked", fold("asked")).join(every.select("name", fold("name")), "fold").select("asked", "name", F.lit(0).alias("kind"))
+    inside = _parts(every, "name", _lengths(asked, "asked")).join(asked.select("asked", F.lower("asked").alias("part")), "part")
+    around = _parts(asked, "asked", _lengths(every, "name")).join(every.select("name", F.lower("name").alias("part")), "part")
+    near = spelling.unionByName(inside.unionByName(around).select("asked", "name", F.lit(1).alias("kind")))
+    near = near.where("asked <> name").groupBy("asked", "name").agg(F.min("kind").alias("kind"))
     total = near.groupBy("asked").agg(F.count("*").alias("all"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("kind", "name")))
     out = near.where(F.col("place") <= cap).join(total, "asked")
     return out.select("asked", F.when(F.col("kind") == 0, "spelling").otherwise("substring").alias("kind"), "name", "place", F.greatest(F.col("all") - cap, F.lit(0)).alias("beyond"))
 
@@ -62,10 +81,29 @@ def coverage(accessed: DataFrame, symbols: DataFrame, files: DataFrame) -> DataF
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``points`` (path, at) with the narrowest span of the same path that holds ``at``; the first of equals."""
+    """``points`` (path, at) with the narrowest span of the same path that holds ``at``; the first of equals.
+
+    A span is cut into aligned pieces whose lengths are powers of four, at most three of a length at either end; a
+    point lies in one piece of each length. So the join is on (path, length, piece): a point meets the spans that hold
+    it, and no others, however many a file has.
+    """
     p = points.withColumn("_p", F.struct("path", "at"))
-    hit = p.select("_p", "path", "at").distinct().join(spans.select("path", "byte_start", "byte_end", "ix", F.col("id").alias("inner")), "path")
-    hit = hit.where((F.col("byte_start") <= F.col("at")) & (F.col("at") < F.col("byte_end")))
+    s = spans.select("path", "byte_start", "byte_end", "ix", F.col("id").alias("inner")).where("byte_start < byte_end")
+    #: State while a span is cut: what is left of it, from both ends, in pieces of 4^level.
+    left = F.array(F.struct(F.col("byte_start").alias("a"), F.col("byte_end").alias("b"), F.lit(0).alias("level"), F.array().cast("array<struct<level:int,piece:bigint>>").alias("pieces")))
+
+    def step(t, _):
+        up = F.least(t["b"], F.ceil(t["a"] / 4).cast("long") * 4)
+        down = F.greatest(up, F.floor(t["b"] / 4).cast("long") * 4)
+        run = lambda lo, hi: F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda x: F.struct(t["level"].alias("level"), x.alias("piece")))).otherwise(F.array().cast("array<struct<level:int,piece:bigint>>"))
+        return F.struct((up / 4).cast("long").alias("a"), (down / 4).cast("long").alias("b"), (t["level"] + 1).alias("level"), F.concat(t["pieces"], run(t["a"], up), run(down, t["b"])).alias("pieces"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log(4.0, F.greatest(F.col("byte_end"), F.lit(4)))).cast("int") + 1)
+    s = s.withColumn("_c", F.explode(F.aggregate(steps, left[0], step, lambda t: t["pieces"])))
+    top = s.agg(F.coalesce(F.max("_c.level"), F.lit(0))).first()[0]
+    cells = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda n: F.struct(n.alias("level"), F.floor(F.col("at") / F.pow(F.lit(4.0), n)).cast("long").alias("piece")))
+    q = p.select("_p", "path", "at").distinct().withColumn("_c", F.explode(cells))
+    hit = q.join(s, ["path", "_c"])
     best = hit.groupBy("_p").agg(F.min_by("inner", F.struct(F.col("byte_end") - F.col("byte_start"), "ix")).alias("inner"))
     return p.join(best, "_p", "left").drop("_p")
 

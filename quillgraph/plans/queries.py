@@ -33,26 +33,14 @@ def _graph(spark: SparkSession, sf_dir: str, snapshot: str = "head") -> tuple[Da
     return symbols, A.edges(symbols)
 
 
-#: Names asked for: every name that ends in 7 (a stated set of names, some ambiguous), and three that don't exist.
-def _asked(symbols: DataFrame) -> DataFrame:
-    known = symbols.where(F.col("name").endswith("7")).select(F.col("name").alias("asked")).distinct()
-    more = symbols.sparkSession.range(1).select(F.explode(F.array(F.lit("O_11"), F.lit("o-1-3"), F.lit("nothing"))).alias("asked"))
-    return known.unionByName(more)
-
-
-def _every_name(symbols: DataFrame) -> DataFrame:
-    return symbols.select(F.col("name").alias("asked")).unionByName(_asked(symbols)).distinct()
-
-
-_ASKED = "asked AS (SELECT DISTINCT name AS asked FROM symbols_head WHERE name LIKE '%7' UNION ALL SELECT unnest(['O_11', 'o-1-3', 'nothing']))"
-#: Every name there is, and the three that don't exist.
-_EVERY_NAME = "asked AS (SELECT DISTINCT name AS asked FROM symbols_head UNION SELECT unnest(['O_11', 'o-1-3', 'nothing']))"
-#: Symbols that queries start from: those with the first place in their file.
-_STARTS = "starts AS (SELECT id AS start FROM symbols_head WHERE ix = 1)"
+#: Names asked for: every name there is (some ambiguous), and three that don't exist.
+_MISSING = ("O_11", "o-1-3", "nothing")
+_ASKED = f"asked AS (SELECT DISTINCT name AS asked FROM symbols_head UNION SELECT unnest({list(_MISSING)}))"
 
 
-def _starts(symbols: DataFrame) -> DataFrame:
-    return symbols.where("ix = 1").select(F.col("id").alias("start"))
+def _asked(symbols: DataFrame) -> DataFrame:
+    more = symbols.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, _MISSING))).alias("asked"))
+    return symbols.select(F.col("name").alias("asked")).unionByName(more).distinct()
 
 
 @query("""SELECT count(*) AS files_total, count(*) FILTER (bucket = 'parsed') AS parsed, count(*) FILTER (bucket = 'partial') AS partial,
@@ -87,19 +75,6 @@ def symbol_outcome(spark, sf_dir):
     return lookup.outcomes(_asked(symbols), symbols)
 
 
-@query("SELECT asked, row_number() OVER (PARTITION BY asked ORDER BY path, byte_start, id) AS place, id, path, kind, byte_start FROM asked JOIN symbols_head ON asked = name", _EVERY_NAME)
-def symbol_resolve_all(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
-    return lookup.resolve(_every_name(symbols), symbols).select("asked", "place", "id", "path", "kind", "byte_start")
-
-
-@query("""SELECT asked, coalesce(n, 0) AS n, CASE coalesce(n, 0) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN id END AS id
-  FROM asked LEFT JOIN (SELECT name, count(*) AS n, min(id) AS id FROM symbols_head GROUP BY name) ON asked = name""", _EVERY_NAME)
-def symbol_outcome_all(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
-    return lookup.outcomes(_every_name(symbols), symbols)
-
-
 @query("""SELECT r.id AS start, row_number() OVER (PARTITION BY r.id ORDER BY s.byte_start, s.id) AS place, s.id FROM symbols_head r JOIN symbols_head s ON r.path = s.path AND r.id <> s.id
   AND s.container[1:len(r.container) + 1] = list_append(r.container, r.name)""")
 def symbol_contains(spark, sf_dir):
@@ -118,47 +93,28 @@ def symbol_callees(spark, sf_dir):
     return _graph(spark, sf_dir)[1].groupBy(F.col("src").alias("start")).agg(F.count("*").alias("callees"))
 
 
-_FORWARD = """starts AS (SELECT DISTINCT ON (file_key) id AS start FROM symbols_head ORDER BY file_key, ix DESC),
-reach AS (SELECT start, start AS node, 0 AS depth FROM starts UNION SELECT r.start, dst, depth + 1 FROM reach r JOIN edges_head ON node = src WHERE depth < 3)"""
-
-
-def _last(symbols: DataFrame) -> DataFrame:
-    return symbols.groupBy("file_key").agg(F.max_by("id", "ix").alias("start")).select("start")
-
-
-@query("SELECT start, node, min(depth)::INTEGER AS depth FROM reach GROUP BY start, node", _FORWARD.replace("starts AS", "starts AS MATERIALIZED"))
-def symbol_reaches(spark, sf_dir):
-    symbols, edges = _graph(spark, sf_dir)
-    nodes, _ = traverse.reaches(_last(symbols), edges)
-    return nodes.select("start", "node", "depth")
-
-
-@query("""SELECT start, 'depth' AS reason, count(*) AS count FROM (
-  SELECT DISTINCT r.start, r.node, e.dst FROM (SELECT start, node FROM reach GROUP BY start, node HAVING min(depth) = 3) r JOIN edges_head e ON r.node = e.src
-  WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.start = r.start AND x.node = e.dst)) GROUP BY start""", _FORWARD)
-def symbol_reaches_cut(spark, sf_dir):
-    symbols, edges = _graph(spark, sf_dir)
-    return traverse.reaches(_last(symbols), edges)[1]
-
-
 #: The search from every symbol; the files are smaller than the budget of nodes, so only the depth cuts.
-_FORWARD_ALL = """reach AS (SELECT id AS start, id AS node, 0 AS depth FROM symbols_head UNION SELECT r.start, dst, depth + 1 FROM reach r JOIN edges_head ON node = src WHERE depth < 3)"""
+_FORWARD = """reach AS (
+  SELECT id AS start, id AS node, 0 AS depth FROM symbols_head UNION SELECT r.start, dst, depth + 1 FROM reach r JOIN edges_head ON node = src WHERE depth < 3)"""
 
 
 def _every_start(symbols: DataFrame) -> DataFrame:
     return symbols.select(F.col("id").alias("start"))
 
 
-@query("SELECT start, node, min(depth)::INTEGER AS depth FROM reach GROUP BY start, node", _FORWARD_ALL)
-def symbol_reaches_all(spark, sf_dir):
+@query("SELECT start, node, min(depth)::INTEGER AS depth FROM reach GROUP BY start, node", _FORWARD)
+def symbol_reaches(spark, sf_dir):
     symbols, edges = _graph(spark, sf_dir)
     return traverse.reaches(_every_start(symbols), edges)[0].select("start", "node", "depth")
 
 
-@query("""SELECT start, 'depth' AS reason, count(*) AS count FROM (
+@query(
+    """SELECT start, 'depth' AS reason, count(*) AS count FROM (
   SELECT DISTINCT r.start, r.node, e.dst FROM (SELECT start, node FROM reach GROUP BY start, node HAVING min(depth) = 3) r JOIN edges_head e ON r.node = e.src
-  WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.start = r.start AND x.node = e.dst)) GROUP BY start""", _FORWARD_ALL)
-def symbol_reaches_cut_all(spark, sf_dir):
+  WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.start = r.start AND x.node = e.dst)) GROUP BY start""",
+    _FORWARD,
+)
+def symbol_reaches_cut(spark, sf_dir):
     symbols, edges = _graph(spark, sf_dir)
     return traverse.reaches(_every_start(symbols), edges)[1]
 
@@ -173,30 +129,30 @@ def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
 
 
-_NEAR = """f AS (SELECT asked, name, CASE WHEN asked = name THEN NULL WHEN lower(regexp_replace(asked, '[_-]', '', 'g')) = lower(regexp_replace(name, '[_-]', '', 'g')) THEN 0
-    WHEN asked <> '' AND (contains(lower(asked), lower(name)) OR contains(lower(name), lower(asked))) THEN 1 END AS k
-  FROM (SELECT unnest(['O_11', 'o-1-3', 'O5', 'x']) AS asked), (SELECT DISTINCT name FROM symbols_head)),
-n AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY k, name) AS place, count(*) OVER (PARTITION BY asked) AS c FROM f WHERE k IS NOT NULL)"""
+#: Asked are all names in another spelling, most of which no symbol has, and two short texts that many names hold.
+_NEAR = """want AS (SELECT DISTINCT 'O_' || name[2:] AS asked FROM symbols_head UNION SELECT unnest(['O5', 'x', 'o'])),
+have AS (SELECT DISTINCT name FROM symbols_head),
+wl AS (SELECT DISTINCT len(asked) AS n FROM want), hl AS (SELECT DISTINCT len(name) AS n FROM have),
+hit AS (
+  SELECT asked, name, 1 AS k FROM (SELECT DISTINCT name, lower(name)[i:i + n - 1] AS part FROM have, wl, range(1, 20) r(i) WHERE i + n - 1 <= len(name)) JOIN want ON lower(asked) = part
+  UNION ALL SELECT asked, name, 1 FROM (SELECT DISTINCT asked, lower(asked)[i:i + n - 1] AS part FROM want, hl, range(1, 20) r(i) WHERE i + n - 1 <= len(asked)) JOIN have ON lower(name) = part
+  UNION ALL SELECT asked, name, 0 FROM want JOIN have ON replace(replace(lower(asked), '_', ''), '-', '') = replace(replace(lower(name), '_', ''), '-', '')),
+f AS (SELECT asked, name, min(k) AS k FROM hit WHERE asked <> name GROUP BY asked, name),
+n AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY k, name) AS place, count(*) OVER (PARTITION BY asked) AS c FROM f)"""
 
 
 @query("SELECT asked, CASE k WHEN 0 THEN 'spelling' ELSE 'substring' END AS kind, name, place, greatest(c - 10, 0) AS beyond FROM n WHERE place <= 10", _NEAR)
 def symbol_near_names(spark, sf_dir):
-    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, ("O_11", "o-1-3", "O5", "x")))).alias("asked"))
-    return lookup.near_names(asked, A.symbols(spark, sf_dir))
-
-
-@query("""SELECT coalesce(min(CASE WHEN ordinal = 0 THEN 2 ELSE 1 END), 1)::INTEGER AS identity,
-  (SELECT coalesce(sum(unresolved), 0)::BIGINT FROM files WHERE refs_built AND path IN (SELECT path FROM symbols_head WHERE ix = 1)) AS unresolved,
-  (SELECT coalesce(min(grade), 0)::INTEGER FROM files WHERE path IN (SELECT path FROM symbols_head WHERE ix = 1)) AS grade, count(*) AS accessed FROM symbols_head WHERE ix = 1""")
-def symbol_coverage(spark, sf_dir):
     symbols = A.symbols(spark, sf_dir)
-    return lookup.coverage(_starts(symbols).withColumnRenamed("start", "id"), symbols, A.files(spark, sf_dir))
+    more = spark.range(1).select(F.explode(F.array(*map(F.lit, ("O5", "x", "o")))).alias("asked"))
+    asked = symbols.select(F.concat(F.lit("O_"), F.substring("name", 2, 1000)).alias("asked")).unionByName(more)
+    return lookup.near_names(asked, symbols)
 
 
 @query("""SELECT coalesce(min(CASE WHEN ordinal = 0 THEN 2 ELSE 1 END), 1)::INTEGER AS identity,
   (SELECT coalesce(sum(unresolved), 0)::BIGINT FROM files WHERE refs_built AND path IN (SELECT path FROM symbols_head)) AS unresolved,
   (SELECT coalesce(min(grade), 0)::INTEGER FROM files WHERE path IN (SELECT path FROM symbols_head)) AS grade, count(*) AS accessed FROM symbols_head""")
-def symbol_coverage_all(spark, sf_dir):
+def symbol_coverage(spark, sf_dir):
     symbols = A.symbols(spark, sf_dir)
     return lookup.coverage(symbols.select("id"), symbols, A.files(spark, sf_dir))
 
@@ -272,7 +228,7 @@ def tree_differing_paths(spark, sf_dir):
 _PATTERNS = """pat AS (
   SELECT 'i' || file_key AS item, 'symbol' AS kind, 'o' || file_key AS text, 'span' AS source FROM files WHERE file_key % 9 = 0
   UNION ALL SELECT 'i' || file_key, 'new_symbol', 'o' || (file_key * 13), 'declared' FROM files WHERE file_key % 9 < 2
-  UNION ALL SELECT 'i' || file_key, 'paths', path, 'path' FROM files WHERE file_key <= 40 AND file_key % 8 = 0
+  UNION ALL SELECT 'i' || file_key, 'paths', path, 'path' FROM files WHERE file_key % 8 = 0
   UNION ALL SELECT 'wide', 'paths', 'seg/**', 'path')"""
 
 
@@ -282,7 +238,7 @@ def _patterns(spark, sf_dir) -> DataFrame:
     row = lambda df, kind, text, source: df.select(item, F.lit(kind).alias("kind"), text.alias("text"), F.lit(source).alias("source"))
     out = row(f.where("file_key % 9 = 0"), "symbol", F.concat(F.lit("o"), key.cast("string")), "span")
     out = out.unionByName(row(f.where("file_key % 9 < 2"), "new_symbol", F.concat(F.lit("o"), (key * 13).cast("string")), "declared"))
-    out = out.unionByName(row(f.where("file_key <= 40 AND file_key % 8 = 0"), "paths", F.col("path"), "path"))
+    out = out.unionByName(row(f.where("file_key % 8 = 0"), "paths", F.col("path"), "path"))
     return out.unionByName(spark.range(1).select(F.lit("wide").alias("item"), F.lit("paths").alias("kind"), F.lit("seg/**").alias("text"), F.lit("path").alias("source")))
 
 
@@ -405,7 +361,7 @@ def narrative_spread(spark, sf_dir):
 _HISTORY = """ev AS (SELECT user_id AS "case", event_type AS id, floor(value / 50)::BIGINT::VARCHAR AS body, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank,
   'c' || event_id AS commit FROM events),
 cases AS (SELECT DISTINCT "case" FROM ev), now AS (SELECT "case", id, body FROM ev QUALIFY row_number() OVER (PARTITION BY "case", id ORDER BY rank) = 1),
-votes AS (SELECT ev."case", ev.id, min(ev.rank) - 1 AS rank FROM ev JOIN now ON ev."case" = now."case" AND ev.id = now.id AND ev.body <> now.body GROUP BY ev."case", ev.id),
+votes AS (SELECT ev."case", ev.id, min(ev.rank) - 1 AS rank FROM ev JOIN now ON ev."case" = now."case" AND ev.id = now.id AND ev.body <> now.body AND ev.rank < 400 GROUP BY ev."case", ev.id),
 tally AS (SELECT v."case", e.commit, count(*) AS votes FROM votes v JOIN ev e ON e."case" = v."case" AND e.rank = v.rank GROUP BY v."case", e.commit)"""
 
 
@@ -425,7 +381,7 @@ def _votes(spark, sf_dir):
     history, commits = _history(spark, sf_dir)
     newest = history.groupBy("case", "id").agg(F.min_by("body", "rank").alias("body"))
     whole = history.withColumn("rank", F.col("rank") + 1).unionByName(newest.withColumn("rank", F.lit(0).cast("int")))
-    votes = defect.introduction_votes(whole, limit=2**31 - 2).withColumn("rank", F.col("rank") - 1)
+    votes = defect.introduction_votes(whole).withColumn("rank", F.col("rank") - 1)
     return votes, commits
 
 
