@@ -424,45 +424,77 @@ def _derived(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return written(nodes.select(F.col("id").alias("key"), (F.col("key") % 29 == 0).alias("stale"), F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs")), "derived")
 
 
+#: The view that the doctor examines: nodes are symbols whose key 31 doesn't divide, edges all edges (so some have no
+#: end). Planted, for each invariant, are rows that keep it and rows that break it, by key or by the id's first digits.
+_VIEW = (
+    "dn AS (SELECT id, key FROM symbols_head WHERE key % 31 <> 0), de AS (SELECT src, dst FROM edges_head WHERE src IN (SELECT id FROM dn)),\n"
+    + _CASCADE.replace("symbols_head", "dn").replace("edges_head", "de")
+    + """,
+told AS (
+  SELECT id, grade, CASE WHEN key % 41 = 0 THEN 'live' ELSE grade END AS stored, id IN (SELECT src FROM de) AS fed FROM (
+    SELECT id, key, CASE WHEN id IN (SELECT k FROM root) THEN 'stale' WHEN id IN (SELECT k FROM seen) THEN 'stale_derived' WHEN id IN (SELECT k FROM w4) THEN 'residual' ELSE 'live' END AS grade FROM dn))"""
+)
+
+
 @query("""SELECT invariant, checked, violations, CASE WHEN checked = 0 THEN 'not_built' WHEN violations > 0 THEN 'violated' ELSE 'clean' END AS outcome FROM (
-  SELECT 'endpoints' AS invariant, (SELECT count(*) FROM edges_head) AS checked, (SELECT count(DISTINCT src || '>' || dst) FROM edges_head WHERE dst IN (SELECT id FROM symbols_head WHERE key % 31 = 0) OR src IN (SELECT id FROM symbols_head WHERE key % 31 = 0)) AS violations
-  UNION ALL SELECT 'registered', (SELECT count(*) FROM symbols_head WHERE key % 31 <> 0), 0
-  UNION ALL SELECT 'producers', (SELECT count(*) FROM symbols_head WHERE key % 31 <> 0), (SELECT count(*) FROM symbols_head WHERE key % 31 <> 0 AND key % 23 = 0)
-  UNION ALL SELECT 'evidence', (SELECT count(*) FROM symbols_head WHERE key % 31 <> 0), (SELECT count(*) FROM symbols_head WHERE key % 31 <> 0 AND key % 23 = 0)
-  UNION ALL SELECT 'candidates', (SELECT count(*) FROM edges_head), 0
-  UNION ALL SELECT 'residuals', 0, 0
-  UNION ALL SELECT 'bindings', (SELECT count(*) FROM bound), 0
-  UNION ALL SELECT 'freshness', 0, 0)""")
+  SELECT 'endpoints' AS invariant, (SELECT count(*) FROM edges_head) AS checked,
+    (SELECT count(*) FROM edges_head WHERE dst NOT IN (SELECT id FROM dn) OR src NOT IN (SELECT id FROM dn)) AS violations
+  UNION ALL SELECT 'registered', (SELECT count(*) FROM dn), (SELECT count(*) FROM dn WHERE key % 37 = 0)
+  UNION ALL SELECT 'producers', (SELECT count(*) FROM dn), (SELECT count(*) FROM dn WHERE key % 23 = 0)
+  UNION ALL SELECT 'evidence', (SELECT count(*) FROM dn), (SELECT count(*) FROM dn WHERE key % 23 = 0)
+  UNION ALL SELECT 'candidates', (SELECT count(*) FROM edges_head), (SELECT count(*) FROM edges_head WHERE src LIKE '00%')
+  UNION ALL SELECT 'residuals', (SELECT count(*) FROM dn WHERE id LIKE '1%'), (SELECT count(*) FROM dn WHERE id LIKE '11%')
+  UNION ALL SELECT 'bindings', (SELECT count(*) FROM bound) + (SELECT count(*) FROM bound WHERE id LIKE '0%'), (SELECT count(*) FROM bound WHERE id LIKE '0%')
+  UNION ALL SELECT 'freshness', (SELECT count(*) FROM told WHERE fed OR stored <> 'live'), (SELECT count(*) FROM told WHERE (fed OR stored <> 'live') AND stored <> grade))""", _VIEW)
 def doctor_diagnosis(spark, sf_dir):
-    """Nodes whose key is divisible by 31 are left out (broken endpoints); those by 23 claim to be inferred without evidence."""
+    """All eight invariants, each with rows that keep it and rows that break it (see ``_VIEW``)."""
     symbols, edges = _graph(spark, sf_dir)
     symbols, edges = written(symbols, "symbols"), written(edges, "edges")
-    inferred = F.col("key") % 23 == 0
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
-    nodes = symbols.where("key % 31 <> 0").select(
-        F.col("id").alias("key"), F.lit("Symbol").alias("label"), F.when(inferred, "inferred").otherwise("extracted").alias("provenance"), F.when(~inferred, F.lit("span")).alias("evidence"),
-        F.lit(False).alias("stale"), none.alias("inputs"), F.lit("live").alias("grade"), F.array(F.lit("path"), F.lit("name")).alias("attrs"),
-    )
+    derived = _derived(symbols.where("key % 31 <> 0"), edges)
+    inferred = F.col("k") % 23 == 0
+    nodes = derived.join(traverse.cascade(derived).select("key", "grade"), "key").join(symbols.select(F.col("id").alias("key"), F.col("key").alias("k")), "key")
+    nodes = nodes.select(
+        "key",
+        F.lit("Symbol").alias("label"),
+        F.when(inferred, "inferred").otherwise("extracted").alias("provenance"),
+        F.when(~inferred, F.lit("span")).alias("evidence"),
+        "stale",
+        "inputs",
+        F.when(F.col("k") % 41 == 0, "live").otherwise(F.col("grade")).alias("grade"),
+        F.when(F.col("k") % 37 == 0, F.array(F.lit("path"))).otherwise(F.array(F.lit("path"), F.lit("name"))).alias("attrs"),
+    )
+    nodes = written(nodes, "nodes")
+    cut = F.col("src").startswith("0")
     e = edges.select(
-        F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("REFERENCES").alias("type"), "src", F.array("dst").alias("targets"), F.lit("scoped").alias("grade"), F.lit("extracted").alias("provenance"),
-        F.lit("scope").alias("evidence"), text.alias("demoted_to"), F.lit(False).alias("truncated"),
-    )
-    one = spark.range(1)
-    bound = _bound(spark, sf_dir).select("id")
+        F.concat("src", F.lit(">"), "dst").alias("id"),
+        F.lit("REFERENCES").alias("type"),
+        "src",
+        F.array("dst").alias("targets"),
+        F.lit("scoped").alias("grade"),
+        F.lit("extracted").alias("provenance"),
+        F.lit("scope").alias("evidence"),
+        F.when(cut & ~F.col("src").startswith("00"), F.col("src")).alias("demoted_to"),
+        cut.alias("truncated"),
+    )
+    one, bound = spark.range(1), _bound(spark, sf_dir).select("id")
+    index = bound.unionByName(bound.where("id LIKE '0%'").select(F.concat(F.lit("lost-"), "id").alias("id")))
+    residuals = nodes.where("key LIKE '1%'").select(F.col("key").alias("id"), F.array(F.when(F.col("key").startswith("11"), "nowhere").otherwise(F.col("key"))).alias("coords"))
     view = {
         "nodes": nodes,
-        "edges": e.join(nodes.select(F.col("key").alias("src")), "src", "left_semi").unionByName(e.join(nodes.select(F.col("key").alias("src")), "src", "left_anti")),
+        "edges": e,
         "labels": one.select(F.lit("Symbol").alias("label"), F.array(F.lit("path"), F.lit("name")).alias("required"), F.array(F.lit("kind")).alias("allowed")),
         "types": one.select(F.lit("REFERENCES").alias("type"), F.lit("Symbol").alias("src_label"), F.lit("Symbol").alias("dst_label"), F.lit("scoped").alias("grade")),
         "producers": one.select(F.lit("Symbol").alias("label"), F.lit("extracted").alias("provenance")),
-        "residuals": one.where("false").select(F.lit("r").alias("id"), none.alias("coords")),
-        "binding_index": bound,
+        "residuals": residuals,
+        "binding_index": index,
         "bound": bound,
     }
-    found = doctor.violations(view)
-    n = nodes.count()
-    checked = {"endpoints": edges.count(), "registered": n, "producers": n, "evidence": n, "candidates": edges.count(), "bindings": bound.count()}
-    return doctor.diagnosis(found, checked)
+    fed = F.count_if((F.size("inputs") > 0) | (F.col("grade") != "live"))
+    n, told, rest = nodes.agg(F.count("*"), fed, F.count_if(F.col("key").startswith("1"))).first()
+    m = edges.count()
+    checked = {"endpoints": m, "registered": n, "producers": n, "evidence": n, "candidates": m, "residuals": rest, "bindings": index.count(), "freshness": told}
+    return doctor.diagnosis(doctor.violations(view), checked)
 
 
 _LOG = """log AS (SELECT 'snap' || (user_id % 3) AS snapshot, event_type AS query, substr(sha256(concat_ws(chr(31), 'args', event_id)), 1, 16) AS args_digest, (value * 10)::BIGINT AS micros, event_id FROM events)"""
