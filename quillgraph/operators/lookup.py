@@ -135,6 +135,16 @@ def ledger(files: DataFrame) -> DataFrame:
     )
 
 
+def exclusions_by_rule(files: DataFrame) -> DataFrame:
+    """(rule, n) of excluded files."""
+    return files.where("bucket = 'excluded'").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def out_of_scope_files(files: DataFrame) -> int:
+    """How many files no answer about symbols can see: all that are neither parsed nor partly parsed."""
+    return files.where(~F.col("bucket").isin("parsed", "partial")).count()
+
+
 BUCKETS = ("parsed", "partial", "unsupported", "unrecognized", "excluded", "generated", "binary")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import bindings as B
 from ..operators import budget, deviation, lookup, narrative, traverse
+from ..sources.store import claimed
 from ..sources.tables import written
 
 #: name -> arguments. Nothing else is answered; open strings are refused.
@@ -98,12 +99,22 @@ class Envelope:
         """Another answer on the same evidence."""
         return Envelope(**{**self.__dict__, "answer": f(self.answer)})
 
+    def evidence(self) -> str:
+        parts = ("query", "args", "outcome", "snapshot", "projection", "coverage", "capabilities", "ledger", "fold", "log")
+        return json.dumps({k: getattr(self, k) for k in parts} | {"elision": self.elision.counts}, sort_keys=True, ensure_ascii=False)
+
+    def lines(self) -> DataFrame:
+        """(value): the envelope as JSON lines, the evidence first, then the answer's rows, each under its table's name."""
+        spark = next(iter(self.answer.values())).sparkSession
+        out = spark.range(1).select(F.lit(0).alias("n"), F.lit(self.evidence()).alias("value"))
+        for n, (name, df) in enumerate(sorted(self.answer.items()), 1):
+            out = out.unionByName(df.select(F.lit(n).alias("n"), F.to_json(F.struct(F.lit(name).alias("table"), F.struct("*").alias("row"))).alias("value")))
+        return out.select("value")
+
     def rows(self) -> DataFrame:
-        """One row: the envelope as JSON columns, and its size in tokens of BYTES_PER_TOKEN bytes."""
-        some = next(iter(self.answer.values()))
-        body = {k: getattr(self, k) for k in ("query", "args", "outcome", "snapshot", "projection", "coverage", "capabilities", "ledger", "fold", "log")} | {"elision": self.elision.counts}
-        text = F.lit(json.dumps(body, sort_keys=True, ensure_ascii=False))
-        return some.sparkSession.range(1).select(F.lit(self.query).alias("query"), F.lit(self.outcome).alias("outcome"), text.alias("evidence"), F.floor(F.octet_length(text) / budget.BYTES_PER_TOKEN).alias("tokens"))
+        """One row: the evidence as JSON, and the whole envelope's size, answer included, in tokens of BYTES_PER_TOKEN bytes."""
+        size = F.floor(F.sum(F.octet_length("value") + 1) / budget.BYTES_PER_TOKEN).alias("tokens")
+        return self.lines().agg(size).select(F.lit(self.query).alias("query"), F.lit(self.outcome).alias("outcome"), F.lit(self.evidence()).alias("evidence"), "tokens")
 
 
 def _one(df: DataFrame) -> dict:
@@ -133,9 +144,9 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
         accessed = found.select("id") if n else None
     if start is not None:
         if name == "symbol.contains":
-            answer = {"symbols": lookup.contains(start, graph.symbols)}
+            answer = {"symbols": written(lookup.contains(start, graph.symbols), "answer")}
         elif name == "symbol.callers":
-            answer = {"symbols": lookup.callers(start, graph.edges, graph.symbols)}
+            answer = {"symbols": written(lookup.callers(start, graph.edges, graph.symbols), "answer")}
         elif name == "symbol.reaches":
             nodes, cut = traverse.reaches(start, graph.edges)
             for r in cut.collect():  # one start: at most four rows
@@ -147,6 +158,8 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
             recall, facts = B.touch(start, graph.bindings, statuses, graph.edges)
             elision.add("binding_max", facts.first()["beyond"])
             answer = {"recall": recall, "facts": facts}
+        if "symbols" in answer:  # what an answer names was seen, too
+            accessed = accessed.unionByName(answer["symbols"].select("id")).distinct()
     elif name == "ledger.snapshot":
         answer = {"ledger": lookup.ledger(graph.files)}
     elif name == "graph.dump":
@@ -167,6 +180,7 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     counts = _one(lookup.ledger(graph.files))
     nothing = {"identity": 1, "unresolved": 0, "grade": 0, "accessed": 0}
     covered = _one(lookup.coverage(accessed, graph.symbols, graph.files)) if accessed is not None else nothing
+    covered["out_of_scope_files"] = lookup.out_of_scope_files(graph.files)
     log = {"status": "recorded"} if graph.log else {"status": "not_recorded", "reason": "read_only_attach"}
     envelope = Envelope(
         name, args, outcome, answer, graph.snapshot, {"built_for": graph.built_for or graph.snapshot, "current": graph.current}, covered,
@@ -181,7 +195,7 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
 
 
 def _record(graph: Graph, e: Envelope, accessed: DataFrame | None) -> None:
-    """Append the answer to the log, partitioned by snapshot, numbered after what is there."""
+    """Append the answer to the log, partitioned by snapshot; its number is claimed, so two writers never share one."""
     spark = graph.symbols.sparkSession
     schema = "snapshot string, seq long, query string, args_digest string, elision string, micros long, accessed array<string>"
     seen = accessed.agg(F.array_sort(F.collect_set("id")).alias("accessed")) if accessed is not None else spark.range(1).select(F.array().cast("array<string>").alias("accessed"))
@@ -195,4 +209,5 @@ def _record(graph: Graph, e: Envelope, accessed: DataFrame | None) -> None:
             raise
         old = spark.range(0).select(F.lit("").alias("snapshot"), F.lit(0).cast("long").alias("seq"))
     last = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
-    new.withColumn("seq", F.lit(last + 1).cast("long")).write.mode("append").partitionBy("snapshot").parquet(graph.log)
+    seq = claimed(spark, f"{graph.log.rstrip('/')}-numbers/{ids.SEP.join(e.snapshot.split('/')).encode().hex()}", last)
+    new.withColumn("seq", F.lit(seq).cast("long")).write.mode("append").partitionBy("snapshot").parquet(graph.log)

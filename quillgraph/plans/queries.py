@@ -9,7 +9,7 @@ from ..functions import ids, names
 from ..operators import bindings as B
 from ..operators import defect, deviation, doctor, lookup, narrative, traverse
 from ..sources import adapter as A
-from ..sources import recognize, store
+from ..sources import projection, recognize, scanners, store
 from ..sources.tables import written
 
 QUERIES: dict = {}
@@ -576,3 +576,66 @@ def radius_expand(spark, sf_dir):
 def name_shapes(spark, sf_dir):
     n = A.symbols(spark, sf_dir).select("name").distinct()
     return n.select("name", names.slug(F.col("name")).alias("slug"), names.is_identifier(F.col("name")).alias("identifier"))
+
+
+#: Source texts made from the orders of every customer whose file is TypeScript, Kotlin or Rust: the i-th order is a
+#: function that calls the one before and itself (TypeScript), a function and a property (Kotlin), a type with a method
+#: (Rust). SQL derives from the orders what extraction must find in the texts.
+def _sources(spark, sf_dir) -> DataFrame:
+    ix = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = A.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_key"), ix.alias("ix"))
+    f = A.files(spark, sf_dir).where("file_key % 7 < 3").select("file_key", "path", "language")
+    i = F.col("ix").cast("string")
+    ts = F.concat(F.lit("// @decision: "), i, F.lit("\nexport function f"), i, F.lit("(v) {\n  const w = f"), (F.col("ix") - 1).cast("string"), F.lit("(v)\n  return ext(w, f"), i, F.lit(")\n}\n"))
+    kt = F.concat(F.lit("fun f"), i, F.lit("() = "), i, F.lit("\nval p"), i, F.lit(" = { \"}\" }\n"))
+    rs = F.concat(F.lit("impl<T> S"), i, F.lit("<T> { pub fn f"), i, F.lit("(&self) { fn local() {} } }\nstruct S"), i, F.lit(";\n"))
+    rows = o.join(f, "file_key").withColumn("part", F.when(F.col("language") == "TypeScript", ts).when(F.col("language") == "Kotlin", kt).otherwise(rs))
+    parts = rows.groupBy("path", "language").agg(F.array_sort(F.collect_list(F.struct("ix", "part"))).alias("p"))
+    return parts.select("path", "language", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"))
+
+
+def _extracted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = written(scanners.extract(_sources(spark, sf_dir)), "extracted")
+    return found, written(projection.symbols_of(found, A.REPO), "source-symbols")
+
+
+_SOURCES = """src AS (SELECT path, language, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders JOIN files ON o_custkey = file_key WHERE file_key % 7 < 3)"""
+
+
+@query(
+    """SELECT path, '' AS container, 'f' || i AS name, 'function' AS kind, 0 AS ordinal FROM src WHERE language IN ('TypeScript', 'Kotlin')
+  UNION ALL SELECT path, '', 'p' || i, 'property', 0 FROM src WHERE language = 'Kotlin'
+  UNION ALL SELECT path, '', 'S' || i, 'struct', 0 FROM src WHERE language = 'Rust'
+  UNION ALL SELECT path, 'S' || i, 'f' || i, 'function', 0 FROM src WHERE language = 'Rust'""",
+    _SOURCES,
+)
+def source_symbols(spark, sf_dir):
+    symbols = _extracted(spark, sf_dir)[1]
+    return symbols.select("path", F.array_join("container", ".").alias("container"), "name", "kind", "ordinal")
+
+
+@query("SELECT path, 'f' || i AS src, 'f' || unnest([i - 1, i]) AS dst FROM src WHERE language = 'TypeScript' AND i > 1 UNION ALL SELECT path, 'f1', 'f1' FROM src WHERE language = 'TypeScript' AND i = 1", _SOURCES)
+def source_edges(spark, sf_dir):
+    found, symbols = _extracted(spark, sf_dir)
+    name = lambda end: symbols.select(F.col("id").alias(end), "path", F.col("name").alias(f"{end}_name"))
+    out = projection.edges_of(found, symbols)[0].join(name("src"), "src").join(name("dst").drop("path"), "dst")
+    return out.select("path", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+
+
+@query(
+    """SELECT path, 'edge' AS class, 2 * count(*) - 1 AS n FROM src WHERE language = 'TypeScript' GROUP BY path
+  UNION ALL SELECT path, 'local', 2 * count(*) FROM src WHERE language = 'TypeScript' GROUP BY path
+  UNION ALL SELECT path, 'unresolved', count(*) + 1 FROM src WHERE language = 'TypeScript' GROUP BY path""",
+    _SOURCES,
+)
+def source_ref_classes(spark, sf_dir):
+    found, symbols = _extracted(spark, sf_dir)
+    return projection.edges_of(found, symbols)[1]
+
+
+@query("SELECT path, 'f' || i AS name, '@decision: ' || i AS comment FROM src WHERE language = 'TypeScript'", _SOURCES)
+def source_exports(spark, sf_dir):
+    """Exported names with the marked comment that is attached to their symbol."""
+    found, symbols = _extracted(spark, sf_dir)
+    said = projection.comments_of(found, symbols).select(F.explode("attached").alias("id"), F.col("body").alias("comment"))
+    return projection.exports_of(found, symbols).join(said, "id").select("path", "name", "comment")

@@ -22,7 +22,8 @@ _KEYWORDS = frozenset(
 class Scope:
     parent: int | None
     function: bool
-    names: dict[str, tuple[int, bool]] = field(default_factory=dict)  # name -> (declared at, hoisted)
+    #: (name, space, declared at, hoisted) in source order; space: value, type or both.
+    bindings: list[tuple[str, str, int, bool]] = field(default_factory=list)
 
 
 @dataclass
@@ -33,10 +34,10 @@ class ScopeChain:
         self.scopes.append(Scope(parent, function))
         return len(self.scopes) - 1
 
-    def declare(self, scope: int, name: str, at: int, hoisted: bool, to_function: bool = False) -> None:
+    def declare(self, scope: int, name: str, at: int, hoisted: bool, to_function: bool = False, space: str = "value") -> None:
         while to_function and not self.scopes[scope].function:
             scope = self.scopes[scope].parent
-        self.scopes[scope].names.setdefault(name, (at, hoisted))
+        self.scopes[scope].bindings.append((name, space, at, hoisted))
 
     def is_within(self, scope: int, outer: int) -> bool:
         at: int | None = scope
@@ -44,16 +45,24 @@ class ScopeChain:
             at = self.scopes[at].parent
         return at is not None
 
-    def resolve(self, scope: int, name: str, at: int) -> tuple[str, int | None, int | None]:
-        """("bound", scope, declared at), ("before", ...) where a match is not yet visible, or ("outside", None, None)."""
+    def resolve(self, scope: int, name: str, at: int, space: str | None = None) -> tuple[str, int | None, int | None]:
+        """("bound", scope, declared at), ("before", ...) where matches are not yet visible, or ("outside", None, None).
+
+        The first visible of all declarations of the name and space in the innermost scope that has one; ``space`` None
+        is a reference whose space the text doesn't tell, which any declaration answers.
+        """
         here: int | None = scope
         crossed = False
         while here is not None:
             s = self.scopes[here]
-            if name in s.names:
-                declared, hoisted = s.names[name]
-                visible = hoisted or crossed or declared <= at
-                return ("bound" if visible else "before"), here, declared
+            hidden = None
+            for own, of, declared, hoisted in s.bindings:
+                if own == name and (space is None or of in (space, "both")):
+                    if hoisted or crossed or declared <= at:
+                        return "bound", here, declared
+                    hidden = declared if hidden is None else hidden
+            if hidden is not None:
+                return "before", here, hidden
             crossed |= s.function
             here = s.parent
         return "outside", None, None
@@ -65,8 +74,8 @@ def resolution_percent(resolutions: list[str]) -> int | None:
     return 100 * inside.count("bound") // len(inside) if inside else None
 
 
-def build(text: str) -> tuple[ScopeChain, list[tuple[int, str, int]]]:
-    """The scope chain and all references (scope, name, place in the text)."""
+def build(text: str) -> tuple[ScopeChain, list[tuple[int, str, int, str | None]]]:
+    """The scope chain and all references (scope, name, place in the text, space where the text around tells it)."""
     code = tokens(text, "TypeScript")
     chain, stack, refs, waiting = ScopeChain(), [0], [], []
     word = lambda t: (t[0].isalpha() or t[0] in "_$") if t else False
@@ -84,7 +93,8 @@ def build(text: str) -> tuple[ScopeChain, list[tuple[int, str, int]]]:
         elif t == "}" and len(stack) > 1:
             stack.pop()
         elif t in ("function", "class", "interface", "enum", "type", "namespace") and before != "." and word(after) and after not in _KEYWORDS:
-            chain.declare(stack[-1], after, code[i + 1][1], t in ("function", "interface", "type"), t == "function")
+            space = "value" if t == "function" else "type" if t in ("interface", "type") else "both"
+            chain.declare(stack[-1], after, code[i + 1][1], t in ("function", "interface", "type"), t == "function", space)
             skip.add(i + 1)
         elif t in ("let", "const", "var") and before != ".":
             for k in _binding_names(code, i + 1):
@@ -94,7 +104,7 @@ def build(text: str) -> tuple[ScopeChain, list[tuple[int, str, int]]]:
             k = i + 1
             while k < len(code) and code[k][0] not in ("from", ";") and code[k][0][:1] not in "\"'":
                 if word(code[k][0]) and code[k][0] not in _KEYWORDS and not (k + 1 < len(code) and code[k + 1][0] == "as"):
-                    chain.declare(0, code[k][0], code[k][1], True)
+                    chain.declare(0, code[k][0], code[k][1], True, space="both")
                     skip.add(k)
                 k += 1
         if t == "(" and (before == "function" or i > 1 and code[i - 2][0] == "function" or _arrow(code, i)):
@@ -109,7 +119,8 @@ def build(text: str) -> tuple[ScopeChain, list[tuple[int, str, int]]]:
                 k += 1
             waiting.append(names)
         if word(t) and i not in skip and t not in _KEYWORDS and before != "." and not (after == ":" and before in ("{", ",")):
-            refs.append((stack[-1], t, at))
+            typed = before in ("implements", "satisfies", "keyof") or before == "as" or before == ":" and (i - 2 in skip or code[i - 2][0] == ")")
+            refs.append((stack[-1], t, at, "type" if typed else None if before in ("extends", "<", "|", "&", ",", "[") else "value"))
     return chain, refs
 
 
@@ -148,8 +159,8 @@ def references(text: str) -> list[dict]:
     """at, name, resolution and declared_at of every reference of a file."""
     chain, refs = build(text)
     out = []
-    for scope, name, at in refs:
-        how, _, declared = chain.resolve(scope, name, at)
+    for scope, name, at, space in refs:
+        how, _, declared = chain.resolve(scope, name, at, space)
         out.append({"at": at, "name": name, "resolution": how, "declared_at": declared if declared is not None else -1})
     return out
 
@@ -157,11 +168,13 @@ def references(text: str) -> list[dict]:
 def erased_digest(text: str) -> str:
     """Digest of a body in which local names are numbers by order of declaration: renaming a local changes nothing."""
     chain, refs = build(text)
-    local = {at: (s, n) for s, scope in enumerate(chain.scopes) if s for n, (at, _) in scope.names.items()}
-    number = {place: i for i, (_, place) in enumerate(sorted((at, p) for at, p in local.items()))}
+    local = {at: (s, n) for s, scope in enumerate(chain.scopes) if s for n, _, at, _ in scope.bindings}
+    number: dict[tuple[int, str], int] = {}
+    for _, place in sorted((at, p) for at, p in local.items()):  # declarations of one name in one scope are one
+        number.setdefault(place, len(number))
     named = {at: f"#{number[p]}" for at, p in local.items()}
-    for scope, name, at in refs:
-        how, where, _ = chain.resolve(scope, name, at)
+    for scope, name, at, space in refs:
+        how, where, _ = chain.resolve(scope, name, at, space)
         if how == "bound" and where:
             named[at] = f"#{number[(where, name)]}"
     return hashlib.sha256(("erased\x1f" + normalized([named.get(at, t) for t, at in tokens(text, "TypeScript")])).encode()).hexdigest()

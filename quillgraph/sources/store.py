@@ -12,6 +12,19 @@ from ..functions.names import cypher_quoted
 from ..operators import budget
 
 
+def claimed(spark: SparkSession, folder: str, after: int = 0) -> int:
+    """The next number above ``after`` and all that were claimed in ``folder``: creating its file decides between writers."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    names = (x.getPath().getName() for x in fs.listStatus(at))
+    n = max([after, *(int(x) for x in names if x.isdigit())]) + 1
+    while not fs.createNewFile(sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n:012d}")):
+        n += 1
+    return n
+
+
 class Generations:
     """Whole generations of tables under one folder; a manifest names the current one, so readers never see a mix."""
 
@@ -28,7 +41,7 @@ class Generations:
         name = f"gen-{uuid.uuid4().hex}"
         for table, df in tables.items():
             df.write.parquet(f"{self.folder}/{name}/{table}")
-        number = max((n for n, _ in self._manifests()), default=0) + 1
+        number = claimed(self.spark, f"{self.folder}/numbers", max((n for n, _ in self._manifests()), default=0))
         row = json.dumps({"number": number, "snapshot": snapshot, "folder": name, "tables": sorted(tables)})
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(f"{self.folder}/manifest/{number:012d}")
         return name
@@ -92,6 +105,18 @@ def evicted(entries: DataFrame, most: int = budget.CACHE_BYTES, days: int = 1) -
     return whole.unionByName(first).select("path", "bytes", "mtime")
 
 
+def cache_usage(entries: DataFrame) -> DataFrame:
+    """One row (entries, bytes, quarantined, quarantined_bytes): what the cache holds, quarantine apart."""
+    bad = F.col("path").contains("/quarantine/")
+    size = lambda test: F.coalesce(F.sum(F.when(test, F.col("bytes"))), F.lit(0)).alias
+    return entries.agg(F.count_if(~bad).alias("entries"), size(~bad)("bytes"), F.count_if(bad).alias("quarantined"), size(bad)("quarantined_bytes"))
+
+
+def quarantine_swept(entries: DataFrame, most: int = budget.QUARANTINE_BYTES) -> DataFrame:
+    """(path, bytes, mtime) of quarantined entries to delete, oldest first, until the rest fits in ``most`` bytes."""
+    return evicted(entries.where(F.col("path").contains("/quarantine/")), most)
+
+
 def stray(entries: DataFrame, now: int, age: int = budget.STRAY_SECONDS) -> DataFrame:
     return entries.where(F.col("path").endswith(".tmp") & (F.col("mtime") < now - age))
 

@@ -43,6 +43,25 @@ def test_every_answer_has_its_evidence(graph):
     assert lost.outcome == "unknown" and lost.answer["near"].where("kind = 'spelling'").count() == 1
 
 
+def test_answers_are_within_the_envelope(graph, spark, tmp_path):
+    """Tokens measure answer and evidence; what an answer names counts as accessed; the log numbers of two writers differ."""
+    import json
+
+    from quillgraph.sources.store import claimed
+
+    name = graph.edges.join(graph.symbols, F.col("dst") == F.col("id")).groupBy("name").count().join(graph.symbols.groupBy("name").agg(F.count("*").alias("n")).where("n = 1"), "name").orderBy(F.desc("count"), "name").first()["name"]
+    e = catalog.execute(graph, "symbol.callers", {"name": name})
+    lines = [json.loads(r["value"]) for r in e.lines().collect()]
+    answers = [x["row"]["id"] for x in lines[1:]]
+    assert lines[0]["query"] == "symbol.callers" and answers and {x["table"] for x in lines[1:]} == {"symbols"}
+    assert e.coverage["accessed"] == len(set(answers) | {graph.symbols.where(F.col("name") == name).first()["id"]})
+    assert e.coverage["out_of_scope_files"] == graph.files.where("bucket in ('unsupported', 'unrecognized')").count()
+    whole = sum(len(r["value"].encode()) + 1 for r in e.lines().collect())
+    assert e.rows().first()["tokens"] == whole // 4
+    folder = f"file://{tmp_path}/numbers"
+    assert [claimed(spark, folder), claimed(spark, folder, 5), claimed(spark, folder)] == [1, 6, 7]
+
+
 def test_stale_projection_judges_nothing(graph):
     old = catalog.Graph(**{**graph.__dict__, "built_for": "s0"})
     out = catalog.execute(old, "binding.status")

@@ -91,20 +91,20 @@ def test_whole_queries_take_every_name_and_start(spark, sf):
         named.setdefault(n, set()).add(i)
     run = lambda name: queries.QUERIES[name](spark, sf).collect()
     got = {}
-    for r in run("symbol_resolve_all"):
+    for r in run("symbol_resolve"):
         got.setdefault(r["asked"], set()).add(r["id"])
     assert got == named
-    told = {r["asked"]: (r["n"], r["id"]) for r in run("symbol_outcome_all")}
+    told = {r["asked"]: (r["n"], r["id"]) for r in run("symbol_outcome")}
     assert told == {n: (len(x), min(x) if len(x) == 1 else None) for n, x in named.items()} | {n: (0, None) for n in ("O_11", "o-1-3", "nothing")}
     nodes, cut = {}, {}
-    for r in run("symbol_reaches_all"):
+    for r in run("symbol_reaches"):
         nodes.setdefault(r["start"], set()).add(r["node"])
-    for r in run("symbol_reaches_cut_all"):
+    for r in run("symbol_reaches_cut"):
         cut.setdefault(r["start"], {})[r["reason"]] = r["count"]
     model = {i: model_reaches(i, edges, Budget()) for i in found}
     assert nodes == {i: set(out) for i, (out, _) in model.items()}
     assert cut == {i: {r: n for r, n in lost.items() if n} for i, (_, lost) in model.items() if any(lost.values())}
-    assert run("symbol_coverage_all")[0]["accessed"] == len(found)
+    assert run("symbol_coverage")[0]["accessed"] == len(found)
 
 
 def test_cascade_stops_with_residuals(spark):
@@ -244,11 +244,50 @@ def test_typescript_scan():
 
 def test_rust_and_kotlin_scan():
     rust = scanners.scan("pub struct S { a: u8 }\nimpl<T> Tr for S { fn go(&self) -> u8 { fn local() {} 1 } }\nmod m { pub const fn k() {} }\nconst X: &str = \"}{\";", "Rust")
-    assert [(s["name"], s["kind"], s["container"]) for s in rust["symbols"]] == [("S", "struct", []), ("go", "function", ["S"]), ("m", "module", []), ("k", "function", ["m"]), ("X", "constant", [])]
+    assert [(s["name"], s["kind"], s["container"]) for s in rust["symbols"]] == [("S", "struct", []), ("go", "function", ["S"]), ("m", "module", []), ("k", "function", ["m"]), ("X", "const", [])]
     kt = scanners.scan("class A { fun inside() {} }\nfun top(x: Int) { }\nobject O { }\ntypealias Q = Int;", "Kotlin")
     assert [(s["name"], s["kind"]) for s in kt["symbols"]] == [("A", "class"), ("top", "function"), ("O", "object"), ("Q", "type_alias")]
 
 
+def declared(text, language):
+    return [(s["name"], s["kind"], s["container"]) for s in scanners.scan(text, language)["symbols"]]
+
+
+def test_declarations_without_semicolons():
+    ts = "const a = 1\nfunction h() {}\nlet b: { x: number } = { x: 1 }\nexport const c = () =>\n  a\ntype T = { y: 1 }\n  & U\nclass K {\n  f = 1\n  m() { return 1 }\n  static n<T>(x: T) {}\n}\nfoo()\nenum E { A }\nfunction o(): { z: 1 } { return q }\nvar last = [\n1]"
+    assert declared(ts, "TypeScript") == [
+        ("a", "variable", []), ("h", "function", []), ("b", "variable", []), ("c", "variable", []), ("T", "type_alias", []), ("K", "class", []), ("m", "method", ["K"]), ("n", "method", ["K"]),
+        ("E", "enum", []), ("o", "function", []), ("last", "variable", []),
+    ]
+    changed = ts.replace("{ x: 1 }", "{ x: 2 }")
+    body = lambda t, n: next(s["body"] for s in scanners.scan(t, "TypeScript")["symbols"] if s["name"] == n)
+    assert body(ts, "b") != body(changed, "b") and body(ts, "a") == body(changed, "a")
+
+
+def test_kotlin_top_level():
+    kt = (
+        "package p\nval a = 1\nvar b: Int = 2\n    get() = field\nfun g() {}\nfun String.ext() = 1\nfun <T> List<T>.second(): T = this[1]\nenum class E { A, B }\nval Int.half: Int\n    get() = this / 2\n"
+        "private const val C = 3\ndata class D(val x: Int)\nfun interface F { fun run() }\ninterface I\nval (p, q) = pair\nfun f() = if (x) { 1 } else { 2 }\nval l by lazy { 5 }\n@Ann\nsuspend fun `odd name`() {}\nobject O { val inside = 1 }\ntypealias Q = Int\n"
+    )
+    assert [(n, k) for n, k, c in declared(kt, "Kotlin") if not c] == [
+        ("a", "property"), ("b", "property"), ("g", "function"), ("ext", "function"), ("second", "function"), ("E", "class"), ("half", "property"), ("C", "property"), ("D", "class"),
+        ("F", "class"), ("I", "class"), ("f", "function"), ("l", "property"), ("odd name", "function"), ("O", "object"), ("Q", "type_alias"),
+    ]
+
+
+def test_rust_impls_go_to_types_of_their_module():
+    rust = (
+        "impl<T: Fn(u8) -> T> Foo<T> { fn a() {} }\nstruct Foo<T>(T);\nimpl super::Bar { fn b() {} }\nunion U { x: u8 }\nimpl fmt::Display for crate::U { fn c() {} }\n"
+        "mod m { impl Foo { fn d() {} } pub struct S; impl<'a> From<&'a u8> for S where u8: Copy { fn e() {} const K: u8 = 1; type X = u8; } }\n"
+        "trait Tr { type A; fn sig(); fn def() {} const Z: u8; }\npub(crate) const unsafe fn g() {}\nextern \"C\" fn h() {}\nstatic mut N: u8 = 1;\nmacro_rules! mac { () => { fn no() {} } }\nimpl<F> Tr for F where F: for<'x> Fn(&'x u8) { fn i() {} }"
+    )
+    assert declared(rust, "Rust") == [
+        ("a", "function", ["Foo"]), ("Foo", "struct", []), ("b", "function", []), ("U", "union", []), ("c", "function", ["U"]), ("m", "module", []), ("d", "function", ["m"]), ("S", "struct", ["m"]),
+        ("e", "function", ["m", "S"]), ("K", "const", ["m", "S"]), ("X", "type_alias", ["m", "S"]), ("Tr", "trait", []), ("def", "function", ["Tr"]), ("Z", "const", ["Tr"]), ("g", "function", []),
+        ("h", "function", []), ("N", "static", []), ("mac", "macro", []), ("i", "function", []),
+    ]
+
+
 def test_body_digest_ignores_layout_and_sees_meaning():
     a = scanners.scan("function f(a, b) { return 'x' + a; }", "TypeScript")["symbols"][0]["body"]
     b = scanners.scan("/* moved */ function f(a,\n  b,\n) {\n  return \"x\" + a // c\n}", "TypeScript")["symbols"][0]["body"]
@@ -259,10 +298,15 @@ def test_body_digest_ignores_layout_and_sees_meaning():
 def test_fragments_and_plans():
     text = "---\ngrounds: [src/a.ts#K.m]\n---\nintro `x`\n# Head\n## Empty\n## Head\nsee `K.m`\n```\nsrc/b.ts:12:3\n# not a heading\n```\n"
     got = documents.fragments(text)
-    assert [(f["anchor"], f["grounds"], f["fenced_paths"], f["spans"]) for f in got] == [("_preamble", ["src/a.ts#K.m"], [], ["x"]), ("head-2", [], ["src/b.ts"], ["K.m"])]
+    assert [(f["anchor"], f["grounds"], f["fenced_paths"], f["spans"]) for f in got] == [("_preamble", ["src/a.ts#K.m"], [], ["x"]), ("head", [], [], []), ("empty", [], [], []), ("head-2", [], ["src/b.ts"], ["K.m"])]
+    assert got[3]["body"].split("\n")[0] == "Head" and got[2]["body"] == "Empty"
+    assert documents.fragments("# A\ntext\n\n    src/c.ts\n    # no heading `z`\n\nafter `q`")[0]["fenced_paths"] == ["src/c.ts"]
     plan = documents.plan_items("---\nbaseline: abc\n---\n# P\n- [ ] do `a.b` in src/x.ts and NewThing (new)\n  coords: q, w (new)\n  verify: run it\n- [x] nothing\n")
-    assert plan["baseline"] == "abc" and [len(i["patterns"]) for i in plan["items"]] == [5, 0] and plan["items"][0]["verify"] == "run it"
-    assert {(p["text"], p["kind"], p["source"]) for p in plan["items"][0]["patterns"]} == {("q", "symbol", "declared"), ("w", "new_symbol", "declared"), ("a.b", "symbol", "span"), ("src/x.ts", "paths", "path"), ("NewThing", "new_symbol", "identifier")}
+    assert plan["baseline"] == "abc" and [(i["anchor"], len(i["patterns"])) for i in plan["items"]] == [("p#1", 3), ("p#2", 0)]
+    assert {(p["text"], p["kind"], p["source"]) for p in plan["items"][0]["patterns"]} == {("a.b", "symbol", "span"), ("src/x.ts", "paths", "path"), ("NewThing", "new_symbol", "identifier")}
+    plan = documents.plan_items("# P\nintro\n## First\ndo it to `k`\ncoords: q, w (new)\nverify: run it\n## Second\n")
+    assert [(i["anchor"], i["statement"], i["verify"], len(i["patterns"])) for i in plan["items"]] == [("first", "do it to `k`", "run it", 3), ("second", "Second", None, 0)]
+    assert ("w", "new_symbol", "declared") in {(p["text"], p["kind"], p["source"]) for p in plan["items"][0]["patterns"]}
     with pytest.raises(ValueError):
         documents.plan_items("no items")
 
@@ -273,6 +317,19 @@ def test_extract_and_fragment_tables(spark):
     assert documents.fragment_table(files.select("path", "text").where("path = 'b.md'")).count() == 1
 
 
+def test_plan_table(spark):
+    docs = spark.createDataFrame([("p.md", "---\nbaseline: c0\n---\n# T\n- [ ] change `f` in src/a.ts\n- [x] rest\nprose about `g`\n"), ("none.md", "text"), ("null.md", None)], "path string, text string")
+    got = sorted((r["path"], r["item"], r["kind"] or "", r["text"] or "", r["baseline"]) for r in documents.plan_table(docs).collect())
+    assert got == [("p.md", "t#1", "paths", "src/a.ts", "c0"), ("p.md", "t#1", "symbol", "f", "c0"), ("p.md", "t#2", "", "", "c0")]
+
+
+def test_cache_usage_and_quarantine(spark):
+    e = spark.createDataFrame([("c/a", 10, 1), ("c/b", 5, 2), ("c/quarantine/x", 7, 1), ("c/quarantine/y", 7, 3)], "path string, bytes long, mtime long")
+    assert store.cache_usage(e).first().asDict() == {"entries": 2, "bytes": 15, "quarantined": 2, "quarantined_bytes": 14}
+    assert [r["path"] for r in store.quarantine_swept(e, 8).collect()] == ["c/quarantine/x"]
+    assert {r["path"] for r in store.stray(spark.createDataFrame([("a.tmp", 1, 0), ("b.tmp", 1, 9000), ("c", 1, 0)], "path string, bytes long, mtime long"), 9000).collect()} == {"a.tmp"}
+
+
 def test_generations_swap_whole(spark, tmp_path):
     g = store.Generations(spark, f"file://{tmp_path}/gen")
     assert g.current() is None and not g.built_for("s1")

@@ -52,6 +52,18 @@ def test_scope_visibility():
     assert chain.is_within(inner, 0) and not chain.is_within(0, inner)
 
 
+def test_types_and_values_are_told_apart():
+    text = "interface A {} const A = 1; let x: A = A; function f(a: A): A { return a as A }"
+    got = {(r["name"], r["at"]): (r["resolution"], r["declared_at"]) for r in scopes.references(text)}
+    kind, value = text.index("A {"), text.index("A = 1")
+    at = [i for i, c in enumerate(text) if c == "A"][2:]
+    assert [got["A", i][1] for i in at] == [kind, value, kind, kind, kind]
+    chain = scopes.ScopeChain()
+    chain.declare(0, "n", 50, False)
+    chain.declare(0, "n", 5, False)
+    assert chain.resolve(0, "n", 10) == ("bound", 0, 5) and chain.resolve(0, "n", 1)[0] == "before" and chain.resolve(0, "n", 60, "type")[0] == "outside"
+
+
 def test_erasure_ignores_local_names_only():
     a = scopes.erased_digest("function f(x) { const y = x + g; return y; }")
     assert a == scopes.erased_digest("function f(p) {\n const q = p + g; return q }")
