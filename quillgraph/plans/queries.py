@@ -10,7 +10,7 @@ from ..operators import bindings as B
 from ..operators import defect, deviation, doctor, lookup, narrative, traverse
 from ..sources import adapter as A
 from ..sources import projection, recognize, scanners, store
-from ..sources.tables import written
+from ..sources.tables import kept, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,9 +28,14 @@ def query(sql: str | None = None, tables: str = ""):
     return add
 
 
+def _symbols(spark: SparkSession, sf_dir: str, snapshot: str = "head") -> DataFrame:
+    """The snapshot's symbols: a projection, built once and then read by every query."""
+    return kept(spark, (sf_dir, snapshot, "symbols"), lambda: A.symbols(spark, sf_dir, snapshot))
+
+
 def _graph(spark: SparkSession, sf_dir: str, snapshot: str = "head") -> tuple[DataFrame, DataFrame]:
-    symbols = A.symbols(spark, sf_dir, snapshot)
-    return symbols, A.edges(symbols)
+    symbols = _symbols(spark, sf_dir, snapshot)
+    return symbols, kept(spark, (sf_dir, snapshot, "edges"), lambda: A.edges(symbols))
 
 
 #: Names asked for: every name there is (some ambiguous), and three that don't exist.
@@ -64,21 +69,21 @@ def ledger_capabilities(spark, sf_dir):
 
 @query("SELECT asked, row_number() OVER (PARTITION BY asked ORDER BY path, byte_start, id) AS place, id, path, kind, byte_start FROM asked JOIN symbols_head ON asked = name", _ASKED)
 def symbol_resolve(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.resolve(_asked(symbols), symbols).select("asked", "place", "id", "path", "kind", "byte_start")
 
 
 @query("""SELECT asked, coalesce(n, 0) AS n, CASE coalesce(n, 0) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN id END AS id
   FROM asked LEFT JOIN (SELECT name, count(*) AS n, min(id) AS id FROM symbols_head GROUP BY name) ON asked = name""", _ASKED)
 def symbol_outcome(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.outcomes(_asked(symbols), symbols)
 
 
 @query("""SELECT r.id AS start, row_number() OVER (PARTITION BY r.id ORDER BY s.byte_start, s.id) AS place, s.id FROM symbols_head r JOIN symbols_head s ON r.path = s.path AND r.id <> s.id
   AND s.container[1:len(r.container) + 1] = list_append(r.container, r.name)""")
 def symbol_contains(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.contains(symbols.select(F.col("id").alias("start")), symbols)
 
 
@@ -121,7 +126,7 @@ def symbol_reaches_cut(spark, sf_dir):
 
 @query("SELECT id, path, name, kind, body, byte_start FROM symbols_head")
 def graph_nodes(spark, sf_dir):
-    return A.symbols(spark, sf_dir).select("id", "path", "name", "kind", "body", "byte_start")
+    return _symbols(spark, sf_dir).select("id", "path", "name", "kind", "body", "byte_start")
 
 
 @query("SELECT src, dst FROM edges_head")
@@ -143,7 +148,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY k, name) AS place
 
 @query("SELECT asked, CASE k WHEN 0 THEN 'spelling' ELSE 'substring' END AS kind, name, place, greatest(c - 10, 0) AS beyond FROM n WHERE place <= 10", _NEAR)
 def symbol_near_names(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     more = spark.range(1).select(F.explode(F.array(*map(F.lit, ("O5", "x", "o")))).alias("asked"))
     asked = symbols.select(F.concat(F.lit("O_"), F.substring("name", 2, 1000)).alias("asked")).unionByName(more)
     return lookup.near_names(asked, symbols)
@@ -153,7 +158,7 @@ def symbol_near_names(spark, sf_dir):
   (SELECT coalesce(sum(unresolved), 0)::BIGINT FROM files WHERE refs_built AND path IN (SELECT path FROM symbols_head)) AS unresolved,
   (SELECT coalesce(min(grade), 0)::INTEGER FROM files WHERE path IN (SELECT path FROM symbols_head)) AS grade, count(*) AS accessed FROM symbols_head""")
 def symbol_coverage(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.coverage(symbols.select("id"), symbols, A.files(spark, sf_dir))
 
 
@@ -167,20 +172,20 @@ st AS (SELECT id, target, CASE WHEN bool_or(event = 'gone' AND symbol = target)
 
 def _bound(spark, sf_dir) -> DataFrame:
     base, edges = _graph(spark, sf_dir, "base")
-    return written(A.bindings(base, edges), "bindings")
+    return kept(spark, (sf_dir, "bindings"), lambda: A.bindings(base, edges))
 
 
 @query("""SELECT st.id, st.target, code, CASE WHEN code = 'undeterminable' THEN CASE told WHEN 'gone' THEN 'watch_member_gone' ELSE told END END AS reason,
   coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (event = told), '') AS ids, count(*) AS watched FROM st JOIN e ON st.id = e.id GROUP BY st.id, st.target, code, told""", _STATUS)
 def binding_status(spark, sf_dir):
     bound = _bound(spark, sf_dir)
-    out = B.status(bound, A.symbols(spark, sf_dir)).join(bound.select("id", F.size("watch").cast("long").alias("watched")), "id")
+    out = B.status(bound, _symbols(spark, sf_dir)).join(bound.select("id", F.size("watch").cast("long").alias("watched")), "id")
     return out.select("id", "target", "code", "reason", F.array_join("ids", ",").alias("ids"), "watched")
 
 
 @query("SELECT code, count(*) AS n FROM st GROUP BY code", _STATUS)
 def binding_status_counts(spark, sf_dir):
-    return B.status(_bound(spark, sf_dir), A.symbols(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
+    return B.status(_bound(spark, sf_dir), _symbols(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 _TOUCH = _STATUS + """,
@@ -206,14 +211,14 @@ def binding_touch_facts(spark, sf_dir):
 @query("""SELECT b.id, b.target, n.id AS candidate, (1 + (n.name = o.name)::INT + (n.container = o.container)::INT)::INTEGER AS strength
   FROM bound b JOIN symbols_base o ON o.id = b.target JOIN symbols_head n ON n.body = o.body WHERE b.target NOT IN (SELECT id FROM symbols_head) AND o.body <> sha256('')""")
 def binding_rebind(spark, sf_dir):
-    base = A.symbols(spark, sf_dir, "base").where(F.col("body") != F.sha2(F.lit(""), 256))
-    return B.propose(_bound(spark, sf_dir), base, A.symbols(spark, sf_dir))
+    base = _symbols(spark, sf_dir, "base").where(F.col("body") != F.sha2(F.lit(""), 256))
+    return B.propose(_bound(spark, sf_dir), base, _symbols(spark, sf_dir))
 
 
 @query("""SELECT coalesce(b.id, h.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM symbols_base b FULL JOIN symbols_head h ON b.id = h.id WHERE b.id IS NULL OR h.id IS NULL OR b.body <> h.body""")
 def plan_symbol_delta(spark, sf_dir):
-    return deviation.symbol_delta(A.symbols(spark, sf_dir, "base"), A.symbols(spark, sf_dir))
+    return deviation.symbol_delta(_symbols(spark, sf_dir, "base"), _symbols(spark, sf_dir))
 
 
 @query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
@@ -271,7 +276,7 @@ dev AS (
 
 def _deviation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p, f = _patterns(spark, sf_dir), A.files(spark, sf_dir)
-    base, head = written(A.symbols(spark, sf_dir, "base"), "base"), written(A.symbols(spark, sf_dir), "head")
+    base, head = _symbols(spark, sf_dir, "base"), _symbols(spark, sf_dir)
     delta = deviation.symbol_delta(base, head)
     at_base = written(deviation.resolve_patterns(p, base, f), "resolved")
     return deviation.deviate(at_base, written(deviation.resolve_patterns(p, head, f), "resolved"), delta), delta
@@ -279,7 +284,7 @@ def _deviation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT item, kind, text, source, state, why, array_to_string(targets, ',') AS targets FROM res_base", f"{_PATTERNS}, {_resolved_sql('base')}")
 def plan_resolution(spark, sf_dir):
-    out = deviation.resolve_patterns(_patterns(spark, sf_dir), A.symbols(spark, sf_dir, "base"), A.files(spark, sf_dir))
+    out = deviation.resolve_patterns(_patterns(spark, sf_dir), _symbols(spark, sf_dir, "base"), A.files(spark, sf_dir))
     return out.withColumn("targets", F.array_join("targets", ","))
 
 
@@ -332,7 +337,7 @@ def _fragments(spark, sf_dir, symbols: DataFrame) -> DataFrame:
 
 
 def _resolved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     fragments = _fragments(spark, sf_dir, symbols)
     return fragments, narrative.resolve(fragments, symbols)
 
@@ -400,7 +405,7 @@ def defect_summary(spark, sf_dir):
 
 @query("SELECT id FROM symbols_base b WHERE NOT EXISTS (SELECT 1 FROM symbols_head h WHERE h.id = b.id AND h.body = b.body)")
 def defect_manifestations(spark, sf_dir):
-    return defect.manifestations(A.symbols(spark, sf_dir, "base"), A.symbols(spark, sf_dir))
+    return defect.manifestations(_symbols(spark, sf_dir, "base"), _symbols(spark, sf_dir))
 
 
 _CASCADE = """root AS (SELECT id AS k FROM symbols_head WHERE key % 29 = 0),
@@ -449,7 +454,6 @@ told AS (
 def doctor_diagnosis(spark, sf_dir):
     """All eight invariants, each with rows that keep it and rows that break it (see ``_VIEW``)."""
     symbols, edges = _graph(spark, sf_dir)
-    symbols, edges = written(symbols, "symbols"), written(edges, "edges")
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
     derived = _derived(symbols.where("key % 31 <> 0"), edges)
     inferred = F.col("k") % 23 == 0
@@ -554,13 +558,13 @@ def _refs(symbols: DataFrame) -> DataFrame:
 
 @query("SELECT path, class, count(*) AS n FROM cls GROUP BY path, class", _REFS)
 def file_ref_classes(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.file_edges(_refs(symbols), symbols)[1]
 
 
 @query("SELECT DISTINCT own AS src, prev AS dst FROM cls WHERE class = 'edge'", _REFS)
 def file_scope_edges(spark, sf_dir):
-    symbols = A.symbols(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir)
     return lookup.file_edges(_refs(symbols), symbols)[0]
 
 
@@ -574,7 +578,7 @@ def radius_expand(spark, sf_dir):
 
 @query("SELECT DISTINCT name, regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9\\s_-]', '', 'g'), '\\s+', '-', 'g') AS slug, len(regexp_extract_all(name, '.')) <= 128 AS identifier FROM symbols_head")
 def name_shapes(spark, sf_dir):
-    n = A.symbols(spark, sf_dir).select("name").distinct()
+    n = _symbols(spark, sf_dir).select("name").distinct()
     return n.select("name", names.slug(F.col("name")).alias("slug"), names.is_identifier(F.col("name")).alias("identifier"))
 
 
@@ -595,8 +599,8 @@ def _sources(spark, sf_dir) -> DataFrame:
 
 
 def _extracted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    found = written(scanners.extract(_sources(spark, sf_dir)), "extracted")
-    return found, written(projection.symbols_of(found, A.REPO), "source-symbols")
+    found = kept(spark, (sf_dir, "extracted"), lambda: scanners.extract(_sources(spark, sf_dir)))
+    return found, kept(spark, (sf_dir, "source-symbols"), lambda: projection.symbols_of(found, A.REPO))
 
 
 _SOURCES = """src AS (SELECT path, language, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders JOIN files ON o_custkey = file_key WHERE file_key % 7 < 3)"""
