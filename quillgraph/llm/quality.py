@@ -33,11 +33,14 @@ MAX_BROADCAST_GROUPS = 20_000
 def _repeat_words(words: Column) -> Column:
     """How many words lie in a three-word window that the text holds at least twice.
 
-    Windows are hashed, sorted with their place, and compared with their neighbours: n log n on any length.
+    Windows are hashed. Where no hash occurs twice that is all; else they are sorted with their place and compared with
+    their neighbours: n log n on any length.
     """
-    def grams(w: Column) -> Column:
-        hashed = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashed))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def placed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
     def twice(g: Column) -> Column:
         same = lambda x, i: F.get(g, i)["h"].eqNullSafe(x["h"])
@@ -52,7 +55,9 @@ def _repeat_words(words: Column) -> Column:
             lambda s: s["n"].cast("long"),
         )
 
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(grams(w), lambda g: covered(twice(g)))))
+    none = F.lit(0).cast("long")
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(placed(h), lambda g: covered(twice(g))))
+    return let(words, lambda w: F.when(F.size(w) < 4, none).otherwise(let(hashes(w), repeated)))
 
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -161,20 +166,18 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     few = est.count() <= MAX_BROADCAST_GROUPS
     half = _nearest(vectors, est.where("start = 1"), few, 0.5).withColumn("start", F.lit(2))
     est = _swapped(est, est.unionByName(_with_cholesky(_moments(half, CONSISTENCY))))
-    best, active = None, est
-    while active.limit(1).count():
-        new = written(_with_cholesky(_moments(_nearest(vectors, active, few, SUBSET), CONSISTENCY)), "mcd")
-        if best is None:
-            best, active = new, new
-            continue
-        was = best.select("key", "start", F.col("det").alias("was"))
-        better = new.join(was, ["key", "start"]).where(F.col("det") < F.col("was") - LEAST_FALL).drop("was")
-        better = written(better, "mcd")
-        kept = best.join(better.select("key", "start"), ["key", "start"], "left_anti")
-        best, active = written(kept.unionByName(better), "mcd"), better
-    columns = [c for c in est.columns if c != "key"]
-    lowest = F.min_by(F.struct(*columns), F.struct("det", "start")).alias("e")
-    return (est if best is None else best).groupBy("key").agg(lowest).select("key", "e.*")
+    columns = [c for c in est.columns if c not in ("key", "start")]
+    whole = lambda df, name: df.select("key", "start", F.struct(*columns).alias(name))
+    step = lambda df: _with_cholesky(_moments(_nearest(vectors, df, few, SUBSET), CONSISTENCY))
+    state = written(whole(step(est), "e").withColumn("active", F.lit(True)), "mcd")
+    while state.where("active").limit(1).count():
+        active = state.where("active")
+        both = whole(step(active.select("key", "start", "e.*")), "new").join(active.select("key", "start", "e"), ["key", "start"])
+        falls = F.col("new.det") < F.col("e.det") - LEAST_FALL
+        led = both.select("key", "start", F.when(falls, F.col("new")).otherwise(F.col("e")).alias("e"), falls.alias("active"))
+        state = _swapped(state, state.where("not active").unionByName(led))
+    lowest = F.min_by(F.struct("start", "e"), F.struct("e.det", "start")).alias("b")
+    return state.groupBy("key").agg(lowest).select("key", "b.start", "b.e.*")
 
 
 def _swapped(old: DataFrame, new: DataFrame) -> DataFrame:
