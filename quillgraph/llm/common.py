@@ -88,15 +88,15 @@ def let(value: Column, body) -> Column:
 HOT_SHARE = 10_000
 
 
-def join_hot(rows: DataFrame, side: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
-    """Inner join with ``side``, one row for each key, whose column ``count`` says how many rows have it (``total`` in all).
+def join_hot(rows: DataFrame, side: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join with ``side``, one row for each key, whose column ``count`` says how many rows have it (``total`` in all).
 
     Rows of hot keys meet a broadcast of at most HOT_SHARE rows; the others are shuffled, and none of them is hot.
     """
     hot = side.where(F.col(count) * HOT_SHARE >= total).drop(count)
     cold = side.where(F.col(count) * HOT_SHARE < total).drop(count)
     apart = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(apart.join(cold, on))
+    return rows.join(F.broadcast(hot), on).unionByName(apart.join(cold, on, how))
 
 
 def dropped(df: DataFrame) -> None:

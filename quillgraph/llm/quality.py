@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, let, read, words_of, written
+from .common import WORD, dropped, join_hot, let, read, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -26,7 +26,7 @@ MIN_GROUP = 50
 LEAST_FALL = 1e-4
 #: Squared distances are counted in bins of ratio exp(1 / BINS), from exp(FIRST_BIN / BINS) on, to find the nearest share.
 BINS, FIRST_BIN = 64, -1024
-#: Up to so many groups their estimates (28 numbers each) are broadcast; beyond, they are joined.
+#: Up to so many groups their estimates (28 numbers each) are broadcast; beyond, only those of hot groups are.
 MAX_BROADCAST_GROUPS = 20_000
 
 
@@ -142,9 +142,11 @@ def _nearest(vectors: DataFrame, est: DataFrame, few: bool, share: float) -> Dat
     order = Window.partitionBy("key", "start").orderBy("bin")
     seen = far.groupBy("key", "start", "bin").count()
     seen = seen.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("key", "start")))
-    cut = seen.where(F.col("upto") >= share * F.col("all")).groupBy("key", "start").agg(F.min("bin").alias("cut"))
-    side = F.broadcast(cut) if few else cut
-    return far.join(side, ["key", "start"]).where("bin <= cut")
+    cut = seen.where(F.col("upto") >= share * F.col("all")).groupBy("key", "start").agg(F.min("bin").alias("cut"), F.max("all").alias("_n"))
+    if few:
+        return far.join(F.broadcast(cut.drop("_n")), ["key", "start"]).where("bin <= cut")
+    cut = written(cut, "mcd-cut")
+    return join_hot(far, cut, ["key", "start"], "_n", cut.agg(F.sum("_n")).first()[0] or 0).where("bin <= cut")
 
 
 def mcd_estimates(vectors: DataFrame) -> DataFrame:
@@ -187,8 +189,10 @@ def _swapped(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, est: DataFrame, few: bool, name: str = "e") -> DataFrame:
-    side = est.select("key", F.struct("*").alias(name))
-    return rows.join(F.broadcast(side) if few else side, "key", "left")
+    side = est.select("key", "n", F.struct("*").alias(name))
+    if few:
+        return rows.join(F.broadcast(side.drop("n")), "key", "left")
+    return join_hot(rows, side.withColumnRenamed("n", "_n"), ["key"], "_n", est.agg(F.sum("n")).first()[0] or 0, "left")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -208,7 +212,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     failed = base_failed(F.col("_q"))
     vectors = table.where(~failed).select(F.explode("_k").alias("key"), *(F.col("_x")[i].alias(f"x{i}") for i in range(p)))
     est = mcd_estimates(vectors)
-    est = written(est.select("key", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))).join(vectors.groupBy("key").count().where(F.col("count") >= MIN_GROUP).select("key"), "key", "left_semi"), "mcd")
+    est = written(est.select("key", "n", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))).join(vectors.groupBy("key").count().where(F.col("count") >= MIN_GROUP).select("key"), "key", "left_semi"), "mcd")
     few, levels = est.count() <= MAX_BROADCAST_GROUPS, range(3)
     out = table
     for level in levels:

@@ -96,6 +96,15 @@ def test_mcd_reaches_the_least_determinant(spark):
         assert (far(low @ low.T, mine) == far(c, m)).mean() > 0.99
 
 
+def test_quality_is_the_same_with_many_groups(spark, sf, monkeypatch):
+    """Beyond the bound for broadcasts, hot groups meet a broadcast and the others a shuffle, with the same verdicts."""
+    key = lambda r: (r["doc_id"], r["kept"])
+    few = sorted(map(key, quality.op10_quality_rules(spark, sf).collect()))
+    monkeypatch.setattr(quality, "MAX_BROADCAST_GROUPS", 0)
+    monkeypatch.setattr("quillgraph.llm.common.HOT_SHARE", 4)
+    assert sorted(map(key, quality.op10_quality_rules(spark, sf).collect())) == few
+
+
 def test_quality_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     out = quality.quality_rules(docs)
