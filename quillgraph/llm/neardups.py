@@ -86,7 +86,7 @@ def word_weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     A weight depends on the share of documents alone, so it is the same at every size of the same mixture.
     """
-    counts = written(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = written(docs.mapInArrow(W.lean(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = (counts.where("word IS NULL").first() or [None, 0])[1]
     often = counts.where(F.col("word").isNotNull() & (F.col("n") * RARE > total)).toPandas()  # bounded, see RARE
     dropped(counts)
@@ -169,7 +169,7 @@ def _sketch(shared):
 
         for batch in batches:
             texts = _bytes(batch.column("t"))
-            for lo, hi in W.chunks(texts, 1 << 19):
+            for lo, hi in W.chunks(texts):
                 x, unit, many, bounds, whole, n = shingles(texts[lo:hi], shared.value)
                 w = unit * many
                 some = np.flatnonzero(n)
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     rank = [F.col("id").isNull().alias("last"), "id", "k"]
     shared = spark.sparkContext.broadcast(word_weights(base.select("t")))
     sketch = "id long, k long, whole long, n long, w double, bands array<long>"
-    sketches = written(base.mapInArrow(_sketch(shared), sketch), "sketches")
+    sketches = written(base.mapInArrow(W.lean(_sketch(shared)), sketch), "sketches")
     nodes = sketches.groupBy("whole", "n").agg(F.min(F.struct(*rank, "w", "bands")).alias("f"))
     nodes = written(nodes.select("whole", "n", "f.id", "f.k", "f.w", "f.bands"), "nodes")
     members = nodes.select(F.col("k").alias("node"), "w", F.posexplode("bands").alias("band", "key"))
@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     rest = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(True).alias("o"), "b").join(texts, "b")
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("o"), F.col("a").alias("b")).join(texts, "b")
     tests = rest.unionByName(heads).repartition(shuffle_parts(spark), "a", "part").sortWithinPartitions("a", "part", "o").select("a", "b", "o", "t")
-    links = written(tests.mapInArrow(_verify(shared, threshold), "a long, b long"), "links")
+    links = written(tests.mapInArrow(W.lean(_verify(shared, threshold)), "a long, b long"), "links")
     dropped(pairs)
 
     now = members.drop("hub", "hub_w").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     meet = ["band", "key", "i", "j"]
     now = now.select("band", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "label")
     now = now.join(wanted.select(F.col("k").alias("node"), "t"), "node").repartition(shuffle_parts(spark), *meet).sortWithinPartitions(*meet)
-    links = links.unionByName(written(now.mapInArrow(_compare(shared, threshold), "a long, b long"), "links"))
+    links = links.unionByName(written(now.mapInArrow(W.lean(_compare(shared, threshold)), "a long, b long"), "links"))
     labels = components(links)
     for table in (wanted, members, links):
         dropped(table)

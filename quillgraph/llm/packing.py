@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, ship, written
+from .words import lean
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -100,7 +101,7 @@ def tokenized(docs: DataFrame, text: str, path: str, size: int, with_ids: bool)
             rows = batch.column("_row").take(pa.array(at, type=pa.int64()))
             yield pa.RecordBatch.from_arrays([rows, *(pa.array(cells[k], type=kinds[k]) for k in names)], names=["_row", *names])
 
-    return docs.mapInArrow(pieces, schema)
+    return docs.mapInArrow(lean(pieces), schema)
 
 
 # --- the plan: bounded by the number of lengths, whatever the number of documents ----------------------------------

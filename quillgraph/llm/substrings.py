@@ -252,11 +252,11 @@ def _holders(pieces: DataFrame, of: DataFrame, window: int) -> DataFrame:
     split = large.limit(1).count() > 0
     small = pieces.join(large, "h", "left_anti") if split else pieces
     sharded = small.select("h", "c", "n", "id", "words").repartition(shuffle_parts(spark), "h").sortWithinPartitions("h", "id", "c")
-    matched = sharded.mapInArrow(_match(window), "h long, c long, n int, in array<struct<lo:int,hi:int,by:long>>")
+    matched = sharded.mapInArrow(W.lean(_match(window)), "h long, c long, n int, in array<struct<lo:int,hi:int,by:long>>")
     if not split:
         return matched
     schema = "ph long, pc long, pn int, id long, h long, c long, n int, at int, words binary, lo int, hi int"
-    parts = written(pieces.join(large, "h", "left_semi").mapInArrow(_part(window, SEED_WORDS), schema), "parts")
+    parts = written(pieces.join(large, "h", "left_semi").mapInArrow(W.lean(_part(window, SEED_WORDS)), schema), "parts")
     first = parts.groupBy("h", "c", "n").agg(F.min(F.struct("id", "words", "lo", "hi")).alias("f")).select("h", "c", "n", "f.*")
     first = written(first, "shards")
     back = parts.select("ph", "pc", "pn", "h", "c", "n", "at").join(_holders(first, first, window), ["h", "c", "n"])
@@ -317,7 +317,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     ident = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     k = F.xxhash64(ident, F.coalesce(text, F.lit("")))
     base = docs.select(k.alias("k"), ident.alias("id"), F.col(text).alias("t"))
-    found = base.where(F.length("t") >= 2 * window - 1).mapInArrow(_find(window, SEED_WORDS), "h long, c long, k long, id long, s int, n int")
+    found = base.where(F.length("t") >= 2 * window - 1).mapInArrow(W.lean(_find(window, SEED_WORDS)), "h long, c long, k long, id long, s int, n int")
     found = written(found, "segments")
     shared = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
     again = written(found.join(shared, "h"), "repeated")
@@ -325,7 +325,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     first = again.groupBy("h", "c", "n").agg(F.min(F.struct("id", "k", "s")).alias("f"))
     first = written(first.select("h", "c", "n", "f.*"), "first")
     wanted = first.groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "n", "s")).alias("want"))
-    pieces = base.join(wanted, ["id", "k"]).select("id", "t", "want").mapInArrow(_cut_out, "h long, c long, n int, id long, words binary")
+    pieces = base.join(wanted, ["id", "k"]).select("id", "t", "want").mapInArrow(W.lean(_cut_out), "h long, c long, n int, id long, words binary")
     pieces = written(pieces.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(window - SEED_WORDS)), "shards")
     told = _holders(pieces, first, window)
     own = F.filter("in", lambda x: x["by"] < F.col("id"))
@@ -334,7 +334,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     cuts = cuts.groupBy("id", "k").agg(F.flatten(F.collect_set("x")).alias("cut"))
     rows = docs.select(F.struct(*carry).alias("_row"), k.alias("k"), ident.alias("id"), F.col(text).alias("t")).join(cuts, ["id", "k"], "left")
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_words long, spans array<struct<start:int,end:int>>, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.select("_row", "t", "cut").mapInArrow(_keep(with_text), schema)
+    return rows.select("_row", "t", "cut").mapInArrow(W.lean(_keep(with_text)), schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

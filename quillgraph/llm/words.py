@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, giving back what the allocators hold on to when a task ends: workers are used again
+    for other stages, and what one keeps is missing to the next."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU library
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -74,7 +96,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if not rest else np.minimum(x[:-rest], x[rest:]) if len(x) > rest else x[:0]
 
 
-def chunks(values: list, most: int = 1 << 20):
+def chunks(values: list, most: int = 1 << 19):
     """Index ranges of about ``most`` bytes of text; one text is never split."""
     lo = held = 0
     for i, v in enumerate(values):
