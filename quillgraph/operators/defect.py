@@ -35,6 +35,12 @@ def winners(votes: DataFrame, commits: DataFrame) -> DataFrame:
     return out.select("case", "commit", "votes", "cast", (2 * F.col("votes") >= F.col("cast")).alias("majority"), (2 * F.col("votes") > F.col("cast")).alias("strict"), F.floor(100 * F.col("votes") / F.col("cast")).cast("long").alias("percent"))
 
 
+def unsettled(history: DataFrame, votes: DataFrame, limit: int = budget.HISTORY) -> DataFrame:
+    """(case, walked) of cases where no symbol settled: how many commits were looked at before history or budget ended."""
+    walked = history.where(F.col("rank") <= limit).groupBy("case").agg(F.max("rank").cast("long").alias("walked"))
+    return walked.join(votes.select("case").distinct(), "case", "left_anti")
+
+
 def outcome(cases: DataFrame) -> DataFrame:
     """(case, outcome) from counts has_parent, changed, recognised, readable, symbols, settled."""
     kind = (

@@ -59,6 +59,8 @@ def resolve_patterns(patterns: DataFrame, symbols: DataFrame, files: DataFrame,
     return out.unionByName(paths.select(*key, state.alias("state"), why.alias("why"), F.coalesce("ids", none).alias("targets")))
 
 
+#: Where a pattern can come from.
+SOURCES = ("declared", "span", "path", "identifier")
 #: Reasons in the order in which the first one present is told.
 WHY = ("not_at_baseline", "many", "pattern_too_broad")
 
@@ -100,6 +102,26 @@ def summary(deviation: DataFrame) -> DataFrame:
     return dim.join(deviation.groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("items", F.lit(0)).alias("items"))
 
 
+def by_source(deviation: DataFrame) -> DataFrame:
+    """(source, n) of the planned rows, by where a pattern came from; zeros of all sources included."""
+    dim = deviation.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SOURCES))).alias("source"))
+    n = deviation.where("class = 'as_planned'").groupBy(F.col("detail").alias("source")).agg(F.count("*").alias("n"))
+    return dim.join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def unmeasurable_by_reason(deviation: DataFrame) -> DataFrame:
+    """(reason, n) of unmeasurable items; zeros of all reasons included."""
+    dim = deviation.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, WHY))).alias("reason"))
+    n = deviation.where("class = 'unmeasurable'").groupBy(F.col("detail").alias("reason")).agg(F.count("*").alias("n"))
+    return dim.join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def resolution(deviation: DataFrame) -> DataFrame:
+    """One row (resolved, total): items whose coordinates were found, of all; unmeasurable ones are not resolved."""
+    items = deviation.where("item IS NOT NULL").groupBy("item").agg(F.min(F.col("class") != "unmeasurable").alias("ok"))
+    return items.agg(F.count_if("ok").alias("resolved"), F.count("*").alias("total"))
+
+
 def item_states(at_base: DataFrame, at_head: DataFrame) -> DataFrame:
     """(item, expected, still_pending, promoted): targets expected, patterns pending at the head, and those bound since."""
     key = ["item", "kind", "text", "source"]

@@ -140,6 +140,16 @@ def exclusions_by_rule(files: DataFrame) -> DataFrame:
     return files.where("bucket = 'excluded'").groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def head_moved(ledger_base: str, head_now: str) -> bool:
+    """Did the branch move after the ledger was made? Then the ledger is another commit's."""
+    return ledger_base != head_now
+
+
+def unbindable_languages(files: DataFrame) -> DataFrame:
+    """(language, n, grade, identity) of the languages whose symbols nothing can be bound to."""
+    return language_capabilities(files).where("identity = 'unavailable'")
+
+
 def out_of_scope_files(files: DataFrame) -> int:
     """How many files no answer about symbols can see: all that are neither parsed nor partly parsed."""
     return files.where(~F.col("bucket").isin("parsed", "partial")).count()

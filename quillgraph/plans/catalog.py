@@ -72,6 +72,9 @@ class Graph:
     base: DataFrame | None = None
     #: Folder of the query log; None where answers aren't recorded.
     log: str | None = None
+    #: Is the work tree what the snapshot was made of? None: not looked at.
+    matches_worktree: bool | None = None
+    rebuilding: bool = False
 
     @property
     def current(self) -> bool:
@@ -117,6 +120,32 @@ class Envelope:
         return self.lines().agg(size).select(F.lit(self.query).alias("query"), F.lit(self.outcome).alias("outcome"), F.lit(self.evidence()).alias("evidence"), "tokens")
 
 
+#: What a touch answer has no table for, and the feature that would fill it.
+SLOTS_NOT_BUILT = {"unresolved": "F08", "effects": "F13", "judgments": "F15"}
+
+
+def freshness(graph: Graph) -> dict:
+    """What the projection stands on: work tree, rebuild, the snapshot it was built for and how much it holds."""
+    return {
+        "built_for": graph.built_for or graph.snapshot,
+        "current": graph.current,
+        "matches_worktree": "not_built" if graph.matches_worktree is None else graph.matches_worktree,
+        "rebuild": "rebuilding" if graph.rebuilding else "settled",
+        "symbols_indexed": graph.symbols.count(),
+    }
+
+
+def stale_count(e: Envelope) -> int:
+    """How many bindings of a binding.status answer are stale; other answers have none."""
+    return e.answer["reports"].where("code = 'stale'").count() if "reports" in e.answer else 0
+
+
+def touch(graph: Graph, name: str) -> tuple[str, Envelope]:
+    """binding.touch by its outcome (found, ambiguous or unknown), by the same path as any query, log included."""
+    e = execute(graph, "binding.touch", {"name": name})
+    return e.outcome, e
+
+
 def _one(df: DataFrame) -> dict:
     return df.first().asDict()
 
@@ -157,7 +186,10 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
             statuses = written(B.status(graph.bindings, graph.symbols, graph.current), "status")
             recall, facts = B.touch(start, graph.bindings, statuses, graph.edges)
             elision.add("binding_max", facts.first()["beyond"])
-            answer = {"recall": recall, "facts": facts}
+            slots = F.map_from_arrays(F.array(*map(F.lit, SLOTS_NOT_BUILT)), F.array(*map(F.lit, SLOTS_NOT_BUILT.values())))
+            answer = {"recall": recall, "facts": facts, "places": B.places(recall, graph.bindings, graph.symbols), "not_built": spark.range(1).select(F.explode(slots).alias("slot", "feature"))}
+            seen = recall.select("id").join(graph.bindings.select("id", "target"), "id").select(F.col("target").alias("id"))
+            accessed = accessed.unionByName(seen).distinct()
         if "symbols" in answer:  # what an answer names was seen, too
             accessed = accessed.unionByName(answer["symbols"].select("id")).distinct()
     elif name == "ledger.snapshot":
@@ -165,7 +197,10 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     elif name == "graph.dump":
         answer = {"nodes": graph.symbols.orderBy("id"), "edges": graph.edges.distinct().orderBy("src", "dst")}
     elif name == "binding.status":
-        answer = {"reports": B.status(graph.bindings, graph.symbols, graph.current).orderBy("id")}
+        statuses = written(B.status(graph.bindings, graph.symbols, graph.current), "status")
+        answer = {"reports": B.reports(graph.bindings, graph.symbols, statuses).orderBy("id")}
+        watched = B.watch_index(graph.bindings).select(F.col("symbol").alias("id"))
+        accessed = watched.unionByName(graph.bindings.select(F.col("target").alias("id"))).distinct()
     elif name == "narrative.unbound":
         done = written(narrative.resolve(graph.fragments, graph.symbols), "narrative")
         answer = {"unbound": narrative.unbound_items(graph.fragments, done), "counts": narrative.counts(done), "spread": narrative.spread(done)}
@@ -183,7 +218,7 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     covered["out_of_scope_files"] = lookup.out_of_scope_files(graph.files)
     log = {"status": "recorded"} if graph.log else {"status": "not_recorded", "reason": "read_only_attach"}
     envelope = Envelope(
-        name, args, outcome, answer, graph.snapshot, {"built_for": graph.built_for or graph.snapshot, "current": graph.current}, covered,
+        name, args, outcome, answer, graph.snapshot, freshness(graph), covered,
         {"built": sorted(CATALOG), "not_built": NOT_BUILT}, None if name != "ledger.snapshot" else counts,
         None if name == "ledger.snapshot" else {"part": "ledger", "count": counts["files_total"], "unfolded_by": "ledger.snapshot"}, elision, log,
     )

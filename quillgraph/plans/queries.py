@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, names
 from ..operators import bindings as B
-from ..operators import defect, deviation, doctor, lookup, narrative, traverse
+from ..operators import budget, defect, deviation, doctor, lookup, narrative, traverse
 from ..sources import adapter as A
 from ..sources import projection, recognize, scanners, store
 from ..sources.tables import kept, written
@@ -188,6 +188,24 @@ def binding_status_counts(spark, sf_dir):
     return B.status(_bound(spark, sf_dir), _symbols(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT st.id, st.target, st.code, 'current' AS lineage, b.radius, count(*) AS watched,
+  coalesce((SELECT string_agg(i || ':' || n, ',' ORDER BY i) FROM (SELECT CASE WHEN s.grade = 0 THEN 'unavailable' WHEN s.grade = 1 OR s.ordinal > 0 THEN 'ordinal' ELSE 'exact' END AS i, count(*) AS n
+    FROM watch x JOIN symbols_head s ON s.id = x.symbol WHERE x.id = st.id GROUP BY i)), '') AS grades
+  FROM st JOIN bound b ON st.id = b.id JOIN watch w ON w.id = st.id GROUP BY st.id, st.target, st.code, b.radius""", _STATUS)
+def binding_reports(spark, sf_dir):
+    bound, symbols = _bound(spark, sf_dir), _symbols(spark, sf_dir)
+    grades = F.transform(F.array_sort(F.map_entries("grades")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    out = B.reports(bound, symbols, B.status(bound, symbols))
+    return out.select("id", "target", "code", "lineage", "radius", "watched", F.array_join(grades, ",").alias("grades"))
+
+
+@query("SELECT DISTINCT id FROM watch WHERE symbol IN (SELECT coalesce(b.id, h.id) FROM symbols_base b FULL JOIN symbols_head h ON b.id = h.id WHERE b.id IS NULL OR h.id IS NULL OR b.body <> h.body)")
+def binding_affected(spark, sf_dir):
+    """The bindings that the change between the snapshots can have made stale."""
+    delta = deviation.symbol_delta(_symbols(spark, sf_dir, "base"), _symbols(spark, sf_dir))
+    return B.watching_any(delta.select(F.col("id").alias("symbol")), _bound(spark, sf_dir)).select("id")
+
+
 _TOUCH = _STATUS + """,
 items AS (SELECT target AS start, id, 'on' AS how FROM bound UNION ALL SELECT w.symbol, w.id, 'watching' FROM watch w JOIN bound b ON w.id = b.id AND w.symbol <> b.target),
 ranked AS (SELECT i.*, code, row_number() OVER (PARTITION BY start ORDER BY CASE code WHEN 'stale' THEN 0 WHEN 'orphaned' THEN 0 WHEN 'undeterminable' THEN 1 ELSE 3 END, i.id) AS place,
@@ -200,6 +218,15 @@ def binding_touch(spark, sf_dir):
     return B.touch(symbols.select(F.col("id").alias("start")), bound, B.status(bound, symbols), edges)[0]
 
 
+@query("""SELECT r.start, r.id, CASE WHEN b.target = r.start THEN 'here' WHEN s.id IS NULL THEN 'gone' ELSE 'known' END AS "at", CASE WHEN b.target <> r.start THEN s.path END AS path,
+  CASE WHEN b.target <> r.start THEN array_to_string(s.container, '.') END AS container, CASE WHEN b.target <> r.start THEN s.name END AS name
+  FROM ranked r JOIN bound b ON r.id = b.id LEFT JOIN symbols_head s ON s.id = b.target WHERE place <= greatest(10, urgent)""", _TOUCH)
+def binding_places(spark, sf_dir):
+    bound, (symbols, edges) = _bound(spark, sf_dir), _graph(spark, sf_dir)
+    recall = B.touch(symbols.select(F.col("id").alias("start")), bound, B.status(bound, symbols), edges)[0]
+    return B.places(recall, bound, symbols).select("start", "id", "at", "path", F.array_join("container", ".").alias("container"), "name")
+
+
 @query("""SELECT s.id AS start, (SELECT count(*) FROM edges_head WHERE dst = s.id) AS callers, (SELECT count(*) FROM edges_head WHERE src = s.id) AS callees,
   coalesce(r.o, 0) AS "on", coalesce(r.w, 0) AS watching, coalesce(greatest(r.c - greatest(10, r.urgent), 0), 0) AS beyond
   FROM symbols_head s LEFT JOIN (SELECT start, count(*) FILTER (how = 'on') AS o, count(*) FILTER (how = 'watching') AS w, max(c) AS c, max(urgent) AS urgent FROM ranked GROUP BY start) r ON s.id = r.start""", _TOUCH)
@@ -303,6 +330,21 @@ def plan_deviation_rate(spark, sf_dir):
     return deviation.rate(*_deviation(spark, sf_dir))
 
 
+@query("SELECT s AS source, count(dev.class) AS n FROM (SELECT unnest(['declared', 'span', 'path', 'identifier']) AS s) LEFT JOIN dev ON s = detail AND class = 'as_planned' GROUP BY s", _DEVIATION)
+def plan_by_source(spark, sf_dir):
+    return deviation.by_source(_deviation(spark, sf_dir)[0])
+
+
+@query("SELECT s AS reason, count(dev.class) AS n FROM (SELECT unnest(['not_at_baseline', 'many', 'pattern_too_broad']) AS s) LEFT JOIN dev ON s = detail AND class = 'unmeasurable' GROUP BY s", _DEVIATION)
+def plan_by_reason(spark, sf_dir):
+    return deviation.unmeasurable_by_reason(_deviation(spark, sf_dir)[0])
+
+
+@query("SELECT count(DISTINCT item) FILTER (class <> 'unmeasurable') AS resolved, count(DISTINCT item) AS total FROM dev WHERE item IS NOT NULL", _DEVIATION)
+def plan_items_measured(spark, sf_dir):
+    return deviation.resolution(_deviation(spark, sf_dir)[0])
+
+
 #: Fragments are customers' notes: signals by key, so that each kind of find (one, several, none) occurs.
 _FRAGMENTS = """frag AS (
   SELECT 'doc/' || (file_key % 10) || '.md' AS path, 'a' || file_key AS anchor, 'note ' || file_key || chr(10) || 'more' AS body,
@@ -362,6 +404,36 @@ def narrative_spread(spark, sf_dir):
     return narrative.spread(_resolved(spark, sf_dir)[1])
 
 
+@query('SELECT "by" AS signal, count(*) AS n FROM res WHERE class <> \'unbound\' GROUP BY "by"', _FRAGMENTS)
+def narrative_by_signal(spark, sf_dir):
+    return narrative.by_signal(_resolved(spark, sf_dir)[1])
+
+
+#: Commits are the events' days, newest first, and touch the users of the day; every tenth user is a document.
+_CHANGES = """chg AS (SELECT DISTINCT date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM events)) AS rank, 'u' || user_id AS path, user_id FROM events),
+doc AS (SELECT path, min(rank) FILTER (rank < 400) AS rank FROM chg WHERE user_id % 10 = 0 GROUP BY path)"""
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    ev = A.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id")
+    newest = ev.agg(F.max("day").alias("newest"))
+    rank = F.date_diff(F.col("newest"), F.col("day"))
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")
+    ev = ev.distinct().withColumn("one", F.lit(1)).join(newest.withColumn("one", F.lit(1)), "one")
+    changes = ev.select(rank.alias("rank"), F.concat(F.lit("c"), rank.cast("string")).alias("commit"), path, "user_id")
+    return changes.where("user_id % 10 = 0").select("path"), changes.drop("user_id")
+
+
+@query("SELECT path, 'c' || rank AS commit FROM doc", _CHANGES)
+def narrative_last_commit(spark, sf_dir):
+    return narrative.history(*_changes(spark, sf_dir))[0]
+
+
+@query("SELECT d.path, c.path AS other FROM doc d JOIN chg c ON c.rank = d.rank AND c.path <> d.path", _CHANGES)
+def narrative_co_changed(spark, sf_dir):
+    return narrative.history(*_changes(spark, sf_dir))[1]
+
+
 #: Histories are events: a user is a case, its commits are its events newest first, an event type a symbol.
 _HISTORY = """ev AS (SELECT user_id AS "case", event_type AS id, floor(value / 50)::BIGINT::VARCHAR AS body, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank,
   'c' || event_id AS commit FROM events),
@@ -382,11 +454,11 @@ def defect_votes(spark, sf_dir):
     return _votes(spark, sf_dir)[0]
 
 
-def _votes(spark, sf_dir):
+def _votes(spark, sf_dir, limit: int = budget.HISTORY):
     history, commits = _history(spark, sf_dir)
     newest = history.groupBy("case", "id").agg(F.min_by("body", "rank").alias("body"))
     whole = history.withColumn("rank", F.col("rank") + 1).unionByName(newest.withColumn("rank", F.lit(0).cast("int")))
-    votes = defect.introduction_votes(whole).withColumn("rank", F.col("rank") - 1)
+    votes = defect.introduction_votes(whole, limit).withColumn("rank", F.col("rank") - 1)
     return votes, commits
 
 
@@ -403,6 +475,13 @@ def defect_summary(spark, sf_dir):
     return defect.summary(defect.winners(*_votes(spark, sf_dir)), history)
 
 
+@query('SELECT "case", least(max(rank) + 1, 4) AS walked FROM ev WHERE "case" NOT IN (SELECT "case" FROM votes WHERE rank + 1 < 4) GROUP BY "case"', _HISTORY)
+def defect_unsettled(spark, sf_dir):
+    """Cases that a budget of four commits leaves unsettled, with how many were looked at; 400 settle them all."""
+    history, _ = _history(spark, sf_dir)
+    return defect.unsettled(history.withColumn("rank", F.col("rank") + 1), _votes(spark, sf_dir, 4)[0], 4)
+
+
 @query("SELECT id FROM symbols_base b WHERE NOT EXISTS (SELECT 1 FROM symbols_head h WHERE h.id = b.id AND h.body = b.body)")
 def defect_manifestations(spark, sf_dir):
     return defect.manifestations(_symbols(spark, sf_dir, "base"), _symbols(spark, sf_dir))
@@ -501,6 +580,31 @@ def doctor_diagnosis(spark, sf_dir):
     return doctor.diagnosis(doctor.violations(view), checked)
 
 
+@query("""SELECT id, CASE WHEN key % 10 = 0 OR (row_number() OVER (PARTITION BY key % 10 = 0 ORDER BY id) - 1) % ceil((SELECT count(*) FROM symbols_head WHERE key % 10 <> 0) / 512) = 0 THEN 'checked' ELSE 'outside_sample' END AS state FROM symbols_head""")
+def doctor_sample(spark, sf_dir):
+    """What a sampled examination looks at: every tenth key has no anchor and is always seen."""
+    units = _symbols(spark, sf_dir).select("id", F.when(F.col("key") % 10 != 0, F.col("id")).alias("anchor"))
+    checked, residuals = doctor.examined(units)
+    return checked.select("id", F.lit("checked").alias("state")).unionByName(residuals.select(F.col("coord").alias("id"), F.col("reason").alias("state")))
+
+
+@query("SELECT id AS key, 'body' AS attr, 'observed' AS made, 'extracted' AS declared FROM symbols_head WHERE key % 19 = 0")
+def doctor_attribute_producers(spark, sf_dir):
+    made = F.array(F.struct(F.lit("name").alias("attr"), F.lit("extracted").alias("producer")), F.struct(F.lit("body").alias("attr"), F.when(F.col("key") % 19 == 0, "observed").otherwise("extracted").alias("producer")))
+    nodes = _symbols(spark, sf_dir).select(F.col("id").alias("key"), F.lit("Symbol").alias("label"), made.alias("made"))
+    rules = spark.range(1).select(F.lit("Symbol").alias("label"), F.explode(F.array(F.lit("name"), F.lit("body"))).alias("attr"), F.lit("extracted").alias("producer"))
+    return doctor.attribute_producers(nodes, rules)
+
+
+@query("SELECT DISTINCT 'cascade_budget_exceeded' AS reason, path AS coord FROM symbols_head WHERE id IN (SELECT k FROM w4) AND key % 2 = 0", _CASCADE)
+def doctor_cut_residuals(spark, sf_dir):
+    """Where the cascade stopped, told by path; odd keys have none."""
+    symbols, edges = _graph(spark, sf_dir)
+    derived = _derived(symbols, edges)
+    nodes = derived.join(symbols.select(F.col("id").alias("key"), F.when(F.col("key") % 2 == 0, F.col("path")).alias("anchor")), "key")
+    return doctor.cut_residuals(nodes, traverse.cascade(derived))[0]
+
+
 _LOG = """log AS (SELECT 'snap' || (user_id % 3) AS snapshot, event_type AS query, substr(sha256(concat_ws(chr(31), 'args', event_id)), 1, 16) AS args_digest, (value * 10)::BIGINT AS micros, event_id FROM events)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -18,6 +19,47 @@ def resolve_commit(repo: str, rev: str) -> str:
     return _git(repo, "rev-parse", "--verify", f"{rev}^{{commit}}").decode().strip()
 
 
+def head(repo: str) -> str:
+    return resolve_commit(repo, "HEAD")
+
+
+def path_at(repo: str, rev: str, path: str) -> str | None:
+    """The blob of a file or symbolic link at a commit; None for folders, submodules and what isn't there."""
+    found = _git(repo, "ls-tree", "-z", rev, "--", path).decode("utf-8", "replace")
+    for entry in found.split("\0"):
+        meta, _, name = entry.partition("\t")
+        if name == path and meta.split()[1] == "blob":
+            return meta.split()[2]
+    return None
+
+
+def matches(spark: SparkSession, repo: str, tree: DataFrame) -> bool:
+    """Does the work tree hold exactly the files of ``tree`` (path, blob)?"""
+    from ..operators.deviation import differing_paths
+
+    return not differing_paths(tree, worktree(spark, repo)).limit(1).count()
+
+
+def read_worktree_file(repo: str, path: str) -> bytes:
+    """A file of the work tree as the repository would hold it; of a symbolic link, the target's name.
+
+    CRLF becomes LF where the attributes, or core.autocrlf for files without one, call the file text, and no NUL is in it.
+    """
+    at = os.path.join(repo, path)
+    if os.path.islink(at):
+        return os.fsencode(os.readlink(at))
+    with open(at, "rb") as f:
+        raw = f.read()
+    told = _git(repo, "check-attr", "-z", "text", "--", path).decode("utf-8", "replace").split("\0")[2]
+    text = told in ("set", "auto") if told != "unspecified" else _config(repo, "core.autocrlf") in ("true", "input")
+    return raw.replace(b"\r\n", b"\n") if text and b"\0" not in raw else raw
+
+
+def _config(repo: str, key: str) -> str:
+    got = subprocess.run(["git", "-C", repo, "config", "--get", key], capture_output=True, check=False)
+    return got.stdout.decode().strip()
+
+
 def list_tree(spark: SparkSession, repo: str, rev: str) -> DataFrame:
     """(path, blob) of files and symbolic links at a commit; submodules don't count."""
     rows = []
@@ -31,13 +73,27 @@ def list_tree(spark: SparkSession, repo: str, rev: str) -> DataFrame:
 
 
 def worktree(spark: SparkSession, repo: str) -> DataFrame:
-    """(path, blob) of the index's files as they are in the work tree; missing ones are skipped."""
-    names = [x for x in _git(repo, "ls-files", "-z").decode("utf-8", "replace").split("\0") if x]
-    import os
-
-    there = [n for n in names if os.path.lexists(f"{repo}/{n}") and not os.path.isdir(f"{repo}/{n}")]
-    ids = _git(repo, "hash-object", "--stdin-paths", stdin="\n".join(there).encode()).decode().split() if there else []
-    return spark.createDataFrame(list(zip(there, ids, strict=True)), "path string, blob string")
+    """(path, blob) of the index's files as they are in the work tree.
+
+    Missing files, submodules and those left out by a sparse checkout are skipped; what git's index knows as unchanged
+    keeps its blob, and only the rest is hashed again, links by their target's name.
+    """
+    kept, again = {}, set()
+    for entry in _git(repo, "ls-files", "-s", "-z").decode("utf-8", "surrogateescape").split("\0"):
+        meta, _, path = entry.partition("\t")
+        if meta and meta.split()[0] != "160000":
+            kept[path] = meta.split()[1]
+    for entry in _git(repo, "ls-files", "-m", "-z").decode("utf-8", "surrogateescape").split("\0"):
+        again.add(entry)
+    skipped = {e[2:] for e in _git(repo, "ls-files", "-t", "-z").decode("utf-8", "surrogateescape").split("\0") if e.startswith("S ")}
+    rows = []
+    for path, blob in kept.items():
+        if path in skipped or not os.path.lexists(os.path.join(repo, path)):
+            continue
+        if path in again:
+            blob = _git(repo, "hash-object", "--stdin", "--no-filters", stdin=read_worktree_file(repo, path)).decode().strip()
+        rows.append((path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), blob))
+    return spark.createDataFrame(rows, "path string, blob string")
 
 
 def read_blobs(tree: DataFrame, repo: str) -> DataFrame:

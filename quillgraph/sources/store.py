@@ -71,6 +71,73 @@ class Generations:
         return bool(now) and now["snapshot"] == snapshot
 
 
+class ReadOnly(PermissionError):
+    pass
+
+
+#: How a projection is opened: with edges and exports, symbols and names alone, or without writing.
+MODES = ("stitching", "symbols_only", "read_only")
+
+
+class Projection:
+    """Named reads and counts of the current generation; writes publish a whole new one."""
+
+    def __init__(self, generations: Generations, mode: str = "read_only"):
+        if mode not in MODES:
+            raise ValueError(f"mode {mode!r}")
+        self.generations, self.mode = generations, mode
+
+    def publish(self, snapshot: str, files: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, exports: DataFrame | None = None) -> dict[str, int]:
+        """Rows written by table. Symbols only: no edges and exports, those of the generation before are gone, too."""
+        if self.mode == "read_only":
+            raise ReadOnly("opened without writing")
+        tables = {"files": files, "symbols": symbols}
+        if self.mode == "stitching":
+            if edges is None or exports is None:
+                raise ValueError("stitching needs edges and exports")
+            tables |= {"edges": edges, "exports": exports}
+        self.generations.publish(snapshot, tables)
+        return self.row_counts()
+
+    def table_names(self) -> list[str]:
+        now = self.generations.current()
+        return sorted(now["tables"]) if now else []
+
+    def row_counts(self) -> dict[str, int]:
+        """Rows of every table; edges are stored once and read both ways, so both directions count the same."""
+        return {t: self.generations.table(t).count() for t in self.table_names()}
+
+    def files(self) -> DataFrame:
+        return self.generations.table("files")
+
+    def file(self, path: str) -> DataFrame:
+        return self.files().where(F.col("path") == path)
+
+    def symbol(self, id: str) -> DataFrame:
+        return self.generations.table("symbols").where(F.col("id") == id)
+
+    def symbols_of(self, path: str) -> DataFrame:
+        return self.generations.table("symbols").where(F.col("path") == path).orderBy("byte_start", "id")
+
+    def names(self) -> DataFrame:
+        return self.generations.table("symbols").select("name").distinct()
+
+    def callees(self, id: str) -> DataFrame:
+        return self.generations.table("edges").where(F.col("src") == id).select("dst").distinct().orderBy("dst")
+
+    def callers(self, id: str) -> DataFrame:
+        return self.generations.table("edges").where(F.col("dst") == id).select("src").distinct().orderBy("src")
+
+    def export(self, path: str, name: str) -> DataFrame:
+        return self.generations.table("exports").where((F.col("path") == path) & (F.col("name") == name)).select("id")
+
+
+def log_range(log: DataFrame, snapshot: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """A snapshot's log from number ``first`` to ``last``, in order."""
+    rows = log.where((F.col("snapshot") == snapshot) & (F.col("seq") >= first))
+    return (rows if last is None else rows.where(F.col("seq") <= last)).orderBy("seq")
+
+
 def log_rows(log: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` (snapshot, query, args_digest, accessed, micros) numbered after the log's greatest seq per snapshot."""
     last = log.groupBy("snapshot").agg(F.max("seq").alias("last"))
@@ -169,6 +236,14 @@ def intent_import(lines: DataFrame, bindings: DataFrame) -> tuple[DataFrame, int
     return bindings.join(new.select("id"), "id", "left_anti").unionByName(new), already
 
 
+def alias_recorded(aliases: DataFrame, was: str, now: str) -> DataFrame:
+    """``aliases`` (was, now) with one more; a later record of the same name replaces the earlier. Nothing is deleted."""
+    if was == now:
+        raise ValueError("a repository is no alias of itself")
+    new = aliases.sparkSession.range(1).select(F.lit(was).alias("was"), F.lit(now).alias("now"))
+    return aliases.join(new.select("was"), "was", "left_anti").select("was", "now").unionByName(new)
+
+
 def alias_of(aliases: DataFrame, repo: str) -> str:
     """Where a renamed repository lives now; a cycle ends where it began to repeat."""
     seen = {repo}

@@ -112,3 +112,89 @@ def test_entry_works_without_the_training_subpackage(spark, monkeypatch):
     assert set(entry.queries()) == set(Q.QUERIES) and set(entry.oracle_sql()) == set(Q.SQL)
     assert entry.entry(spark).select(F.count("*")).first()[0] > 0
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_touch_tells_places_and_what_is_not_built(graph):
+    one = graph.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    watched = graph.bindings.select("target", F.explode("watch.symbol").alias("id")).where("target <> id").join(one, "id").orderBy("name").first()
+    outcome, e = catalog.touch(graph, watched["name"])
+    assert outcome == "found" and {r["slot"] for r in e.answer["not_built"].collect()} == {"unresolved", "effects", "judgments"}
+    places = {r["id"]: r for r in e.answer["places"].collect()}
+    targets = {r["id"]: r["target"] for r in graph.bindings.collect()}
+    there = {r["id"]: r for r in graph.symbols.collect()}
+    assert set(places) == {r["id"] for r in e.answer["recall"].collect()} and places
+    for id, r in places.items():
+        want = "here" if targets[id] == watched["id"] else "known" if targets[id] in there else "gone"
+        assert r["at"] == want and (r["name"] == there[targets[id]]["name"] if want == "known" else r["name"] is None)
+    assert catalog.touch(graph, "nobody")[0] == "unknown"
+
+
+def test_binding_reports_and_freshness(graph):
+    from dataclasses import replace
+
+    e = catalog.execute(graph, "binding.status")
+    rows = e.answer["reports"].collect()
+    assert len(rows) == graph.bindings.count() and {r["lineage"] for r in rows} == {"current"}
+    assert all(sum(r["grades"].values()) <= r["watched"] for r in rows)
+    assert catalog.stale_count(e) == sum(r["code"] == "stale" for r in rows) > 0
+    assert e.projection["symbols_indexed"] == graph.symbols.count() and e.projection["rebuild"] == "settled" and e.projection["matches_worktree"] == "not_built"
+    old = catalog.execute(replace(graph, built_for="s0", rebuilding=True), "binding.status")
+    assert {(r["code"], r["reason"]) for r in old.answer["reports"].collect()} == {("undeterminable", "projection_stale")}
+    assert not old.projection["current"] and old.projection["rebuild"] == "rebuilding" and catalog.stale_count(old) == 0
+
+
+def test_projection_modes_and_named_reads(graph, spark, tmp_path):
+    from quillgraph.sources import store
+
+    gens = store.Generations(spark, f"file://{tmp_path}/p")
+    exports = graph.symbols.where("ix = 1").select("path", "name", "id")
+    with pytest.raises(store.ReadOnly):
+        store.Projection(gens).publish("s1", graph.files, graph.symbols)
+    with pytest.raises(ValueError):
+        store.Projection(gens, "stitching").publish("s1", graph.files, graph.symbols)
+    counts = store.Projection(gens, "stitching").publish("s1", graph.files, graph.symbols, graph.edges, exports)
+    assert counts == {"edges": graph.edges.count(), "exports": exports.count(), "files": graph.files.count(), "symbols": graph.symbols.count()}
+    p = store.Projection(gens)
+    e = graph.edges.orderBy("src", "dst").first()
+    assert e["dst"] in {r["dst"] for r in p.callees(e["src"]).collect()} and e["src"] in {r["src"] for r in p.callers(e["dst"]).collect()}
+    x = exports.orderBy("path").first()
+    assert p.export(x["path"], x["name"]).first()["id"] == x["id"] and p.export(x["path"], "no").count() == 0
+    assert p.symbol(x["id"]).first()["name"] == x["name"] and p.file(x["path"]).count() == 1
+    assert p.symbols_of(x["path"]).first()["ix"] == 1 and p.names().count() == graph.symbols.select("name").distinct().count()
+    store.Projection(gens, "symbols_only").publish("s2", graph.files, graph.symbols)
+    assert p.table_names() == ["files", "symbols"] and gens.built_for("s2")
+    with pytest.raises(LookupError):
+        p.callees(e["src"])
+
+
+def test_intent_aliases_and_log_range(spark):
+    from quillgraph.sources import store
+
+    none = spark.createDataFrame([], "was string, now string")
+    a = store.alias_recorded(store.alias_recorded(none, "a", "b"), "b", "c")
+    assert store.alias_of(a, "a") == "c" and store.alias_of(store.alias_recorded(a, "c", "a"), "a") == "c"
+    assert {(r["was"], r["now"]) for r in store.alias_recorded(a, "a", "d").collect()} == {("a", "d"), ("b", "c")}
+    with pytest.raises(ValueError):
+        store.alias_recorded(none, "a", "a")
+    log = spark.createDataFrame([("s", 2), ("s", 1), ("s", 3), ("t", 1)], "snapshot string, seq long")
+    assert [r["seq"] for r in store.log_range(log, "s", 2).collect()] == [2, 3] and [r["seq"] for r in store.log_range(log, "s", 1, 1).collect()] == [1]
+
+
+def test_doctor_samples_and_residuals(spark):
+    """Small views, counted by hand: units without an anchor are always seen, and what is left out is told."""
+    from quillgraph.operators import doctor
+
+    units = spark.createDataFrame([(f"a{i:02d}", i) for i in range(10)] + [(None, 10), (None, 11)], "anchor string, n int")
+    checked, left = doctor.examined(units, 4)
+    assert sorted(r["n"] for r in checked.collect()) == [0, 3, 6, 9, 10, 11] and sorted(r["coord"] for r in left.collect()) == ["a01", "a02", "a04", "a05", "a07", "a08"]
+    for most in (0, 10):
+        checked, left = doctor.examined(units, most)
+        assert checked.count() == 12 and left.count() == 0
+    schema = "key string, anchor string, stale boolean, inputs array<string>"
+    chain = lambda anchors: spark.createDataFrame([(f"n{i}", anchors.get(i), i == 0, [f"n{i - 1}"] if i else []) for i in range(6)], schema)
+    for anchors, coords, lost in (({4: "p", 3: "q", 0: "r"}, {"p"}, set()), ({3: "q", 0: "r"}, {"q"}, set()), ({0: "r"}, {"r"}, set()), ({1: "z"}, set(), {"n4"})):
+        nodes = chain(anchors)
+        told, names = doctor.cut_residuals(nodes, doctor.cascade(nodes.select("key", "stale", "inputs")))
+        assert {r["coord"] for r in told.collect()} == coords and {r["key"] for r in names.collect()} == lost
+    d = doctor.diagnosis(spark.createDataFrame([("evidence", "x"), ("evidence", "y")], "invariant string, subject string"), {"evidence": 5, "endpoints": 1})
+    assert doctor.violation_count(d) == 2 and {r["invariant"] for r in doctor.checked_invariants(d).collect()} == {"evidence", "endpoints"}

@@ -33,6 +33,31 @@ def test_git_snapshots(spark, repo):
     assert {r["path"] for r in git.worktree(spark, repo).collect()} == {"a.ts", "c.kt"}
 
 
+def test_git_points_and_work_tree(spark, repo):
+    import os
+
+    tree = {r["path"]: r["blob"] for r in git.list_tree(spark, repo, "HEAD").collect()}
+    assert git.head(repo) == git.resolve_commit(repo, "HEAD") and git.path_at(repo, "HEAD", "c.kt") == tree["c.kt"]
+    assert git.path_at(repo, "HEAD~1", "c.kt") is None and git.path_at(repo, "HEAD~1", "d") is None
+    at = git.list_tree(spark, repo, "HEAD")
+    assert git.matches(spark, repo, at) and not git.matches(spark, repo, git.list_tree(spark, repo, "HEAD~1"))
+    os.remove(f"{repo}/c.kt")
+    os.symlink("a.ts", f"{repo}/c.kt")
+    odd = f"{repo}/new\nline.ts"
+    with open(odd, "wb") as f:
+        f.write(b"x\r\ny\r\n")
+    with open(f"{repo}/.gitattributes", "w") as f:
+        f.write("*.ts text\n")
+    subprocess.run(["git", "-C", repo, "add", "."], check=True, capture_output=True)
+    with open(odd, "ab") as f:
+        f.write(b"z\r\n")
+    assert git.read_worktree_file(repo, "c.kt") == b"a.ts" and git.read_worktree_file(repo, "new\nline.ts") == b"x\ny\nz\n"
+    now = {r["path"]: r["blob"] for r in git.worktree(spark, repo).collect()}
+    said = lambda data: subprocess.run(["git", "hash-object", "--stdin"], input=data, capture_output=True, check=True).stdout.decode().strip()
+    assert now == {"a.ts": tree["a.ts"], "c.kt": said(b"a.ts"), "new\nline.ts": said(b"x\ny\nz\n"), ".gitattributes": said(b"*.ts text\n")}
+    assert not git.matches(spark, repo, at)
+
+
 def test_rules():
     m = rules.manifest('[[repo]]\nname = "r"\n[[exclusion]]\nid = "gen"\npattern = "gen/"\n[[exclusion]]\nid = "min"\npattern = "*.min.js"\n')
     assert m["exclusions"] == [("gen/", "gen"), ("*.min.js", "min")]
