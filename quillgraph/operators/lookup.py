@@ -31,6 +31,23 @@ def contains(starts: DataFrame, symbols: DataFrame) -> DataFrame:
     return inner.select("start", place.alias("place"), "id")
 
 
+def parents(symbols: DataFrame) -> DataFrame:
+    """(id, parent) of symbols that lie in another of their file: the first one whose name ends the container.
+
+    Joined on the whole container chain, so equal names in other places don't meet.
+    """
+    inner = symbols.where(F.size("container") > 0).select("id", "path", F.col("container").alias("chain"))
+    outer = symbols.select("path", F.concat("container", F.array("name")).alias("chain"), F.struct("byte_start", "id").alias("at"))
+    return inner.join(outer.groupBy("path", "chain").agg(F.min("at").alias("at")), ["path", "chain"]).select("id", F.col("at.id").alias("parent"))
+
+
+def ref_totals(refs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, refs, classed): references of each file and the sum of its six classes, which must agree."""
+    n, c = refs.groupBy("path").agg(F.count("*").alias("refs")), classes.groupBy("path").agg(F.sum("n").alias("classed"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return n.join(c, "path", "full_outer").select("path", zero("refs"), zero("classed"))
+
+
 def callers(starts: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(start, place, id) of what points at each start; one hop, recursion kept, in order of path and byte."""
     hit = starts.select("start").distinct().join(edges.distinct(), F.col("start") == F.col("dst")).join(symbols.select("id", "path", "byte_start"), F.col("src") == F.col("id"))

@@ -57,6 +57,24 @@ class Elision:
         return not self.counts
 
 
+@dataclass
+class Fold:
+    """What an answer leaves to another query, by part; moved, not cut, so it is never counted as dropped."""
+
+    parts: dict[str, tuple[int, str]] = field(default_factory=dict)
+
+    def push(self, part: str, count: int, unfolded_by: str) -> Fold:
+        """The first count of a part stays."""
+        self.parts.setdefault(part, (count, unfolded_by))
+        return self
+
+    def moved(self) -> int:
+        return sum(n for n, _ in self.parts.values())
+
+    def rows(self) -> list[dict]:
+        return [{"part": p, "count": n, "unfolded_by": q} for p, (n, q) in self.parts.items()]
+
+
 @dataclass
 class Graph:
     """The tables that queries read; those of bindings, documents and plans only where their query needs them."""
@@ -94,7 +112,7 @@ class Envelope:
     coverage: dict
     capabilities: dict
     ledger: dict | None
-    fold: dict | None
+    fold: list[dict] | None
     elision: Elision
     log: dict
 
@@ -220,7 +238,7 @@ def execute(graph: Graph, name: str, args: dict[str, str] | None = None) -> Enve
     envelope = Envelope(
         name, args, outcome, answer, graph.snapshot, freshness(graph), covered,
         {"built": sorted(CATALOG), "not_built": NOT_BUILT}, None if name != "ledger.snapshot" else counts,
-        None if name == "ledger.snapshot" else {"part": "ledger", "count": counts["files_total"], "unfolded_by": "ledger.snapshot"}, elision, log,
+        None if name == "ledger.snapshot" else Fold().push("ledger", counts["files_total"], "ledger.snapshot").rows(), elision, log,
     )
     #: The time is an observation of the run, not part of the answer.
     envelope.micros = int((time.time() - began) * 1e6)

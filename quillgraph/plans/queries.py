@@ -129,6 +129,11 @@ def graph_nodes(spark, sf_dir):
     return _symbols(spark, sf_dir).select("id", "path", "name", "kind", "body", "byte_start")
 
 
+@query("""SELECT s.id, arg_min(p.id, p.byte_start) AS parent FROM symbols_head s JOIN symbols_head p ON p.path = s.path AND list_append(p.container, p.name) = s.container GROUP BY s.id""")
+def symbol_parents(spark, sf_dir):
+    return lookup.parents(_symbols(spark, sf_dir))
+
+
 @query("SELECT src, dst FROM edges_head")
 def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
@@ -741,6 +746,13 @@ def source_ref_classes(spark, sf_dir):
     return projection.edges_of(found, symbols)[1]
 
 
+@query("SELECT path, 5 * count(*) AS refs, 5 * count(*) AS classed FROM src WHERE language = 'TypeScript' GROUP BY path", _SOURCES)
+def source_ref_totals(spark, sf_dir):
+    """Every reference falls into one class."""
+    found, symbols = _extracted(spark, sf_dir)
+    return lookup.ref_totals(projection.references_of(found, symbols), projection.edges_of(found, symbols)[1])
+
+
 @query("SELECT path, 'f' || i AS name, '@decision: ' || i AS comment FROM src WHERE language = 'TypeScript'", _SOURCES)
 def source_exports(spark, sf_dir):
     """Exported names with the marked comment that is attached to their symbol."""

@@ -28,6 +28,8 @@ _KINDS = {
     "Kotlin": {"fun": "function", "class": "class", "interface": "class", "object": "object", "typealias": "type_alias", "val": "property", "var": "property"},
     "Rust": {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module", "const": "const", "static": "static", "type": "type_alias", "union": "union", "macro_rules": "macro"},
 }
+#: Raised whenever the scanners find other things in the same text.
+VERSION = 2
 #: 2: references within the file are resolved.
 GRADES = {"TypeScript": 2, "Kotlin": 1, "Rust": 1}
 # What may stand before a declaration's keyword.

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import ids
+from ..sources import capabilities
 from ..sources.scanners import extract
 from ..sources.store import cache_misses
 
 SCHEMA = "path string, language string, blob string, text string"
-GRAMMAR, EXTRACTOR = "scan-1", "lexical"
+GRAMMAR = "lexical"
 
 
 def keyed(files: DataFrame) -> DataFrame:
-    return files.withColumn("cache_key", ids.cache_key(F.col("blob"), F.lit(GRAMMAR), F.lit(EXTRACTOR), F.col("path"), F.col("language"), F.lit("declarations")))
+    return files.withColumn("cache_key", ids.cache_key(F.col("blob"), F.lit(GRAMMAR), F.lit(capabilities.version()), F.col("path"), F.col("language"), F.lit(capabilities.axis())))
 
 
 def ingest(spark: SparkSession, incoming: str, cache: str, checkpoint: str) -> StreamingQuery:

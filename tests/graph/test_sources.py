@@ -125,3 +125,39 @@ def test_schema(spark):
             schema.validate(edges=(*schema.EDGES, e))
     view = spark.createDataFrame([(n.label,) for n in schema.NODES if n.label not in ("Journey", "Actor")], "label string")
     assert {(r["label"], r["reason"]) for r in schema.coverage_gaps(spark, view).collect()} == {("Journey", "not_built"), ("Actor", "not_stored")}
+
+
+def test_capabilities_by_language(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.sources import capabilities as C
+
+    rows = C.table(spark)
+    assert rows.count() == len(C.LANGUAGES) * len(C.SLOTS) and {r["language"] for r in rows.where("built").collect()} == {"TypeScript"}
+    assert set(C.BUILT) == set(scanners.GRADES) and C.axis().count(";") == len(C.LANGUAGES) - 1 and "Java|no-extractor" in C.axis()
+    df = spark.createDataFrame([("TypeScript", 3), ("Kotlin", 0), ("Java", 0)], "language string, n int")
+    got = {r["language"]: r["v"].asDict() for r in df.select("language", C.value_of("references", F.col("language"), F.col("n")).alias("v")).collect()}
+    assert got["TypeScript"] == {"value": 3, "not_built": None} and got["Kotlin"] == got["Java"] == {"value": None, "not_built": "references"}
+    assert [r["name"] for r in C.symbols_of_file(spark, "a.rs", "Rust", "fn g() {}\nstruct S;").collect()] == ["g", "S"]
+    assert C.symbols_of_file(spark, "a.java", "Java", "class A {}") is None
+    cached = scanners.extract(spark.createDataFrame([("a.ts", "TypeScript", "const a = 1\nconst b = a")], "path string, language string, text string")).withColumn("language", F.lit("TypeScript"))
+    assert C.restored(cached).count() == 1
+    with pytest.raises(Exception, match="builds none"):
+        C.restored(cached.withColumn("language", F.lit("Kotlin"))).collect()
+
+
+def test_residuals_have_a_reason_and_a_place(spark):
+    from quillgraph.operators import doctor
+
+    good = spark.createDataFrame([("no_label", ["x"])], "reason string, coords array<string>")
+    assert doctor.residuals_of(good).count() == 1
+    for bad in (("no_label", []), ("no_label", [None]), ("no_label", None), ("other", ["x"]), (None, ["x"])):
+        with pytest.raises(Exception, match="no residual"):
+            doctor.residuals_of(spark.createDataFrame([bad], "reason string, coords array<string>")).collect()
+
+
+def test_fold_is_moved_not_dropped():
+    from quillgraph.plans.catalog import Fold
+
+    f = Fold().push("ledger", 3, "ledger.snapshot").push("ledger", 9, "other").push("more", 2, "q")
+    assert f.moved() == 5 and f.rows()[0] == {"part": "ledger", "count": 3, "unfolded_by": "ledger.snapshot"}
