@@ -102,7 +102,8 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
 
     A span is cut into aligned pieces whose lengths are powers of four, at most three of a length at either end; a
     point lies in one piece of each length. So the join is on (path, length, piece): a point meets the spans that hold
-    it, and no others, however many a file has.
+    it, and no others, however many a file has. Neither side is ever broadcast: the size of a compressed file says nothing
+    of the rows that its arrays, and then the pieces, are turned into.
     """
     p = points.withColumn("_p", F.struct("path", "at"))
     s = spans.select("path", "byte_start", "byte_end", "ix", F.col("id").alias("inner")).where("byte_start < byte_end")
@@ -120,9 +121,9 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     top = s.agg(F.coalesce(F.max("_c.level"), F.lit(0))).first()[0]
     cells = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda n: F.struct(n.alias("level"), F.floor(F.col("at") / F.pow(F.lit(4.0), n)).cast("long").alias("piece")))
     q = p.select("_p", "path", "at").distinct().withColumn("_c", F.explode(cells))
-    hit = q.join(s, ["path", "_c"])
+    hit = q.join(s.hint("merge"), ["path", "_c"])
     best = hit.groupBy("_p").agg(F.min_by("inner", F.struct(F.col("byte_end") - F.col("byte_start"), "ix")).alias("inner"))
-    return p.join(best, "_p", "left").drop("_p")
+    return p.join(best.hint("merge"), "_p", "left").drop("_p")
 
 
 def file_edges(refs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:

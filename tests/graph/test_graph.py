@@ -357,6 +357,16 @@ def test_innermost_takes_the_narrowest(spark):
     assert got == {5: "wide", 12: "near", 20: "wide", 100: None, 1: None}
 
 
+def test_innermost_broadcasts_nothing(spark, tmp_path):
+    """Points out of a nested file that is small for what it holds: the plan may not send them to the driver."""
+    spark.range(40).selectExpr("'p' AS path", "sequence(0L, 99L) AS ats").write.parquet(str(tmp_path / "points"))
+    spark.createDataFrame([symbol("wide", at=0)[:7] + (0, 100, 0, 0), symbol("near", at=0)[:7] + (10, 20, 1, 0)], SYMBOLS).write.parquet(str(tmp_path / "spans"))
+    points = spark.read.parquet(str(tmp_path / "points")).selectExpr("path", "explode(ats) AS at")
+    got = lookup.innermost(points, spark.read.parquet(str(tmp_path / "spans")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["inner"], r["count"]) for r in got.groupBy("inner").count().collect()} == {("near", 400), ("wide", 3600)}
+
+
 def test_bind_refuses_what_it_cannot_watch(spark, monkeypatch):
     s = spark.createDataFrame([symbol("1", "a"), symbol("2", "b"), symbol("3", "b"), symbol("4", "z", grade=0)], SYMBOLS)
     edges = spark.createDataFrame([("2", "1"), ("3", "2")], "src string, dst string")
