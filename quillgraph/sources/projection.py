@@ -17,10 +17,13 @@ def symbols_of(extracted: DataFrame, repo: str) -> DataFrame:
 
 
 def references_of(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, at, name, resolution, declared_at, target): the target is the symbol whose name stands where the reference was declared."""
+    """(path, at, name, resolution, declared_at, target): the target is the symbol whose name stands where the reference was declared.
+
+    References are never broadcast: the file's size doesn't tell how many its arrays hold.
+    """
     rows = extracted.select("path", F.inline("refs"))
     named = symbols.select("path", F.col("name_at").alias("declared_at"), F.col("id").alias("target"))
-    return rows.join(named, ["path", "declared_at"], "left").select("path", "at", "name", "resolution", "declared_at", "target")
+    return rows.join(named.hint("merge"), ["path", "declared_at"], "left").select("path", "at", "name", "resolution", "declared_at", "target")
 
 
 def edges_of(extracted: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

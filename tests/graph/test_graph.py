@@ -367,6 +367,19 @@ def test_innermost_broadcasts_nothing(spark, tmp_path):
     assert {(r["inner"], r["count"]) for r in got.groupBy("inner").count().collect()} == {("near", 400), ("wide", 3600)}
 
 
+def test_edges_broadcast_no_references(spark, tmp_path):
+    """Edges need a target, which makes the join with the declared names an inner one: it may not send references to the driver either."""
+    from quillgraph.sources import projection
+
+    ref = "named_struct('at', 15L + n, 'name', 'x', 'resolution', 'bound', 'declared_at', 50L)"
+    spark.range(40).selectExpr("concat('p', id) AS path", f"transform(sequence(0L, 4L), n -> {ref}) AS refs").write.parquet(str(tmp_path / "found"))
+    made = ("concat('p', id) AS path", "n * 40L + 10 AS name_at", "n * 40L AS byte_start", "n * 40L + 30 AS byte_end", "n AS ix", "concat(id, '-', n) AS id")
+    spark.range(40).selectExpr("id", "explode(array(0, 1)) AS n").selectExpr(*made).write.parquet(str(tmp_path / "symbols"))
+    edges = projection.edges_of(spark.read.parquet(str(tmp_path / "found")), spark.read.parquet(str(tmp_path / "symbols")))[0]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {(f"{i}-0", f"{i}-1") for i in range(40)}
+
+
 def test_bind_refuses_what_it_cannot_watch(spark, monkeypatch):
     s = spark.createDataFrame([symbol("1", "a"), symbol("2", "b"), symbol("3", "b"), symbol("4", "z", grade=0)], SYMBOLS)
     edges = spark.createDataFrame([("2", "1"), ("3", "2")], "src string, dst string")
