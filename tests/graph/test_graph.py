@@ -380,6 +380,18 @@ def test_edges_broadcast_no_references(spark, tmp_path):
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {(f"{i}-0", f"{i}-1") for i in range(40)}
 
 
+def test_totals_broadcast_no_references(spark, tmp_path):
+    from quillgraph.sources import projection
+
+    ref = "named_struct('at', 15L + n, 'name', 'x', 'resolution', 'bound', 'declared_at', 50L)"
+    spark.range(40).selectExpr("concat('p', id) AS path", f"transform(sequence(0L, 4L), n -> {ref}) AS refs").write.parquet(str(tmp_path / "found"))
+    spark.range(40).selectExpr("concat('p', id) AS path", "50L AS name_at", "0L AS byte_start", "30L AS byte_end", "0 AS ix", "string(id) AS id").write.parquet(str(tmp_path / "symbols"))
+    found, symbols = spark.read.parquet(str(tmp_path / "found")), spark.read.parquet(str(tmp_path / "symbols"))
+    totals = lookup.ref_totals(projection.references_of(found, symbols), projection.edges_of(found, symbols)[1])
+    assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["refs"], r["classed"]) for r in totals.collect()} == {(f"p{i}", 5, 5) for i in range(40)}
+
+
 def test_bind_refuses_what_it_cannot_watch(spark, monkeypatch):
     s = spark.createDataFrame([symbol("1", "a"), symbol("2", "b"), symbol("3", "b"), symbol("4", "z", grade=0)], SYMBOLS)
     edges = spark.createDataFrame([("2", "1"), ("3", "2")], "src string, dst string")
