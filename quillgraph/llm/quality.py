@@ -28,6 +28,8 @@ LEAST_FALL = 1e-4
 BINS, FIRST_BIN = 64, -1024
 #: Up to so many groups their estimates (28 numbers each) are broadcast; beyond, only those of hot groups are.
 MAX_BROADCAST_GROUPS = 20_000
+#: Up to so many estimates, what is summed up for them (some two thousand bins each, however many rows) goes to one task.
+MAX_GATHERED = 1_000
 
 
 def _repeat_words(words: Column) -> Column:
@@ -131,7 +133,12 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return sums.select("key", "start", "n", *(f"m{i}" for i in range(p)), *cov)
 
 
-def _nearest(vectors: DataFrame, est: DataFrame, few: bool, share: float) -> DataFrame:
+def _gathered(sums: DataFrame, alone: bool) -> DataFrame:
+    """Sums of few groups in one partition, so that nothing that follows deals them out again."""
+    return sums.coalesce(1) if alone else sums
+
+
+def _nearest(vectors: DataFrame, est: DataFrame, few: bool, share: float, alone: bool = False) -> DataFrame:
     """For each (key, start) of ``est`` the rows of ``vectors`` nearest to it: the fewest whole bins of distance with ``share`` of all.
 
     Bins are counts, so the cut is exact, bounded by the number of bins for any key, and the same on every run.
@@ -140,7 +147,7 @@ def _nearest(vectors: DataFrame, est: DataFrame, few: bool, share: float) -> Dat
     bin_ = F.greatest(F.lit(FIRST_BIN), F.floor(F.log(d + 1e-300) * BINS)).cast("int")
     far = _joined(vectors, est, few).where("e IS NOT NULL").select("key", F.col("e")["start"].alias("start"), *(f"x{i}" for i in range(len(STATS))), bin_.alias("bin"))
     order = Window.partitionBy("key", "start").orderBy("bin")
-    seen = far.groupBy("key", "start", "bin").count()
+    seen = _gathered(far.groupBy("key", "start", "bin").count(), alone)
     seen = seen.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("key", "start")))
     cut = seen.where(F.col("upto") >= share * F.col("all")).groupBy("key", "start").agg(F.min("bin").alias("cut"), F.max("all").alias("_n"))
     if few:
@@ -165,19 +172,21 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     spread = lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2
     med = med.select("key", F.lit(1).alias("start"), "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *((spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in tri))
     est = written(_with_cholesky(med.unionByName(_moments(vectors.withColumn("start", F.lit(0)), 1.0))), "mcd")
-    few = est.count() <= MAX_BROADCAST_GROUPS
-    half = _nearest(vectors, est.where("start = 1"), few, 0.5).withColumn("start", F.lit(2))
-    est = _swapped(est, est.unionByName(_with_cholesky(_moments(half, CONSISTENCY))))
+    groups = est.count()
+    few = groups <= MAX_BROADCAST_GROUPS
+    alone = few and groups <= MAX_GATHERED
+    half = _nearest(vectors, est.where("start = 1"), few, 0.5, alone).withColumn("start", F.lit(2))
+    est = _swapped(est, _gathered(est.unionByName(_with_cholesky(_gathered(_moments(half, CONSISTENCY), alone))), alone))
     columns = [c for c in est.columns if c not in ("key", "start")]
     whole = lambda df, name: df.select("key", "start", F.struct(*columns).alias(name))
-    step = lambda df: _with_cholesky(_moments(_nearest(vectors, df, few, SUBSET), CONSISTENCY))
+    step = lambda df: _with_cholesky(_gathered(_moments(_nearest(vectors, df, few, SUBSET, alone), CONSISTENCY), alone))
     state = written(whole(step(est), "e").withColumn("active", F.lit(True)), "mcd")
     while state.where("active").limit(1).count():
         active = state.where("active")
-        both = whole(step(active.select("key", "start", "e.*")), "new").join(active.select("key", "start", "e"), ["key", "start"])
+        both = whole(step(active.select("key", "start", "e.*")), "new").join(_gathered(active.select("key", "start", "e"), alone), ["key", "start"])
         falls = F.col("new.det") < F.col("e.det") - LEAST_FALL
         led = both.select("key", "start", F.when(falls, F.col("new")).otherwise(F.col("e")).alias("e"), falls.alias("active"))
-        state = _swapped(state, state.where("not active").unionByName(led))
+        state = _swapped(state, _gathered(state.where("not active").unionByName(led), alone))
     lowest = F.min_by(F.struct("start", "e"), F.struct("e.det", "start")).alias("b")
     return state.groupBy("key").agg(lowest).select("key", "b.start", "b.e.*")
 

@@ -105,6 +105,22 @@ def test_quality_is_the_same_with_many_groups(spark, sf, monkeypatch):
     assert sorted(map(key, quality.op10_quality_rules(spark, sf).collect())) == few
 
 
+def test_quality_step_deals_out_twice_with_few_groups(spark, sf, monkeypatch):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], *r)
+    dealt, write = [], quality.written
+
+    def written(df, name):
+        if "active" in df.columns:
+            dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, name)
+
+    monkeypatch.setattr(quality, "written", written)
+    few = sorted(map(key, quality.op10_quality_rules(spark, sf).collect()))
+    assert len(dealt) > 1 and max(dealt) <= 2, dealt
+    monkeypatch.setattr(quality, "MAX_GATHERED", 0)
+    assert sorted(map(key, quality.op10_quality_rules(spark, sf).collect())) == few
+
+
 def test_quality_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     out = quality.quality_rules(docs)
