@@ -98,24 +98,33 @@ def _split(counts: Column, take: Column, lo: Column, hi: Column, seed: int) -> C
 NODES_A_TASK = 64
 
 
+def _halves(node: Column, seed: int) -> Column:
+    """A node's children, or the node itself if it is one shard."""
+    lo, hi, counts = node["lo"], node["hi"], node["counts"]
+    mid = lo + F.shiftright(hi - lo, 1)
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    take = F.floor(total * (mid - lo) / (hi - lo)).cast("long")
+    child = lambda a, b, c: F.struct(a.alias("lo"), b.alias("hi"), c.alias("counts"))
+    both = lambda left: F.array(child(lo, mid, left), child(mid, hi, F.zip_with(counts, left, lambda a, b: a - b)))
+    return F.when(hi - lo > 1, let(_split(counts, take, lo, hi, seed), both)).otherwise(F.array(child(lo, hi, counts)))
+
+
 def shard_quotas(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
     """From one row ``counts`` (blocks to draw of each source, by place): rows (place, shard, k, start) with the
     number of draws of a source that go to a shard and how many go to the shards before it.
 
     A tree splits the shards in halves; a node's blocks are dealt to its children by a multivariate hypergeometric
-    draw, so all quotas are exact and each shard is a fair sample of the mix. A level's nodes are split in parallel.
+    draw, so all quotas are exact and each shard is a fair sample of the mix. One expression splits the levels that fit
+    one task, so the plan doesn't grow with them; further levels' nodes are split in parallel.
     """
-    nodes = counts.select(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), "counts")
-    for level in range((n_shards - 1).bit_length()):
-        if 2**level > NODES_A_TASK:
-            nodes = written(nodes.repartition(2**level // NODES_A_TASK, "lo"), "mix-nodes")
-        mid = F.expr("lo + (hi - lo) div 2").cast("int")
-        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-        take = F.floor(total * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        nodes = nodes.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, _split(F.col("counts"), take, F.col("lo"), F.col("hi"), seed)))
-        child = lambda a, b, c: F.struct(a.alias("lo"), b.alias("hi"), c.alias("counts"))
-        both = F.array(child(F.col("lo"), mid, F.col("left")), child(mid, F.col("hi"), F.zip_with("counts", "left", lambda a, b: a - b)))
-        nodes = nodes.select(F.inline(F.when(F.col("left").isNull(), F.array(child(F.col("lo"), F.col("hi"), F.col("counts")))).otherwise(both)))
+    levels = (n_shards - 1).bit_length()
+    first = min(levels, NODES_A_TASK.bit_length())
+    root = F.array(F.struct(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), F.col("counts").alias("counts")))
+    deeper = lambda nodes, _: F.flatten(F.transform(nodes, lambda x: _halves(x, seed)))
+    nodes = counts.select(F.inline(F.aggregate(F.sequence(F.lit(1), F.lit(first)), root, deeper) if first else root))
+    for level in range(first, levels):
+        nodes = written(nodes.repartition(2**level // NODES_A_TASK, "lo"), "mix-nodes")
+        nodes = nodes.select(F.inline(_halves(F.struct("lo", "hi", "counts"), seed)))
     cells = nodes.select("lo", F.posexplode("counts").alias("place", "k")).where("k > 0")
     before = F.sum("k").over(Window.partitionBy("place").orderBy("lo")) - F.col("k")
     return cells.select("place", F.col("lo").alias("shard"), "k", before.alias("start"))
@@ -149,14 +158,14 @@ def _filled(cells: DataFrame, sized: DataFrame, few) -> DataFrame:
         was = state.select("_s", "open", F.col("nth").alias("at"))
         fit = outside.join(few(was), "_s").where("nth > at AND least <= open AND open > bar")
         turn = fit.groupBy("_s").agg(F.min(F.struct("nth", "_b", "open")).alias("f")).select("_s", "f.*")
-        turn = written(turn, "mix-turn")
-        if not turn.limit(1).count():
-            return cuts
         docs = sized.join(few(turn), ["_s", "_b"]).where("size > 0").groupBy("_s", "_b", "nth", "open").agg(F.array_sort(F.collect_list(F.struct("h", "size"))).alias("docs"))
-        done = docs.select("_s", "_b", "nth", _greedy(F.col("docs"), F.col("open")).alias("g"))
-        done = written(done.select("_s", "_b", "nth", F.col("g.open").alias("open"), F.col("g.taken").alias("cut")), "mix-cut")
-        state = written(state.join(done.select("_s"), "_s", "left_anti").unionByName(done.select("_s", "open", "nth")), "mix-open")
-        cuts = done.select("_s", "_b", "cut") if cuts is None else cuts.unionByName(done.select("_s", "_b", "cut"))
+        done = docs.select("_s", F.struct("_b", "nth", _greedy(F.col("docs"), F.col("open")).alias("g")).alias("d"))
+        led = was.join(few(done), "_s", "left")
+        state = written(led.select("_s", F.coalesce("d.g.open", "open").alias("open"), F.coalesce("d.nth", "at").alias("nth"), "d._b", F.col("d.g.taken").alias("cut")), "mix-cut")
+        turned = state.where("cut IS NOT NULL").select("_s", "_b", "cut")
+        if turned.isEmpty():
+            return cuts
+        cuts = turned if cuts is None else cuts.unionByName(turned)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, seed: int = SEED, size: str | None = None) -> DataFrame:

@@ -181,7 +181,7 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     whole = lambda df, name: df.select("key", "start", F.struct(*columns).alias(name))
     step = lambda df: _with_cholesky(_gathered(_moments(_nearest(vectors, df, few, SUBSET, alone), CONSISTENCY), alone))
     state = written(whole(step(est), "e").withColumn("active", F.lit(True)), "mcd")
-    while state.where("active").limit(1).count():
+    while not state.where("active").isEmpty():
         active = state.where("active")
         both = whole(step(active.select("key", "start", "e.*")), "new").join(_gathered(active.select("key", "start", "e"), alone), ["key", "start"])
         falls = F.col("new.det") < F.col("e.det") - LEAST_FALL

@@ -410,3 +410,16 @@ def test_chat_query_digests(spark, sf):
         assert out[c]["n_turns"] == len(turns)
         assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert (out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_mixing_plans_stay_small(spark, monkeypatch):
+    one = spark.createDataFrame([([64, 70, 133],)], "counts array<long>")
+    size = lambda n: len(mixing.shard_quotas(one, n, 1)._jdf.queryExecution().analyzed().toString())
+    assert size(128) < 1.5 * size(2)  # seven levels, one level
+
+    names, written = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: names.append(name) or written(df, name))
+    docs = spark.createDataFrame([(i, "w " * (i % 90 + 1), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    assert mixing.mix(docs).where("size(_draws) > 0").count() > 0
+    rounds = names[names.index("mix-outside") + 1 : names.index("mix-draws")]
+    assert len(rounds) > 1 and set(rounds) == {"mix-cut"}  # one table a round of filling
